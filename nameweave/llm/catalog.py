@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import mixing, ogg, secrets, sharding, simhash
+from nameweave.llm import decontaminate, mixing, ogg, secrets, sharding, simhash
 
 
 def _table(name: str):
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": lambda spark, d: ogg.media_features(documents(spark, d)),
     "op3_secret_scan": lambda spark, d: secrets.secret_spans(documents(spark, d)),
     "op4_simhash_anchors": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
+    "op5_decontaminate": lambda spark, d: decontaminate.contamination(documents(spark, d), benchmark(spark, d)),
     "op8_weighted_fair_mix": lambda spark, d: mixing.mixed_sizes(documents(spark, d)),
     "op9_feistel_shards": lambda spark, d: sharding.shards(documents(spark, d)),
 }

@@ -20,3 +20,12 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't in ids (one column doc_id, null-safe). A short list is broadcast, a long one shuffled."""
     ids = ids.select(F.col("doc_id").alias("__drop_id"))
     return docs.join(small(ids), F.col("doc_id").eqNullSafe(F.col("__drop_id")), "left_anti")
+
+
+def in_batches(docs: DataFrame, rows: int = 256) -> DataFrame:
+    """docs, with Python workers getting at most so many rows at a time from now on in its session.
+
+    At the default of 10,000 a few hundred MB of long texts, their copies in Python and the results would be in memory at once.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return docs

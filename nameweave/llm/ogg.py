@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nameweave.llm.columns import in_batches
+
 RATE, BLOCK, STREAMS, SEGMENTS = 8000, 4096, 2, 255
 CAPTURE, IDENT = b"OggS", b"\x01rawpcm8"
 CONTINUED, BOS, EOS = 1, 2, 4
@@ -209,11 +211,12 @@ def features(media: Column) -> Column:
 
 def media_table(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a column of stored media instead of the text; other columns stay, one named like the new column is replaced."""
-    return docs.withColumn(media, to_media(F.col(text))) if media == text else docs.withColumn(media, to_media(F.col(text))).drop(text)
+    stored = in_batches(docs).withColumn(media, to_media(F.col(text)))
+    return stored if media == text else stored.drop(text)
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes and the features of its stored media. Rows stay apart, repeats included."""
-    rows = docs.select("doc_id", F.col("text").alias("text"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    rows = in_batches(docs).select("doc_id", F.col("text").alias("text"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     rows = rows.select("doc_id", "n_bytes", to_media(F.col("text")).alias("media"))
     return rows.select("doc_id", "n_bytes", features(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")

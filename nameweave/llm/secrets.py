@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nameweave.llm.columns import in_batches
+
 # The kinds, their keywords and patterns.
 KINDS = ("assign", "access", "hex", "github", "npm")
 ASSIGN_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -133,7 +135,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no spans and the digest of the empty string.
     """
-    rows = docs.select("doc_id", scan(F.col("text")).alias("found"))
+    rows = in_batches(docs).select("doc_id", scan(F.col("text")).alias("found"))
     base = F.filter("found", lambda s: s["kind"].isin("assign", "access", "hex"))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     return rows.select(
@@ -161,4 +163,4 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 out.append(x if x is None else "".join([*parts, x[at:]]))
             yield pa.array(out, pa.string())
 
-    return docs.withColumn("text", f(F.col("text")))
+    return in_batches(docs).withColumn("text", f(F.col("text")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameweave.llm.columns import without
+from nameweave.llm.columns import in_batches, without
 from nameweave.operators.components import connected_components
 from nameweave.scratch import written
 
@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     Equal fingerprints meet as one before any comparison, so copies cost no pairs. Null and empty texts have fingerprint
     0 and are linked like any other. component_id ignores null doc_ids and is null where a component has no other.
     """
-    base = written(docs.select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
+    base = written(in_batches(docs).select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
     distinct = written(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
     component = connected_components(links(distinct, threshold), "a", "b").select(F.col("node").alias("fp"), "component")
     rooted = distinct.join(component, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import decontaminate, grammar, mixing, ogg, secrets, sharding, simhash
+from nameweave.llm import decontaminate, grammar, mixing, ogg, quality, secrets, sharding, simhash
 
 
 def _table(name: str):
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_anchors": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
     "op5_decontaminate": lambda spark, d: decontaminate.contamination(documents(spark, d), benchmark(spark, d)),
     "op6_repair_token_ids": lambda spark, d: grammar.token_output(documents(spark, d)),
+    "op7_weak_label_quality": lambda spark, d: quality.classified(documents(spark, d)),
     "op8_weighted_fair_mix": lambda spark, d: mixing.mixed_sizes(documents(spark, d)),
     "op9_feistel_shards": lambda spark, d: sharding.shards(documents(spark, d)),
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import decontaminate, grammar, mixing, ogg, quality, secrets, sharding, simhash
+from nameweave.llm import decontaminate, grammar, mixing, ogg, quality, secrets, sharding, simhash, url_filter
 
 
 def _table(name: str):
@@ -17,6 +17,7 @@ documents, pages, benchmark = (_table(t) for t in ("documents", "pages", "benchm
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": lambda spark, d: ogg.media_features(documents(spark, d)),
+    "op2_url_list_asof": lambda spark, d: url_filter.verdicts(url_filter.fetched_pages(pages(spark, d)), url_filter.dated_list(pages(spark, d))),
     "op3_secret_scan": lambda spark, d: secrets.secret_spans(documents(spark, d)),
     "op4_simhash_anchors": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
     "op5_decontaminate": lambda spark, d: decontaminate.contamination(documents(spark, d), benchmark(spark, d)),
@@ -26,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_feistel_shards": lambda spark, d: sharding.shards(documents(spark, d)),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE}

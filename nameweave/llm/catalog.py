@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import decontaminate, grammar, mixing, ogg, quality, secrets, sharding, simhash, url_filter
+from nameweave.llm import decontaminate, grammar, line_dedup, mixing, ogg, quality, secrets, sharding, simhash, url_filter
 
 
 def _table(name: str):
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_weak_label_quality": lambda spark, d: quality.classified(documents(spark, d)),
     "op8_weighted_fair_mix": lambda spark, d: mixing.mixed_sizes(documents(spark, d)),
     "op9_feistel_shards": lambda spark, d: sharding.shards(documents(spark, d)),
+    "op10_line_dedup": lambda spark, d: line_dedup.line_decisions(documents(spark, d)),
 }
 
-ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE, "op10_line_dedup": line_dedup.ORACLE}

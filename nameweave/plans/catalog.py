@@ -1,10 +1,544 @@
-"""The registered queries of the entity-resolution operators, and their SQL."""
+"""The registered queries of the entity-resolution operators over the test tables, and the same in SQL.
+
+The tables hold no person records, so parts stand in for them: p_name is a title of two words, the words are its name parts,
+and parts of one brand and size are each other's candidates. Nations stand in where every pair is a candidate, embeddings
+with their label for two collections and for blocks.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nameweave.functions import text, translit
+from nameweave.functions.similarity import jaro_winkler
+from nameweave.operators import blocking, cluster, evaluate, filtering, prepare, requests, responses, vectors
+from nameweave.operators.components import connected_components
+from nameweave.streaming.responses import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def part_records(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("rec_id"), F.col("p_name").alias("title"), F.to_json(text.parts_from_title(F.col("p_name"))).alias("name_parts"), "p_brand", "p_size", "p_type")
+
+
+def nation_records(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    return n.select(F.col("n_nationkey").cast("long").alias("rec_id"), F.col("n_name").alias("title"), F.to_json(text.parts_from_title(F.col("n_name"))).alias("name_parts"))
+
+
+def brand_pairs(spark: SparkSession, d: str) -> DataFrame:
+    r = blocking.labelled(part_records(spark, d), F.array(F.concat_ws("|", "p_brand", F.col("p_size").cast("string"))))
+    return blocking.pairs(r, r, same=True)
+
+
+def name_matches(spark: SparkSession, d: str) -> DataFrame:
+    """True matches: parts of the same name and size."""
+    r = blocking.labelled(part_records(spark, d), F.array(F.concat_ws("|", "title", F.col("p_size").cast("string"))))
+    return blocking.pairs(r, r, same=True)
+
+
+PAIRS = """pairs AS (SELECT l.p_partkey AS left_id, r.p_partkey AS right_id FROM part l JOIN part r ON l.p_brand = r.p_brand AND l.p_size = r.p_size AND l.p_partkey <> r.p_partkey)"""
+TRUTH = """truth AS (SELECT l.p_partkey AS left_id, r.p_partkey AS right_id FROM part l JOIN part r ON l.p_name = r.p_name AND l.p_size = r.p_size AND l.p_partkey <> r.p_partkey)"""
+WORDS = """w AS (SELECT p_partkey AS id, generate_subscripts(string_split(p_name, ' '), 1) AS i, unnest(string_split(p_name, ' ')) AS word FROM part)"""
+SIMS = f"""{PAIRS}, {WORDS}, sims AS (SELECT left_id, right_id, a.i, b.i AS j, a.word AS wa, b.word AS wb, jaro_winkler_similarity(a.word, b.word) AS sim FROM pairs JOIN w a ON a.id = left_id JOIN w b ON b.id = right_id)"""
+BEST = "best AS (SELECT left_id, right_id, max(sim) AS score FROM sims GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM best)"
+
+
+# cleaning and reshaping
+
+
+@query(
+    f"""SELECT doc_id, md5(c) AS cleaned, length(c) AS n FROM (SELECT doc_id, nullif(regexp_replace(lower(trim(trim(regexp_replace(
+  replace(regexp_replace(translate(text, '{text.MARKED}', '{text.PLAIN}'), '  +', ' ', 'g'), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), '"'), '''')), '^\\s+|\\s+$', '', 'g'), '') AS c FROM documents)"""
+)
+def clean_text(spark, d):
+    c = table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("c"))
+    return c.select("doc_id", F.md5(F.col("c").cast("binary")).alias("cleaned"), F.char_length("c").cast("long").alias("n"))
+
+
+@query("SELECT p_partkey AS rec_id, string_split(p_name, ' ')[1] AS name_part_0, string_split(p_name, ' ')[2] AS name_part_1, len(string_split(p_name, ' ')) AS n_parts FROM part")
+def name_parts_pivot(spark, d):
+    r = prepare.with_part_columns(part_records(spark, d))
+    return r.select("rec_id", "name_part_0", "name_part_1", F.size(text.parts(F.col("name_parts"))).cast("long").alias("n_parts"))
+
+
+@query("SELECT DISTINCT 'name_part_' || (i - 1) AS key FROM (SELECT unnest(range(1, len(string_split(n_name, ' ')) + 1)) AS i FROM nation)")
+def name_part_keys(spark, d):
+    return prepare.part_keys(nation_records(spark, d))
+
+
+@query("""SELECT event_type, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM (
+  SELECT event_type, json_valid(CASE WHEN event_type = 'error' THEN substr(props, 1, 6) ELSE props END) AS ok FROM events) GROUP BY 1""")
+def bad_json_rejected(spark, d):
+    cut = F.when(F.col("event_type") == "error", F.substring("props", 1, 6)).otherwise(F.col("props")).alias("name_parts")
+    e = table(spark, d, "events").select("event_type", cut)
+    n = lambda df, name: df.groupBy("event_type").agg(F.count("*").alias(name))
+    return n(prepare.accepted(e), "accepted").join(n(prepare.rejected(e), "rejected"), "event_type", "full").na.fill(0)
+
+
+@query("SELECT source AS id, md5(min(text) || '@fr') AS title FROM documents WHERE lang = 'fr' GROUP BY 1")
+def lang_filter_dedupe(spark, d):
+    r = table(spark, d, "documents").select(F.col("source").alias("id"), F.col("text").alias("title"), "lang")
+    return prepare.of_language(r, "fr").select("id", F.md5(F.col("title").cast("binary")).alias("title"))
+
+
+YIDDISH = ["פעני וואַדיאַ עפּשטיין", "ענדען (?)", "אַּבבּדול", "זשאַן טשערנאָוויץ", "דזשאָן וויינשטיין", "abc 12", ""]
+_RULE_LIST = ", ".join(f"{{'k': '{k}', 'v': '{v}'}}" for k, v in translit.RULES.items())
+
+
+@query(
+    f"""WITH rules AS (SELECT unnest([{_RULE_LIST}]) AS r), m AS (SELECT map(list(r.k), list(r.v)) AS m FROM rules),
+t AS (SELECT unnest([{", ".join(f"'{x}'" for x in YIDDISH)}]) AS title)
+SELECT title, array_to_string(list_transform(regexp_extract_all(title, '{translit._pattern()}'), lambda x: m[x]), '') AS roman FROM t, m"""
+)
+def translit_tokens(spark, d):
+    t = spark.createDataFrame([(x,) for x in YIDDISH], "title string")
+    return t.select("title", translit.transliterate(F.col("title")).alias("roman"))
+
+
+@query("""SELECT p_partkey AS rec_id, CASE WHEN length(p_type) % 2 = 0 THEN string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2] ELSE string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2] END AS name FROM part""")
+def first_sur(spark, d):
+    w = F.split("title", " ")
+    name = F.when(F.length("p_type") % 2 == 0, F.concat(w[0], F.lit(" (mid) "), w[1])).otherwise(F.concat(F.lit("("), w[0], F.lit(") "), w[1]))
+    return part_records(spark, d).select("rec_id", text.without_middle(name).alias("name"))
+
+
+# blocking
+
+
+def _blocks(spark, d, labels, slack=None):
+    r = nation_records(spark, d)
+    of = blocking.labelled(r, labels)
+    return blocking.pairs(of, of, same=True)
+
+
+@query("SELECT CAST(a.n_nationkey AS BIGINT) AS left_id, CAST(b.n_nationkey AS BIGINT) AS right_id FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
+def block_cross(spark, d):
+    return _blocks(spark, d, blocking.everything())
+
+
+@query("SELECT CAST(a.n_nationkey AS BIGINT) AS left_id, CAST(b.n_nationkey AS BIGINT) AS right_id FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND length(a.n_name) % 2 = length(b.n_name) % 2")
+def block_parity(spark, d):
+    return _blocks(spark, d, blocking.title_parity(F.col("title")))
+
+
+@query("SELECT CAST(a.n_nationkey AS BIGINT) AS left_id, CAST(b.n_nationkey AS BIGINT) AS right_id FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey")
+def block_part_presence(spark, d):
+    return _blocks(spark, d, blocking.part_presence(F.col("name_parts")))
+
+
+@query("SELECT CAST(a.n_nationkey AS BIGINT) AS left_id, CAST(b.n_nationkey AS BIGINT) AS right_id FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND abs(length(a.n_name) - length(b.n_name)) <= 2")
+def block_name_length(spark, d):
+    return _blocks(spark, d, blocking.title_length(F.col("title")))
+
+
+@query("""WITH c AS (SELECT n_nationkey AS id, unnest(list_distinct(list_concat(list_transform(string_split(n_name, ' '), lambda x: {'n': 1, 't': length(x)}),
+  CASE WHEN len(string_split(n_name, ' ')) > 1 THEN [{'n': 2, 't': CAST(list_sum(list_transform(string_split(n_name, ' '), lambda x: length(x))) AS BIGINT)}] ELSE [] END))) AS c FROM nation)
+SELECT DISTINCT CAST(a.id AS BIGINT) AS left_id, CAST(b.id AS BIGINT) AS right_id FROM c a JOIN c b ON a.id <> b.id AND abs(a.c.t - b.c.t) <= 3 * (a.c.n + b.c.n)""")
+def block_potential_length(spark, d):
+    return _blocks(spark, d, blocking.potential_length(F.col("name_parts")))
+
+
+@query("SELECT DISTINCT a.c_custkey AS left_id, b.c_custkey AS right_id FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey")
+def block_age(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("rec_id"), F.col("c_nationkey").alias("age"))
+    of = blocking.labelled(c, blocking.age(F.col("age")))
+    return blocking.pairs(of, of, same=True)
+
+
+@query("""WITH l AS (SELECT n_nationkey AS id, unnest(list_distinct(regexp_extract_all(lower(n_name), '[bcdfghjklmnpqrstvwxz]'))) AS x FROM nation)
+SELECT DISTINCT CAST(a.id AS BIGINT) AS left_id, CAST(b.id AS BIGINT) AS right_id FROM l a JOIN l b ON a.x = b.x AND a.id <> b.id""")
+def block_consonants(spark, d):
+    return _blocks(spark, d, blocking.consonants(F.lower("title")))
+
+
+@query("""SELECT CAST(a.n_nationkey AS BIGINT) AS left_id, count(b.n_nationkey) AS n FROM nation a LEFT JOIN nation b ON length(a.n_name) <= 8 AND length(b.n_name) <= 8 AND a.n_nationkey <> b.n_nationkey GROUP BY 1""")
+def block_keys_with_empty(spark, d):
+    labels = F.array(F.when(F.length("title") > 8, F.lit("None")).otherwise(F.lit("short")))
+    of = blocking.labelled(nation_records(spark, d), labels)
+    return evaluate.block_sizes(blocking.pairs(of, of, same=True), blocking.left_keys(of))
+
+
+# filtering
+
+
+@query("SELECT word AS part, count(DISTINCT id) AS n FROM (WITH " + WORDS + " SELECT * FROM w) GROUP BY 1")
+def parts_index(spark, d):
+    return filtering.parts_index(part_records(spark, d)).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WORDS} SELECT id AS rec_id, count(DISTINCT word) AS n_parts FROM w GROUP BY 1")
+def parts_count(spark, d):
+    return filtering.parts_count(filtering.parts_index(part_records(spark, d)))
+
+
+@query(f"WITH {WORDS}, v AS (SELECT DISTINCT word FROM w) SELECT a.word AS a, b.word AS b, round(jaro_winkler_similarity(a.word, b.word), 6) AS sim FROM v a, v b WHERE a.word <= b.word")
+def jw_vocab(spark, d):
+    v = filtering.parts_index(part_records(spark, d)).select("part").distinct()
+    met = v.select(F.col("part").alias("a")).join(v.select(F.col("part").alias("b")), F.col("a") <= F.col("b"))
+    return met.select("a", "b", F.round(jaro_winkler(F.col("a"), F.col("b")), 6).alias("sim"))
+
+
+@query(f"WITH {SIMS} SELECT DISTINCT left_id, right_id FROM sims WHERE sim >= 0.65")
+def filter_set_union(spark, d):
+    r = part_records(spark, d)
+    return filtering.by_any_part(brand_pairs(spark, d), r, r)
+
+
+def _part_scores(spark, d, k=5):
+    r = part_records(spark, d)
+    return filtering.by_part_scores(brand_pairs(spark, d), r, r, k)
+
+
+@query(f"WITH {SIMS}, {BEST} SELECT left_id, right_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
+def filter_part_scores(spark, d):
+    return _part_scores(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {SIMS}, m AS (SELECT left_id, right_id, greatest(sum(sim) FILTER (i = j), sum(sim) FILTER (i <> j)) / 2 AS score FROM sims GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 9) DESC, right_id) AS rank FROM m)
+SELECT left_id, right_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3""")
+def filter_assignment(spark, d):
+    r = part_records(spark, d)
+    scored = filtering.by_assignment(brand_pairs(spark, d), r, r, 1_000_000).drop("rank")
+    return filtering.top_k(scored, 3, F.round("score", 9)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {SIMS}, m AS (SELECT left_id, right_id, count(*) FILTER (wa = wb) / 2 AS score FROM sims GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS rank FROM m)
+SELECT left_id, right_id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 4""")
+def filter_threshold(spark, d):
+    r = part_records(spark, d)
+    return filtering.by_threshold(brand_pairs(spark, d), r, r, 4)
+
+
+# evaluation
+
+_F = "CASE WHEN p + r > 0 THEN {b} * p * r / ({c} * p + r) ELSE 0 END"
+_METRICS = f"""round(p, 6) AS precision, round(r, 6) AS recall, round({_F.format(b="2", c="1")}, 6) AS f1, round({_F.format(b="26", c="25")}, 6) AS f5"""
+
+
+def _rounded(df, names=("precision", "recall", "f1", "f5")):
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@query(f"""WITH {SIMS}, {BEST}, {TRUTH}, n AS (SELECT (SELECT count(*) FROM ranked WHERE rank <= 5) AS n_pairs, (SELECT count(*) FROM truth) AS n_matches,
+  (SELECT count(*) FROM truth JOIN ranked USING (left_id, right_id) WHERE rank <= 5) AS n_found), s AS (SELECT *, n_found / n_pairs AS p, n_found / n_matches AS r FROM n)
+SELECT n_pairs, n_matches, n_found, {_METRICS} FROM s""")
+def match_metrics(spark, d):
+    return _rounded(evaluate.metrics(_part_scores(spark, d), name_matches(spark, d)))
+
+
+flagship = match_metrics
+
+
+@query(f"""WITH {SIMS}, {BEST}, {TRUTH}, ks AS (SELECT unnest([1, 2, 5, 10]) AS k), n AS (SELECT k, count(*) AS n_pairs, count(t.left_id) AS n_found, (SELECT count(*) FROM truth) AS n_matches
+  FROM ks JOIN ranked ON rank <= k LEFT JOIN truth t USING (left_id, right_id) GROUP BY k), s AS (SELECT *, n_found / n_pairs AS p, n_found / n_matches AS r FROM n)
+SELECT k, n_pairs, n_found, n_matches, {_METRICS} FROM s""")
+def block_size_sweep(spark, d):
+    return _rounded(evaluate.sweep_metrics(filtering.sweep(_part_scores(spark, d, 10), [1, 2, 5, 10]), name_matches(spark, d)))
+
+
+@query(f"WITH {PAIRS} SELECT round(1 - (SELECT count(*) FROM pairs) / ((SELECT count(*) FROM part) * (SELECT count(*) FROM part)), 6) AS reduction_ratio")
+def reduction_ratio(spark, d):
+    r = part_records(spark, d)
+    return _rounded(evaluate.reduction_ratio(brand_pairs(spark, d), r, r), ["reduction_ratio"])
+
+
+@query(f"""WITH {PAIRS}, {TRUTH} SELECT r.p_name AS df2_title, json_object('name_part_0', string_split(r.p_name, ' ')[1], 'name_part_1', string_split(r.p_name, ' ')[2])::VARCHAR AS df2_name_parts,
+  l.p_name AS df1_title, json_object('name_part_0', string_split(l.p_name, ' ')[1], 'name_part_1', string_split(l.p_name, ' ')[2])::VARCHAR AS df1_name_parts
+FROM truth t ANTI JOIN pairs USING (left_id, right_id) JOIN part l ON l.p_partkey = t.left_id JOIN part r ON r.p_partkey = t.right_id""")
+def missed_matches(spark, d):
+    r = part_records(spark, d)
+    return evaluate.missed_report(brand_pairs(spark, d), name_matches(spark, d), r, r)
+
+
+@query(f"WITH {PAIRS}, n AS (SELECT p_partkey, count(left_id) AS n FROM part LEFT JOIN pairs ON left_id = p_partkey GROUP BY 1) SELECT min(n) AS fewest, max(n) AS most FROM n")
+def block_size_range(spark, d):
+    return evaluate.block_size_range(brand_pairs(spark, d), part_records(spark, d).select(F.col("rec_id").alias("left_id")))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT count(*) FILTER (l.p_name = r.p_name) AS n_matches, count(*) FILTER (l.p_name <> r.p_name) AS n_non_matches FROM pairs JOIN part l ON l.p_partkey = left_id JOIN part r ON r.p_partkey = right_id),
+t AS (SELECT CAST(sum(n * (n - 1)) AS BIGINT) AS n_true FROM (SELECT count(*) AS n FROM part GROUP BY p_name))
+SELECT n_matches, n_non_matches, n_true, round(n_matches / (n_matches + n_non_matches), 6) AS precision, round(n_matches / n_true, 6) AS recall FROM c, t""")
+def same_id_counts(spark, d):
+    return _rounded(evaluate.same_id_counts(brand_pairs(spark, d), part_records(spark, d), "title"), ["precision", "recall"])
+
+
+@query("""WITH l AS (SELECT min(o_orderkey) AS left_id, o_custkey FROM orders GROUP BY 2 HAVING count(*) = 1), r AS (SELECT min(c_custkey) AS right_id, c_name FROM customer GROUP BY 2 HAVING count(*) = 1)
+SELECT c.c_custkey AS o_custkey, c.c_name, left_id, right_id FROM customer c JOIN l ON l.o_custkey = c.c_custkey JOIN r ON r.c_name = c.c_name""")
+def unique_index_join(spark, d):
+    c = table(spark, d, "customer")
+    left = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("rec_id"))
+    right = c.select("c_name", F.col("c_custkey").alias("rec_id"))
+    truth = c.select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return evaluate.unique_alignment(truth, left, right, "o_custkey", "c_name").select("o_custkey", "c_name", "left_id", "right_id")
+
+
+@query("""WITH f AS (SELECT o_custkey, min(o_orderkey) AS rec_id FROM orders GROUP BY 1)
+SELECT s_suppkey AS id_1, s_suppkey * 7 AS id_2, a.rec_id AS left_id, b.rec_id AS right_id FROM supplier LEFT JOIN f a ON a.o_custkey = s_suppkey LEFT JOIN f b ON b.o_custkey = s_suppkey * 7""")
+def first_index_lookup(spark, d):
+    records = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("rec_id"))
+    truth = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id_1"), (F.col("s_suppkey") * 7).alias("id_2"))
+    return evaluate.first_alignment(truth, records, "o_custkey", "id_1", "id_2").select("id_1", "id_2", "left_id", "right_id")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, n_name FROM supplier JOIN nation ON CAST(s_nationkey AS VARCHAR) = CAST(n_nationkey AS VARCHAR)")
+def derived_key_join(spark, d):
+    left = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("geo"))
+    right = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), "n_name")
+    return evaluate.derived_alignment(left, right, "geo", "nation:", "key").select("s_suppkey", "n_name")
+
+
+# vectors
+
+
+def _collection(spark, d, side=None):
+    e = table(spark, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), "embedding", "label")
+    return e if side is None else e.where(F.col("label") < 5 if side == "a" else F.col("label") >= 5)
+
+
+_DIST = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2))"
+_KNN = "WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {dist} AS distance FROM embeddings a, embeddings b WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM n)"
+
+
+def _near(df):
+    return df.withColumn("distance", F.round("distance", 5)).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query(_KNN.format(dist=_DIST, where="a.label < 5 AND b.label >= 5") + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 5) AS distance FROM r WHERE rank <= 5")
+def knn_cross(spark, d):
+    a, b = _collection(spark, d, "a"), _collection(spark, d, "b")
+    return _near(vectors.nearest_both_ways(a, b, 5)[0])
+
+
+@query(_KNN.format(dist=_DIST, where="a.vec_id <> b.vec_id") + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 5) AS distance FROM r WHERE rank <= 5")
+def knn_self(spark, d):
+    return _near(vectors.nearest_self(_collection(spark, d), 5))
+
+
+@query(_KNN.format(dist=_DIST, where="a.vec_id <> b.vec_id AND a.label = b.label") + " SELECT query_id AS left_id, CAST(rank AS INTEGER) AS rank, id AS right_id, round(distance, 5) AS distance FROM r WHERE rank <= 3")
+def knn_in_block(spark, d):
+    e = _collection(spark, d).withColumnRenamed("id", "rec_id")
+    of = blocking.labelled(e, F.array(F.col("label").cast("string")))
+    return _near(vectors.nearest_in_blocks(blocking.pairs(of, of, same=True), e, e, 3))
+
+
+@query(_KNN.format(dist=_DIST, where="a.vec_id <> b.vec_id") + """, t AS (SELECT vec_id AS l, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings),
+h AS (SELECT l, t.r, f.id IS NOT NULL AS hf, b.id IS NOT NULL AS hb FROM t LEFT JOIN r f ON f.query_id = l AND f.id = t.r AND f.rank <= 20 LEFT JOIN r b ON b.query_id = t.r AND b.id = l AND b.rank <= 20 WHERE t.r IS NOT NULL)
+SELECT round(avg(CAST(hf AS INTEGER)), 6) AS recall_forward, round(avg(CAST(hb AS INTEGER)), 6) AS recall_backward, round(avg(CAST(hf OR hb AS INTEGER)), 6) AS recall_total FROM h""")
+def knn_recall(spark, d):
+    from pyspark.sql import Window
+
+    e = _collection(spark, d)
+    near = vectors.nearest_self(e, 20)
+    truth = e.select(F.col("id").alias("left_id"), F.lead("id").over(Window.partitionBy("label").orderBy("id")).alias("right_id")).where("right_id is not null")
+    found = vectors.retrieval_recall(vectors.retrieval(truth, near, near))
+    return _rounded(found, ["recall_forward", "recall_backward", "recall_total"])
+
+
+@query("SELECT vec_id AS id, CASE WHEN label < 5 THEN 'b' ELSE 'a' END AS source FROM embeddings UNION ALL SELECT vec_id + 1000000000, 'b' FROM embeddings WHERE label < 5")
+def knn_upsert(spark, d):
+    e = _collection(spark, d)
+    base = e.select("id", F.lit("a").alias("source"))
+    old = e.where("label < 5")
+    changes = old.select("id", F.lit("x").alias("source"), F.lit(1).cast("long").alias("seq")).union(old.select("id", F.lit("b"), F.lit(2).cast("long"))).union(old.select(F.col("id") + 1000000000, F.lit("b"), F.lit(1).cast("long")))
+    return vectors.upserted(base, changes)
+
+
+@query("""WITH a AS (SELECT vec_id FROM embeddings WHERE label < 6), b AS (SELECT vec_id FROM embeddings WHERE label > 3)
+SELECT round((SELECT count(*) FROM a JOIN b USING (vec_id)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 6) AS jaccard""")
+def model_jaccard(spark, d):
+    e = _collection(spark, d)
+    return _rounded(vectors.model_similarity(e.where("label < 6").select("id"), e.where("label > 3").select("id")), ["jaccard"])
+
+
+@query("""WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings),
+m AS (SELECT vec_id, v[1] AS m1, v[5] AS m2, list_sort(list_concat(v[2:4], v[6:8]))[3] AS cut12, v[9] AS m3, list_sort(list_concat(v[2:4], v[10:12]))[3] AS cut13, list_sort(list_concat(v[6:8], v[10:12]))[3] AS cut23 FROM p)
+SELECT 'm1' AS model_1, 'm2' AS model_2, round(avg(CAST(least(m1, m2) <= cut12 AS INTEGER)), 6) AS recall FROM m
+UNION ALL SELECT 'm1', 'm3', round(avg(CAST(least(m1, m3) <= cut13 AS INTEGER)), 6) FROM m UNION ALL SELECT 'm2', 'm3', round(avg(CAST(least(m2, m3) <= cut23 AS INTEGER)), 6) FROM m""")
+def merged_cutoff_recall(spark, d):
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    model = lambda i: F.struct(F.lit(f"m{i + 1}").alias("model"), v[4 * i].alias("match"), F.slice(v, 4 * i + 2, 3).alias("found"))
+    rows = _collection(spark, d).select(F.col("id").alias("pair_id"), F.explode(F.array(model(0), model(1), model(2))).alias("m")).select("pair_id", "m.*")
+    return _rounded(vectors.merged_recall(rows, 3), ["recall"])
+
+
+# requests and responses
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT left_id, count(*) AS n, string_agg(l.p_name || ', ' || r.p_name, chr(10) ORDER BY right_id) AS x FROM pairs JOIN part l ON l.p_partkey = left_id JOIN part r ON r.p_partkey = right_id GROUP BY 1)
+SELECT CAST(left_id AS VARCHAR) AS custom_id, json_object('custom_id', CAST(left_id AS VARCHAR), 'method', 'POST', 'url', '{requests.URL}', 'body', json_object('model', '{requests.MODEL}', 'messages', json_array(json_object('role', 'developer', 'content', '{requests.PAIR_LIST_TASK}' || n || '.'), json_object('role', 'user', 'content', x)), 'max_tokens', 5000))::VARCHAR AS line FROM t""")
+def requests_pair_lists(spark, d):
+    r = part_records(spark, d)
+    return requests.pair_list_requests(brand_pairs(spark, d), r, r)
+
+
+@query(f"WITH {PAIRS}, c AS (SELECT left_id, right_id, CAST((row_number() OVER (PARTITION BY left_id ORDER BY right_id) - 1) // 2 AS INTEGER) AS chunk FROM pairs) SELECT left_id, chunk, right_id, count(*) OVER (PARTITION BY left_id, chunk) AS n FROM c")
+def requests_chunks(spark, d):
+    return requests.chunks(brand_pairs(spark, d), 2)
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT left_id, right_id, (row_number() OVER (PARTITION BY left_id ORDER BY right_id) - 1) // 2 AS chunk FROM pairs), g AS (SELECT left_id, chunk, min(right_id) AS x FROM c GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT p_partkey AS left_id, coalesce(CAST(x AS VARCHAR), '') AS block FROM part LEFT JOIN g ON left_id = p_partkey""")
+def chunk_leftovers(spark, d):
+    keys = part_records(spark, d).select(F.col("rec_id").alias("left_id"))
+    return requests.leftovers(brand_pairs(spark, d), keys, 2).select("left_id", F.array_join(F.transform("block", lambda x: x.cast("string")), ",").alias("block"))
+
+
+def _list_request(name: str, tokens: int, messages: str) -> str:
+    return f"json_object('custom_id', {name}, 'method', 'POST', 'url', '{requests.URL}', 'body', json_object('model', '{requests.MODEL}', 'messages', json_array({messages}), 'max_tokens', {tokens}))::VARCHAR"
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT left_id, right_id, (row_number() OVER (PARTITION BY left_id ORDER BY right_id) - 1) // 2 AS chunk FROM pairs),
+g AS (SELECT left_id || '-' || chunk AS custom_id, l.p_name AS l, string_agg(r.p_name, ';' ORDER BY right_id) AS names FROM c JOIN part l ON l.p_partkey = left_id JOIN part r ON r.p_partkey = right_id GROUP BY left_id, chunk, l.p_name HAVING count(*) > 1)
+SELECT custom_id, {_list_request("custom_id", 2048, f"json_object('role', 'system', 'content', '{requests.CHOICE_TASK}'), json_object('role', 'user', 'content', 'The target name is ' || l || '.'), json_object('role', 'user', 'content', 'Candidates: ' || names)")} AS line FROM g""")
+def requests_choices(spark, d):
+    r = part_records(spark, d)
+    return requests.choice_requests(brand_pairs(spark, d), r, r, 2)
+
+
+@query(f"""WITH {PAIRS}, g AS (SELECT left_id || '#' || right_id AS custom_id, '0: ' || string_split(l.p_name, ' ')[1] || ';1: ' || string_split(l.p_name, ' ')[2] AS l, '0: ' || string_split(r.p_name, ' ')[1] || ';1: ' || string_split(r.p_name, ' ')[2] AS r FROM pairs JOIN part l ON l.p_partkey = left_id JOIN part r ON r.p_partkey = right_id)
+SELECT custom_id, {_list_request("custom_id", 400, f"json_object('role', 'developer', 'content', '{requests.PAIR_TASK}'), json_object('role', 'user', 'content', 'First name: ' || r), json_object('role', 'user', 'content', 'Second name: ' || l)")} AS line FROM g""")
+def requests_pairs(spark, d):
+    r = part_records(spark, d)
+    w = F.split("title", " ")
+    return requests.pair_requests(brand_pairs(spark, d), r, r, text.column_parts_text({"name_part_0_phoneme": w[0], "name_part_1": w[1]}))
+
+
+def _responses(spark, d, content):
+    """Response lines about all candidate pairs; content is made of titles l and r."""
+    t = part_records(spark, d).select("rec_id", "title", "p_type")
+    met = brand_pairs(spark, d).join(t.toDF("left_id", "l", "lt"), "left_id").join(t.toDF("right_id", "r", "rt"), "right_id")
+    custom = F.concat_ws("#", F.col("left_id").cast("string"), F.col("right_id").cast("string"))
+    message = F.struct(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices")).alias("body"))
+    lines = met.select(F.to_json(F.struct(custom.alias("custom_id"), message.alias("response"))).alias("line"))
+    return responses.parsed(lines.select(F.regexp_replace("line", '"response":\\{"col1":', '"response":{"body":').alias("line")))
+
+
+_SAID = f"{PAIRS}, t AS (SELECT left_id, right_id, l.p_name AS l, r.p_name AS r, l.p_type AS lt, r.p_type AS rt FROM pairs JOIN part l ON l.p_partkey = left_id JOIN part r ON r.p_partkey = right_id)"
+
+
+@query(f"WITH {_SAID} SELECT left_id, right_id FROM t WHERE string_split(l, ' ')[1] = string_split(r, ' ')[1]")
+def responses_pairs(spark, d):
+    said = F.when(F.split("l", " ")[0] == F.split("r", " ")[0], F.lit("I think True.")).otherwise(F.lit("False"))
+    return responses.positive_pairs(_responses(spark, d, said))
+
+
+_SCORE = "least(1.0, (length(r) % 7) / 5.0)"
+
+
+@query(f"WITH {_SAID}, s AS (SELECT left_id, right_id, CAST({_SCORE} AS DOUBLE) AS score FROM t WHERE length(rt) % 2 = 0), k AS (SELECT *, rank() OVER (PARTITION BY left_id ORDER BY score DESC) AS k FROM s WHERE score >= 0.8) SELECT left_id, right_id, score FROM k WHERE k = 1")
+def responses_confidence(spark, d):
+    score = F.least(F.lit(1.0), (F.length("r") % 7) / F.lit(5.0))
+    return responses.confident_pairs(_responses(spark, d, F.when(F.length("rt") % 2 == 0, F.concat(F.lit(" "), score.cast("string"), F.lit(" "))).otherwise(F.lit("no idea"))))
+
+
+@query(f"WITH {PAIRS}, t AS (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY right_id) - 1 AS pos FROM pairs) SELECT left_id, right_id FROM t WHERE pos IN (0, 2)")
+def responses_lists(spark, d):
+    pairs = brand_pairs(spark, d)
+    said = pairs.select("left_id").distinct().select(F.col("left_id").cast("string").alias("custom_id"), F.lit("True\nFalse\n2. True \nFalse").alias("content"))
+    return responses.conformed(pairs, responses.booleans(said))
+
+
+@query(f"WITH {_SAID} SELECT count(*) AS n FROM t WHERE l = r")
+def responses_semijoin(spark, d):
+    said = _responses(spark, d, F.lit("True"))
+    return responses.restricted(said, name_matches(spark, d)).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SAID}, f AS (SELECT t.left_id, min(c.right_id) AS right_id FROM (SELECT p_partkey AS left_id, p_name AS l FROM part) t JOIN t c ON c.left_id = t.left_id AND contains('It is ' || t.l, c.r) GROUP BY 1)
+SELECT left_id, right_id FROM f""")
+def tournament_round(spark, d):
+    r = part_records(spark, d)
+    pairs = brand_pairs(spark, d)
+    said = r.select(F.concat(F.col("rec_id").cast("string"), F.lit("-0")).alias("custom_id"), F.concat(F.lit("It is "), "title").alias("content"))
+    return responses.tournament_round(said, pairs, r, pairs.where("false"))
+
+
+@query("SELECT k AS left_id, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, (SELECT max(p_partkey) + 10 FROM part))) AS k) LEFT JOIN (WITH " + PAIRS + " SELECT left_id, count(*) AS n FROM pairs GROUP BY 1) ON left_id = k")
+def responses_densified(spark, d):
+    n = part_records(spark, d).agg(F.max("rec_id").alias("m")).first().m + 10
+    return responses.densified(brand_pairs(spark, d), n).select("left_id", F.size("block").cast("long").alias("n"))
+
+
+# clusters
+
+
+def _chain(spark, d):
+    """Links from each part to the next one of the same name and size."""
+    from pyspark.sql import Window
+
+    after = F.lead("rec_id").over(Window.partitionBy("title", "p_size").orderBy("rec_id"))
+    return part_records(spark, d).select(F.col("rec_id").alias("left_id"), after.alias("right_id")).where("right_id is not null")
+
+
+@query("SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_name, p_size) AS component FROM part QUALIFY count(*) OVER (PARTITION BY p_name, p_size) > 1")
+def components(spark, d):
+    return connected_components(_chain(spark, d), "left_id", "right_id")
+
+
+@query(f"""WITH {TRUTH}, g AS (SELECT p_name, p_size, count(*) AS n FROM part GROUP BY ALL), t AS (SELECT l.p_partkey AS a, r.p_partkey AS b, l.p_size = r.p_size AS hit FROM part l JOIN part r ON l.p_name = r.p_name AND l.p_brand = r.p_brand AND l.p_partkey < r.p_partkey)
+SELECT (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM g) AS positives, (SELECT max(n) FROM g) AS biggest, (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM t WHERE hit) AS true_positives,
+  round((SELECT count(*) FROM t WHERE hit) / (SELECT sum(n * (n - 1) // 2) FROM g), 6) AS precision, round((SELECT count(*) FROM t WHERE hit) / (SELECT count(*) FROM t), 6) AS recall""")
+def cluster_stats(spark, d):
+    r = part_records(spark, d)
+    of = cluster.clusters(r, _chain(spark, d).withColumn("score", F.lit(0.9)))
+    by_brand = cluster.pairs_of_groups(r.withColumn("g", F.concat_ws("|", "title", "p_brand")), "g", "rec_id")
+    return _rounded(cluster.cluster_stats(of, by_brand.toDF("left_id", "right_id")), ["precision", "recall"])
+
+
+@query("""WITH f AS (SELECT DISTINCT l.p_partkey AS a, r.p_partkey AS b FROM part l JOIN part r ON l.p_name = r.p_name AND l.p_size = r.p_size AND l.p_partkey < r.p_partkey),
+t AS (SELECT DISTINCT l.p_partkey AS a, r.p_partkey AS b FROM part l JOIN part r ON l.p_name = r.p_name AND l.p_brand = r.p_brand AND l.p_partkey < r.p_partkey), n AS (SELECT (SELECT count(*) FROM f) AS n_found, (SELECT count(*) FROM t) AS n_true, (SELECT count(*) FROM f JOIN t USING (a, b)) AS n_both)
+SELECT *, round(n_both / n_found, 6) AS precision, round(n_both / n_true, 6) AS recall FROM n""")
+def dedupe_pairs_eval(spark, d):
+    r = part_records(spark, d)
+    by = lambda c: cluster.pairs_of_groups(r.withColumn("g", F.concat_ws("|", "title", F.col(c).cast("string"))), "g", "rec_id")
+    return _rounded(cluster.pair_set_stats(by("p_size"), by("p_brand")), ["precision", "recall"])
+
+
+@query(f"""WITH {_SAID} SELECT left_id, right_id, CASE WHEN l = r THEN 0 ELSE 1 END AS same, CASE WHEN lt <> rt THEN 0 ELSE 10000000 END AS apart FROM t""")
+def comparators(spark, d):
+    t = part_records(spark, d).select("rec_id", "title", "p_type")
+    met = brand_pairs(spark, d).join(t.toDF("left_id", "l", "lt"), "left_id").join(t.toDF("right_id", "r", "rt"), "right_id")
+    return met.select("left_id", "right_id", cluster.same_or_not(F.col("l"), F.col("r")).alias("same"), cluster.different_or_not(F.col("lt"), F.col("rt")).alias("apart"))
+
+
+@query()
+def learned_clusters(spark, d):
+    """Pair features, a model of labelled pairs, scores, and clusters with confidence."""
+    r = part_records(spark, d)
+    side = lambda name, key: r.select(F.col("rec_id").alias(key), F.struct("title", "p_brand", "p_type").alias(name))
+    rows = brand_pairs(spark, d).where("left_id < right_id").join(side("a", "left_id"), "left_id").join(side("b", "right_id"), "right_id")
+    rows, names = cluster.pair_features(rows, strings=["title"], exact=["p_type"])
+    labelled = rows.withColumn("label", (F.col("a.title") == F.col("b.title")).cast("int"))
+    return cluster.clusters(r, cluster.scored(cluster.train(labelled, names), labelled))
+
+
+# streams, as tables
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("""SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_windows(spark, d):
+    return windowed_counts(table(spark, d, "events")).withColumn("total", F.round("total", 4))

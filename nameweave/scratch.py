@@ -60,3 +60,8 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `most` rows; rows saves counting them."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which executors delete the shuffle files of jobs that are done and will not be read again."""
+    spark.sparkContext._jvm.System.gc()

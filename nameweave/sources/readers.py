@@ -40,7 +40,7 @@ def record_pair(spark: SparkSession, left: str, right: str, matches: str) -> tup
 
 def blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(pairs, left_keys) of a JSON file of left id -> array of right ids."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     of = whole.select(F.explode(F.from_json("value", "map<string,array<bigint>>")).alias("left", "block"))
     of = of.select(F.col("left").cast("long").alias("left_id"), "block")
     return of.select("left_id", F.explode("block").alias("right_id")).distinct(), of.select("left_id")

@@ -12,8 +12,8 @@ the common word must suffice (positional filter); and the words' parity bitmaps
 in words. Pairs that pass are verified on the words themselves.
 
 Of a large group of variants of one line nearly all are similar to its first line. So the join runs twice. First each
-line meets only the first line that shares one of its LEADERS rarest words, which costs a line a few pairs at most.
-Then the lines that are still there meet all earlier ones.
+line meets only the first line that shares one of its three min-hashes, which costs a line three pairs at most and finds
+that first line with a chance of 1 - (1 - t) ** 3 or more. Then the lines that are still there meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameweave.scratch import BROADCAST_ROWS, Table, small, written
+from nameweave.scratch import BROADCAST_ROWS, Table, free_shuffles, small, written
 
-LEAST, BUCKETS, LEADERS = 0.8, 1 << 20, 3
-WHITE = "[\\x20\\x09-\\x0D]+"
+LEAST, BUCKETS = 0.8, 1 << 20
+#: White space besides space and line end, and a mask under which the third min-hash is taken.
+WHITE, MASK = "\t\x0b\x0c\r", 0x5DEECE66D1234567
 #: Counts up to which rarity tells words apart.
 _MOST = (1 << 22) - 1
 #: Null doc_ids come first.
@@ -35,20 +36,29 @@ def _id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_NULL_ID))
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, WHITE), "")
+def _plain(text: Column) -> Column:
+    """The text with spaces for all white space but line ends. Most texts hold no other, and splitting at one character is much faster."""
+    other = F.lit(False)
+    for c in WHITE:
+        other = other | F.contains(text, F.lit(c))
+    return F.when(other, F.regexp_replace(text, f"[{WHITE}]", " ")).otherwise(text)
+
+
+def _words(line: Column) -> Column:
+    """The distinct words of a plain line."""
+    return F.array_distinct(F.array_remove(F.split(line, " "), ""))
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc, line, l): every line that has a word; lines end at \\n and count from 0."""
-    each = docs.select(_id(F.col("doc_id")).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line", "l"))
-    return each.where(F.col("l").rlike("[^\\x20\\x09-\\x0D]"))
+    each = docs.select(_id(F.col("doc_id")).alias("doc"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "l"))
+    return each.where(F.ltrim("l") != "")
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """One row with one array: how many words of all texts fall into each bucket."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
-    n = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    n = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).join(n, F.col("id") == F.col("b"), "left")
     pairs = F.array_sort(F.collect_list(F.struct("id", F.least(F.coalesce("n", F.lit(0)), F.lit(_MOST)).cast("int").alias("n"))))
     return every.agg(pairs.alias("pairs")).select(F.transform("pairs", lambda p: p["n"]).alias("counts"))
@@ -65,38 +75,49 @@ def _passes(x: str, y: str, least: float) -> Column:
     n, m = c(x, "n"), c(y, "n")
     share = 1 + F.least(n - c(x, "i"), m - c(y, "i"))  # with words after the common one; i counts from 1
     need = _need(n, m, least)
-    return (
-        (F.least(n, m) >= F.greatest(n, m) * least - 1e-9)
-        & (share >= need)
-        & (F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits"))) <= n + m - 2 * need)
-    )
+    one, two = (c(x, b).bitwiseXOR(c(y, b)) for b in ("bits", "bits2"))
+    # lines of up to 64 words have one map, which is the other lines' two maps folded into one
+    bits = F.when((n > 64) & (m > 64), F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
+    return (F.least(n, m) >= F.greatest(n, m) * least - 1e-9) & (share >= need) & (bits <= n + m - 2 * need)
 
 
 def _earlier(x: str, y: str) -> Column:
     return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.line") < F.col(f"{y}.line")))
 
 
+def _bits(hashes: str, half: int | None) -> Column:
+    """The parity map of hashes, of all or of those whose bit 6 is `half`."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    chosen = F.col(hashes) if half is None else F.filter(hashes, lambda h: h.bitwiseAND(F.lit(64)) == 64 * half)
+    return F.aggregate(chosen, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
+
+
 def first_lines(docs: DataFrame, least: float) -> DataFrame:
-    """(doc, line, n, bits, prefix) of the first line of each set; prefix has the keys of its rarest words, rarest first."""
-    # As a column of its own, as functions of array elements take no subquery. Nothing else is new there, so the optimizer
-    # puts it into the function all the same; else each row would get a copy of the table.
+    """(doc, line, n, bits, bits2, leaders, prefix) of the first line of each set.
+
+    prefix has the keys of its rarest words, rarest first, and leaders its min-hashes.
+    """
+    # As a column of its own, as functions of array elements take no subquery. Nothing else is new in that step, and a filter that
+    # can't be moved parts it from the step before, so the optimizer puts it into the function all the same; else each row
+    # would get a copy of the table.
     table = counts(docs).scalar().alias("counts")
-    words = F.array_distinct(_words(F.col("l")))
+    hashed = lines(docs).select("doc", "line", F.sort_array(F.transform(_words(F.col("l")), lambda w: F.xxhash64(w))).alias("h"), F.rand(0).alias("r")).where("r < 2")
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    key = lambda w: F.shiftleft(F.get(F.col("counts"), bucket(F.xxhash64(w))).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 24))
-    keyed = lines(docs).select("doc", "line", "l", table)
-    keyed = keyed.select("doc", "line", F.size(words).alias("n"), F.xxhash64(F.sort_array(words)).alias("set1"), F.xxhash64(F.lit(1), F.sort_array(words)).alias("set2"), F.sort_array(F.transform(words, key)).alias("keys"))
-    bits = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    length = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    prefix = F.slice("keys", 1, length)
-    entry = F.struct("doc", "line", "n", bits.alias("bits"), prefix.alias("prefix"))
-    return keyed.groupBy("set1", "set2").agg(F.min(entry).alias("e")).select("e.*")
-
-
-def _entries(first: DataFrame, most: int | None = None) -> DataFrame:
-    """(token, doc, line, n, bits, i): one row for each word of each prefix, or for the first ones of it."""
-    prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    return first.select("doc", "line", "n", "bits", F.posexplode(prefix).alias("i", "token")).withColumn("i", F.col("i") + 1)
+    key = lambda h: F.shiftleft(F.get(F.col("counts"), bucket(h)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(h, 24))
+    n = F.size("h")
+    leaders = F.array(F.element_at("h", 1), F.element_at("h", -1), F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(MASK)))))
+    length = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
+    entry = F.struct(
+        "doc",
+        "line",
+        n.alias("n"),
+        F.when(n > 64, _bits("h", 0)).otherwise(_bits("h", None)).alias("bits"),
+        F.when(n > 64, _bits("h", 1)).otherwise(F.lit(0).cast("long")).alias("bits2"),
+        leaders.alias("leaders"),
+        F.slice(F.sort_array(F.transform("h", key)), 1, length).alias("prefix"),
+    )
+    keyed = hashed.select("doc", "line", "h", table).select(F.xxhash64("h").alias("set1"), F.xxhash64(F.lit(1), "h").alias("set2"), entry.alias("e"))
+    return keyed.groupBy("set1", "set2").agg(F.min("e").alias("e")).select("e.*")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -104,11 +125,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     pairs = Table(pairs, "line_pairs")
     wanted = Table(pairs.df.select("doc", "line").union(pairs.df.select("doc0", "line0")).distinct(), "wanted_lines")
     n = wanted.count()
-    each = docs.select(_id(F.col("doc_id")).alias("doc"), "text")
+    each = docs.select(_id(F.col("doc_id")).alias("doc"), _plain(F.col("text")).alias("text"))
     if n > BROADCAST_ROWS:  # rather than all texts, shuffle those with a wanted line
         each = each.join(wanted.df.select("doc").distinct(), "doc", "left_semi")
     each = each.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "l")).join(small(wanted.df, n), ["doc", "line"], "left_semi")
-    words = Table(each.select("doc", "line", F.array_distinct(_words(F.col("l"))).alias("words")), "wanted_words").df
+    words = Table(each.select("doc", "line", _words(F.col("l")).alias("words")), "wanted_words").df
     later = pairs.df.join(words.withColumnRenamed("words", "w"), ["doc", "line"])
     both = later.join(words.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("w0")), ["doc0", "line0"])
     shared = F.size(F.array_intersect("w", "w0"))
@@ -118,20 +139,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
 def kept_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc, line) of all lines with words that stay."""
     first = Table(first_lines(docs, least), "first_lines").df
+    free_shuffles(docs.sparkSession)
     # sets of so few words that one word less is too many have no similar set but themselves
     alone = F.col("n") < F.ceil(F.lit(least / (1 - least) - 1e-9))
     some = first.where(~alone)
-    # 1: against the first line of each of the rarest words
-    by_token = Window.partitionBy("token").orderBy("doc", "line")
-    led = _entries(some, LEADERS)
-    led = led.select(F.struct("doc", "line", "n", "bits", "i").alias("y"), F.first(F.struct("doc", "line", "n", "bits", "i")).over(by_token).alias("x"))
+    # 1: against the first line of each min-hash
+    line = F.struct("doc", "line", "n", "bits", "bits2", F.lit(1).alias("i"))
+    by_leader = Window.partitionBy("leader").orderBy("doc", "line")
+    led = some.select(line.alias("y"), "doc", "line", F.explode("leaders").alias("leader")).select("y", F.first("y").over(by_leader).alias("x"))
     led = led.where(_earlier("x", "y") & _passes("x", "y", least))
     led = led.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
     gone = written(_verified(docs, led, least), "led_lines")
-    # 2: the others against all earlier lines
-    still = some.join(small(gone.select("doc", "line", F.lit(True).alias("led"))), ["doc", "line"], "left")
-    later = _entries(still.where("led is null").drop("led"))
-    pairs = _entries(some).alias("x").join(later.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier("x", "y") & _passes("x", "y", least))
+    free_shuffles(docs.sparkSession)
+    # 2: the others against all earlier lines. Both sides are one and the same exchange, so the condition on y must name x as well.
+    still = some.join(small(gone.select("doc", "line", F.lit(1).alias("led"))), ["doc", "line"], "left")
+    entries = still.select("doc", "line", "n", "bits", "bits2", F.coalesce("led", F.lit(0)).alias("led"), F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+    unled = F.col("y.led") + F.col("x.n") * 0 == 0
+    pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & unled & _earlier("x", "y") & _passes("x", "y", least))
     pairs = pairs.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
     gone = gone.union(_verified(docs, pairs, least))
     return first.select("doc", "line").join(small(written(gone, "similar_lines")), ["doc", "line"], "left_anti")
@@ -144,7 +168,7 @@ def line_decisions(docs: DataFrame, least: float = LEAST) -> DataFrame:
     lines; if their texts differ, a line number stays where it stays for any of them.
     """
     stays = kept_lines(docs, least).groupBy("doc").agg(F.collect_set("line").alias("stays"))
-    parts = F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(l, WHITE, "") == "")
+    parts = F.transform(F.split(_plain(F.col("text")), "\n"), lambda l: F.ltrim(l) == "")
     rows = docs.select("doc_id", _id(F.col("doc_id")).alias("__doc"), parts.alias("blank"))
     rows = rows.join(stays, F.col("__doc") == F.col("doc"), "left")
     blank = F.coalesce("blank", F.array().cast("array<boolean>"))
@@ -157,7 +181,7 @@ def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with the removed lines cut out of their texts; other columns as they are. Null texts stay null."""
     stays = kept_lines(docs, least).groupBy("doc").agg(F.collect_set("line").alias("__stays")).withColumnRenamed("doc", "__line_doc")
     rows = docs.join(stays, _id(F.col("doc_id")) == F.col("__line_doc"), "left")
-    keep = F.filter(F.split("text", "\n"), lambda l, i: (F.regexp_replace(l, WHITE, "") == "") | F.coalesce(F.array_contains("__stays", i), F.lit(False)))
+    keep = F.filter(F.split("text", "\n"), lambda l, i: (F.regexp_replace(l, f"[ {WHITE}]", "") == "") | F.coalesce(F.array_contains("__stays", i), F.lit(False)))
     return rows.withColumn("text", F.array_join(keep, "\n")).select(*docs.columns)
 
 

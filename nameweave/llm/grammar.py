@@ -29,7 +29,7 @@ VOCABULARY, END = 50257, 2
 #: Rules of a turn, turns, and the least frequency of a pair.
 RULES, TURNS, LEAST = 4096, 6, 32
 #: Documents dealt to a shard, ids after which a shard begins another block, and words that a worker remembers.
-SHARD_DOCS, BLOCK_IDS, MEMORY = 4096, 1 << 22, 1_200_000
+SHARD_DOCS, BLOCK_IDS, MEMORY = 4096, 1 << 22, 600_000
 
 BLOCK_SCHEMA = "block int, first_doc long, n_docs int, n_ids long, doc_ids array<long>, starts binary, left binary, right binary, lengths binary, low binary, high binary"
 
@@ -39,13 +39,14 @@ class Encoder:
 
     The tokenizer cuts a text into pieces before it merges bytes, and no piece reaches over the place before a space, unless
     white space stands on both sides of that space (or before it, at the end). So a text without such a space may be cut
-    before each of its spaces, and a word that was seen before needs no encoding. Other texts are encoded whole. A new word
-    of letters is one piece, which goes to the model at once; a punctuation mark after it is another one.
+    before each of its spaces, and a word that was seen before needs no encoding. Other texts are encoded whole. In a new word,
+    letters are one piece and the ASCII marks after them another one, and a line end between two words is one too;
+    such pieces go to the model at once.
     """
 
     WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     UNSAFE = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
-    MARKS = frozenset(".,;:!?|")
+    SIMPLE = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,6 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.known_marks: dict[str, bytes] = {}
         # the model's name of each byte: printable Latin-1 stands for itself, the rest for 256 and up, in order
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
@@ -65,15 +67,41 @@ class Encoder:
         named = piece.encode("utf-8").decode("latin-1").translate(self.names)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
 
+    def _simple(self, word: str, space: str) -> bytes | None:
+        """The ids of a word of letters and then marks after a space or none; None if it is no such word."""
+        m = self.SIMPLE.fullmatch(word)
+        if not m:
+            return None
+        body, marks = m.groups()
+        if not body:
+            return self._piece(space + marks) if marks else None
+        if not body.isalpha():
+            return None
+        if (ids := self.known.get(body) if space else None) is None:
+            ids = self._piece(space + body)
+            if space:
+                self.known[body] = ids
+        return ids + self.marks(marks) if marks else ids
+
+    def marks(self, marks: str) -> bytes:
+        if marks not in self.known_marks:
+            if len(self.known_marks) > 10_000:
+                self.known_marks.clear()
+            self.known_marks[marks] = self._piece(marks)
+        return self.known_marks[marks]
+
     def _learn(self, new: set[str]) -> None:
         rest = []
         for w in new:
-            if w.isalpha():
-                self.known[w] = self._piece(" " + w)
-            elif w[:-1].isalpha() and w[-1] in self.MARKS:
-                self.known[w] = self._piece(" " + w[:-1]) + self._piece(w[-1])
-            else:
+            ids = self._simple(w, " ")
+            if ids is None and "\n" in w:
+                a, _, b = w.partition("\n")
+                first, second = self._simple(a, " ") if a else None, self._simple(b, "") if b else None
+                ids = first + self.marks("\n") + second if first and second else None
+            if ids is None:
                 rest.append(w)
+            else:
+                self.known[w] = ids
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
             self.known.update(zip(some, self._ids([" " + w for w in some]), strict=True))

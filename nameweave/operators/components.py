@@ -12,22 +12,22 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """(node, component) for every node with an edge to another; component is the smallest node reachable,
     as no merge ever gives a node a larger parent.
 
     Nulls and self-loops are no edges. No task holds a whole component: neighbours are only ever folded by min(),
-    and each round at least merges every node that has a smaller neighbour, so the edges that are left shrink fast.
+    rows is about how many edges there are, if that is known. Each round at least merges every node that has a smaller neighbour, so the edges that are left shrink fast.
     """
     edges = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    left = Table(_undirected(edges), "edges")
+    left = Table(_undirected(edges), "edges", rows=rows)
     merged: list[Table] = []
-    while left.count():
+    while n := left.count():
         both = left.df.union(left.df.select("b", "a"))
         parent = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("p"))
-        once = Table(parent, "parents")
+        once = Table(parent, "parents", rows=2 * n)
         up = once.df.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        twice = Table(once.df.join(up, "p").select("node", F.col("pp").alias("p")), "parents2")
+        twice = Table(once.df.join(up, "p").select("node", F.col("pp").alias("p")), "parents2", rows=2 * n)
         once.drop()
         ends = twice.df
         nxt = (
@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .join(ends.select(F.col("node").alias("b"), F.col("p").alias("pb")), "b")
             .select(F.col("pa").alias("a"), F.col("pb").alias("b"))
         )
-        nxt = Table(_undirected(nxt), "edges")
+        nxt = Table(_undirected(nxt), "edges", rows=n)
         left.drop()
         left = nxt
         merged.append(twice)

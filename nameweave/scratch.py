@@ -37,11 +37,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of a file, for tables whose number of rows is known beforehand, and the least number of files.
+FILE_ROWS, LEAST_FILES = 20_000, 8
+
+
 class Table:
-    """A table written once to the shared folder. df reads it; drop() deletes it when nothing will read it again."""
+    """A table written once to the shared folder. df reads it; drop() deletes it when nothing will read it again.
+
+    rows is about how many rows it will have at most. With it, partitions that would hold next to nothing are written
+    together, as each file costs the file system and the processes that write it.
+    """
 
-    def __init__(self, df: DataFrame, label: str, compression: str = "zstd"):
+    def __init__(self, df: DataFrame, label: str, compression: str = "zstd", rows: int | None = None):
         self.spark = df.sparkSession
+        if rows is not None:
+            df = df.coalesce(max(LEAST_FILES, rows // FILE_ROWS))
         self.path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex[:12]}"
         df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -53,8 +63,8 @@ class Table:
         _delete(self.spark, self.path)
 
 
-def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    return Table(df, label, compression).df
+def written(df: DataFrame, label: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
+    return Table(df, label, compression, rows).df
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -28,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": lambda spark, d: line_dedup.line_decisions(documents(spark, d)),
 }
 
-ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE}

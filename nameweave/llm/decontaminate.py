@@ -70,9 +70,10 @@ def _positions(docs: DataFrame, keys: DataFrame, lengths: list[int], size: int,
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """(found, rows): found has (doc_id, text_key, start, words) of every occurrence of a window; rows has (doc_id, text_key, n_words) of each row of docs."""
-    distinct = Table(windows(benchmark, size).select("words").distinct(), "windows").df
-    shingles = Table(_shingles(distinct), "window_shingles").df
-    keys = Table(shingles.select("shingle").distinct(), "benchmark_shingles").df
+    made = Table(windows(benchmark, size).select("words"), "windows").df
+    n = made.count()
+    shingles = Table(_shingles(made.distinct()), "window_shingles", rows=n * size).df
+    keys = Table(shingles.select("shingle").distinct(), "benchmark_shingles", rows=n * size).df
     lengths = sorted(r.n for r in shingles.select("n").distinct().collect()) or [SHINGLE]  # at most SHINGLE rows
     n_keys = keys.count()
     blocks = max(1, -(-n_keys // BLOCK))
@@ -86,7 +87,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataF
     # a window of which any shingle stands nowhere stands nowhere itself
     prefix = shingles.join(counts, "shingle", "left").select("*", F.min(F.coalesce("f", F.lit(0))).over(Window.partitionBy("words")).alias("least"))
     prefix = prefix.where("least > 0").select("*", F.row_number().over(rarest).alias("r")).where("r = 1")
-    prefix = written(prefix.select(F.col("shingle").alias("__s"), "words", "place"), "prefixes")
+    prefix = written(prefix.select(F.col("shingle").alias("__s"), "words", "place"), "prefixes", rows=n)
     start = F.col("at") - F.col("place")
     bounds = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
     # place of the start within the words around
@@ -110,11 +111,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     new = F.col("start") + F.col("length") - F.greatest("start", F.coalesce(furthest, F.lit(0)))
     n_hit = found.select(*key, F.greatest(new, F.lit(0)).alias("new")).groupBy(*key).agg(F.sum("new").cast("long").alias("n_hit"))
     of = windows(benchmark, size).select("item_id", F.col("words").alias("__w")).distinct()
-    of = small(written(of, "item_windows"))
     items = found.select(*key, "words").distinct().join(of, F.col("words") == F.col("__w")).select(*key, F.col("item_id").cast("string").alias("i")).distinct()
     items = items.groupBy(*key).agg(F.array_sort(F.collect_list("i")).alias("items"))
     out = n_hit.join(items, [n_hit[k].eqNullSafe(items[k]) for k in key], "left").select(*(n_hit[k].alias(f"__{k}") for k in key), "n_hit", "items")
-    out = rows.join(small(written(out, "hit_documents")), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], "left")
+    out = rows.join(out, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
@@ -130,3 +130,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> D
     """docs without the rows whose document holds a window; rows that share a doc_id are one document."""
     found, _ = hits(docs, benchmark, size)
     return without(docs, written(found.select("doc_id").distinct(), "contaminated"))
+
+
+_WORDS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BETWEEN}'), lambda x: x <> '')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - {SIZE}, 0) + 2), lambda i: w[i:i + {SIZE - 1}])) AS g FROM b WHERE len(w) > 0)),
+grams AS (SELECT DISTINCT g, len(g) AS n FROM win),
+runs AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM grams)),
+hit AS (SELECT doc_id, p, grams.n, grams.g FROM runs JOIN grams ON grams.n = runs.n AND grams.g = w[p:p + runs.n - 1]),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit JOIN win USING (g)) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -19,8 +19,8 @@ from nameweave.scratch import Table, small, written
 SHARDS, KEY, ROUNDS = 24, 2024, 6
 #: Walks of more steps than this raise; their chance is below 64 ** -64.
 STEPS = 64
-#: Rows in a range of doc_ids that are numbered in one task.
-RANGE_ROWS = 20_000
+#: Rows in a range of doc_ids that are numbered in one task, until there are RANGES of them.
+RANGE_ROWS, RANGES = 20_000, 10_000
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -58,7 +58,7 @@ def numbered(rows: DataFrame, order: list[str], name: str = "row_number") -> Dat
     Rows are dealt into ranges of the first column of the order, written with the range's number, and counted; a window numbers the rows
     within a range, and the counts of the ranges before it are added.
     """
-    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    ranges = min(RANGES, max(1, -(-rows.count() // RANGE_ROWS)))
     cut = written(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
     before = counts.select(F.col("__range"), F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

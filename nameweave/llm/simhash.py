@@ -135,8 +135,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
     0 and are linked like any other. component_id ignores null doc_ids and is null where a component has no other.
     """
     base = written(in_batches(docs).select("doc_id", fingerprints(F.col("text"), words).alias("fp")), "fingerprints")
-    distinct = written(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    component = connected_components(links(distinct, threshold), "a", "b").select(F.col("node").alias("fp"), "component")
+    n = base.count()
+    distinct = written(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints", rows=n)
+    component = connected_components(links(distinct, threshold), "a", "b", n).select(F.col("node").alias("fp"), "component")
     rooted = distinct.join(component, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(smallest, "root").select("fp", "component_id")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from nameweave.scratch import BROADCAST_ROWS, written
 
 WEIGHTS, SHARE, ROUNDS, SEED = (3, 1, 2), 1.5, 2, 17
-#: Rows of a bucket that a window is meant to sort.
-BUCKET_ROWS = 4096
+#: Rows of a bucket that a window is meant to sort, until there are BUCKETS of them.
+BUCKET_ROWS, BUCKETS = 1024, 1 << 16
 
 
 def words(text: Column) -> Column:
@@ -69,7 +69,7 @@ def _running(rows: DataFrame, keys: list[str], bucket: str, order: list, value:
     return ran.join(offsets, on).withColumn(name, F.col("__before") + F.col("__run")).drop("__before", "__run", *(f"__{k}" for k in [*keys, bucket]))
 
 
-def _entries(docs: DataFrame, seed: int) -> DataFrame:
+def _entries(docs: DataFrame) -> DataFrame:
     """The queue's entries: rows that repeat doc_id, source and text are one, of n rows together."""
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", "source", F.xxhash64(text).alias("text_key"), words(F.col("text")).alias("size"))
@@ -82,20 +82,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     The order depends on seed, doc_id and text alone, so reruns agree. Null sources are one source, null texts have size 0.
     Entries without words cost nothing and have no virtual time of their own: they are taken 0 times.
     """
-    entries = written(_entries(docs, seed), "mix_entries")
+    n = docs.count()
+    entries = written(_entries(docs), "mix_entries", rows=n)
     total = entries.count()
     sizes = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    aim = written(targets(sizes, weights, share, rounds), "mix_targets")
+    aim = written(targets(sizes, weights, share, rounds), "mix_targets", rows=0)
     aim_cols = aim.select(F.col("source").alias("__source"), "source_size", "target")
     rows = entries.join(F.broadcast(aim_cols) if aim.count() <= BROADCAST_ROWS else aim_cols, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    buckets = max(1, total // BUCKET_ROWS)
+    buckets = min(BUCKETS, max(1, total // BUCKET_ROWS))
     copies = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), (F.col("size") * F.col("n")).alias("cost"))
     copies = copies.withColumn("__h", F.xxhash64(F.lit(seed), "round", "doc_id", "text_key"))
     # the rounds follow each other; within a round, buckets are ranges of the hash
     copies = copies.withColumn("__bucket", F.col("round") * F.lit(1 << 32) + F.floor((F.col("__h") / F.lit(2.0**64) + 0.5) * buckets).cast("long"))
     copies = _running(copies, ["source"], "__bucket", ["__h", "doc_id", "text_key"], "cost", "__words")
     copies = copies.where("target > 0").withColumn("__time", F.col("__words") / F.col("target"))
-    copies = written(copies.select("doc_id", "source", "text_key", "size", "n", "cost", "round", "__h", "__time"), "mix_times")
+    copies = written(copies.select("doc_id", "source", "text_key", "size", "n", "cost", "round", "__h", "__time"), "mix_times", rows=rounds * total)
     # range-sort by virtual time; times run up to rounds / share and a little more
     copies = copies.withColumn("__range", F.floor(F.col("__time") * (2 * buckets)).cast("long"))
     budget = aim.agg(F.sum("target").alias("__budget"))
@@ -117,7 +118,7 @@ def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row that it takes twice is there twice, a row that it leaves out is gone."""
-    take = written(mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("text_key").alias("__m_key"), "copies"), "mix_copies")
+    take = written(mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("text_key").alias("__m_key"), "copies"), "mix_copies", rows=docs.count())
     take = take.withColumnRenamed("copies", "__m_copies")
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     on = F.col("doc_id").eqNullSafe(F.col("__m_id")) & F.col("source").eqNullSafe(F.col("__m_source")) & (key == F.col("__m_key"))

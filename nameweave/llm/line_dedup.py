@@ -12,8 +12,8 @@ the common word must suffice (positional filter); and the words' parity bitmaps
 in words. Pairs that pass are verified on the words themselves.
 
 Of a large group of variants of one line nearly all are similar to its first line. So the join runs twice. First each
-line meets only the first line that shares one of its three min-hashes, which costs a line three pairs at most and finds
-that first line with a chance of 1 - (1 - t) ** 3 or more. Then the lines that are still there meet all earlier ones.
+line meets only the first line that shares one of its leaders, the two smallest and the largest of its words' hashes. That
+costs a line three pairs at most, and as min-hashes they are shared by similar lines more often than not. Then the lines that are still there meet all earlier ones.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from nameweave.scratch import BROADCAST_ROWS, Table, free_shuffles, small, written
 
 LEAST, BUCKETS = 0.8, 1 << 20
-#: White space besides space and line end, and a mask under which the third min-hash is taken.
-WHITE, MASK = "\t\x0b\x0c\r", 0x5DEECE66D1234567
+#: White space besides space and line end.
+WHITE = "\t\x0b\x0c\r"
 #: Counts up to which rarity tells words apart.
 _MOST = (1 << 22) - 1
 #: Null doc_ids come first.
@@ -95,17 +95,17 @@ def _bits(hashes: str, half: int | None) -> Column:
 def first_lines(docs: DataFrame, least: float) -> DataFrame:
     """(doc, line, n, bits, bits2, leaders, prefix) of the first line of each set.
 
-    prefix has the keys of its rarest words, rarest first, and leaders its min-hashes.
+    prefix has the keys of its rarest words, rarest first, and leaders the smallest and largest hashes of its words.
     """
     # As a column of its own, as functions of array elements take no subquery. Nothing else is new in that step, and a filter that
     # can't be moved parts it from the step before, so the optimizer puts it into the function all the same; else each row
     # would get a copy of the table.
     table = counts(docs).scalar().alias("counts")
-    hashed = lines(docs).select("doc", "line", F.sort_array(F.transform(_words(F.col("l")), lambda w: F.xxhash64(w))).alias("h"), F.rand(0).alias("r")).where("r < 2")
+    hashed = lines(docs).select("doc", "line", F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split("l", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))).alias("h"), F.rand(0).alias("r")).where("r < 2")
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     key = lambda h: F.shiftleft(F.get(F.col("counts"), bucket(h)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(h, 24))
     n = F.size("h")
-    leaders = F.array(F.element_at("h", 1), F.element_at("h", -1), F.array_min(F.transform("h", lambda h: h.bitwiseXOR(F.lit(MASK)))))
+    leaders = F.array(F.get("h", F.lit(0)), F.get("h", F.lit(1)), F.element_at("h", -1))
     length = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
     entry = F.struct(
         "doc",
@@ -151,10 +151,11 @@ def kept_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     led = led.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
     gone = written(_verified(docs, led, least), "led_lines")
     free_shuffles(docs.sparkSession)
-    # 2: the others against all earlier lines. Both sides are one and the same exchange, so the condition on y must name x as well.
+    # 2: the others against all earlier lines. Both sides shall be one and the same exchange, so both need the same columns, and the
+    # condition on y must name x as well.
     still = some.join(small(gone.select("doc", "line", F.lit(1).alias("led"))), ["doc", "line"], "left")
     entries = still.select("doc", "line", "n", "bits", "bits2", F.coalesce("led", F.lit(0)).alias("led"), F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
-    unled = F.col("y.led") + F.col("x.n") * 0 == 0
+    unled = F.col("y.led") + F.col("x.led") * 0 == 0
     pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & unled & _earlier("x", "y") & _passes("x", "y", least))
     pairs = pairs.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
     gone = gone.union(_verified(docs, pairs, least))

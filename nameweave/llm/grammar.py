@@ -2,7 +2,7 @@
 
 A shard is a run of documents in ascending doc_id order. Its ids are rewritten in turns: the most frequent pairs of
 neighbouring symbols within documents become nonterminals, each with its rule (left, right) and the number of ids it
-stands for, until no pair is frequent or TURNS are done. One turn takes the most frequent RULES pairs at once, and where
+stands for, until no pair is frequent, a turn saves less than one symbol in a hundred, or TURNS are done. One turn takes the most frequent RULES pairs at once, and where
 two occurrences overlap the left one is replaced. A document is a run of symbols of its own, so it is decoded from its first
 symbol and the rules alone, and expansion lengths tell which symbol holds the k-th id of it.
 
@@ -28,8 +28,8 @@ from nameweave.scratch import Table, small
 VOCABULARY, END = 50257, 2
 #: Rules of a turn, turns, and the least frequency of a pair.
 RULES, TURNS, LEAST = 4096, 6, 32
-#: Documents dealt to a shard, ids after which a shard begins another block, and words that a worker remembers.
-SHARD_DOCS, BLOCK_IDS, MEMORY = 4096, 1 << 22, 600_000
+#: Documents dealt to a shard until there are SHARDS of them, ids after which a shard begins another block, and words in each half of a worker's memory.
+SHARD_DOCS, SHARDS, BLOCK_IDS, MEMORY = 4096, 50_000, 1 << 20, 300_000
 
 BLOCK_SCHEMA = "block int, first_doc long, n_docs int, n_ids long, doc_ids array<long>, starts binary, left binary, right binary, lengths binary, low binary, high binary"
 
@@ -54,18 +54,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.known_marks: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         # the model's name of each byte: printable Latin-1 stands for itself, the rest for 256 and up, in order
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         self.names = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+        self.space = chr(self.names[32])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
-        named = piece.encode("utf-8").decode("latin-1").translate(self.names)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
+        if piece.isascii() and piece.isprintable():  # such bytes but the space have their own names
+            named = piece.replace(" ", self.space)
+        else:
+            named = piece.encode("utf-8").decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def _simple(self, word: str, space: str) -> bytes | None:
         """The ids of a word of letters and then marks after a space or none; None if it is no such word."""
@@ -77,7 +83,7 @@ class Encoder:
             return self._piece(space + marks) if marks else None
         if not body.isalpha():
             return None
-        if (ids := self.known.get(body) if space else None) is None:
+        if (ids := self.known.get(body) or self.older.get(body) if space else None) is None:
             ids = self._piece(space + body)
             if space:
                 self.known[body] = ids
@@ -93,6 +99,12 @@ class Encoder:
     def _learn(self, new: set[str]) -> None:
         rest = []
         for w in new:
+            if (ids := self.older.get(w)) is not None:
+                self.known[w] = ids
+                continue
+            if w.isascii() and w.isalpha():
+                self.known[w] = self._piece(" " + w)
+                continue
             ids = self._simple(w, " ")
             if ids is None and "\n" in w:
                 a, _, b = w.partition("\n")
@@ -110,8 +122,8 @@ class Encoder:
         """The ids of each text as unsigned 32-bit integers."""
         whole = [i for i, t in enumerate(texts) if self.UNSAFE.search(t)]
         cut = {i: texts[i].split(" ") for i in sorted(set(range(len(texts))).difference(whole))}
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        if len(self.known) > MEMORY:  # words that come up again return from the older half
+            self.known, self.older = {}, self.known
         known = self.known
         self._learn({w for words in cut.values() for w in words[1:] if w not in known})
         out = [b""] * len(texts)
@@ -181,10 +193,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int = VOCABULARY) ->
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
+        before = len(seq)
         seq, last = seq[stay], last[stay]
         left.append((keys >> np.uint64(32)).astype(np.uint32))
         right.append((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         size += len(keys)
+        if len(seq) > 0.99 * before:
+            break
     first = np.concatenate(([0], np.flatnonzero(last) + 1))
     starts = first[np.cumsum(~empty) - ~empty] if len(ends) else np.zeros(0, np.int64)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
@@ -273,7 +288,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = END,
     of doc_ids is one task, and any number of documents in it pass through in blocks of bounded size.
     """
     rows = docs.select("doc_id", "text")
-    shards = max(1, -(-docs.select("doc_id").count() // shard_docs))
+    shards = min(SHARDS, max(1, -(-docs.select("doc_id").count() // shard_docs)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer or default_tokenizer())

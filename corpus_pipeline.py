@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import decontaminate, grammar, mixing, quality, simhash
+from nameweave.llm import decontaminate, grammar, mixing, near_copies, quality, simhash
 from nameweave.scratch import written
 
 
@@ -28,8 +28,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: documents that the mix takes twice are there twice, those that it leaves out are gone."""
-    return mixing.mixed(docs)
+    """Mixing to target weights: documents that the mix takes twice are there twice, those that it leaves out are gone.
+
+    Near copies by five-word Jaccard similarity, which SimHash's two bits let through, go first: they are not to be weighed.
+    """
+    return mixing.mixed(written(near_copies.without_near_copies(docs), "without_near_copies"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import decontaminate, grammar, mixing, near_copies, quality, simhash
+from nameweave.llm import decontaminate, grammar, mixing, near_copies, quality, simhash, toxicity
 from nameweave.scratch import written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents that the scorer rejects go."""
-    return quality.kept(docs)
+    """Quality classifier: documents that the scorer rejects go, and those that the scorer of toxic wording rejects."""
+    return toxicity.without_toxic(written(quality.kept(docs), "quality_kept"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ counts by the exact similarity of the two sets, taken from the texts themselves.
 with probability 1 - (1 - s ** ROWS) ** BANDS: 99.98 % at 0.8, more above.
 
 Members of a band's bucket meet a leader first, twice with another one. After that only members of different components
-are compared, so a large group of near copies costs no pairs of its own, and no pair that shares a band is left out.
+are compared, in the first bucket that two of them share. Before the texts are, a bitmap of the parity of hashed shingles
+has to allow it: the sets differ in at least as many shingles as the bitmaps in bits. So no similar pair that shares a band
+is left out, and a large group of copies at all distances costs few pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from nameweave.llm.columns import in_batches, without
 from nameweave.operators.components import connected_components
 from nameweave.scratch import written
 
-WORDS, SIMILARITY, BANDS, ROWS, LEADERS, SEED = 5, (4, 5), 16, 4, 2, 42
+WORDS, SIMILARITY, BANDS, ROWS, LEADERS, BITS, SEED = 5, (4, 5), 16, 4, 2, 256, 42
 
 
 def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
@@ -39,33 +41,44 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
     return both * d >= (len(a) + len(b) - both) * n
 
 
-def band_hashes(text: str | None) -> list[int]:
-    """A signed hash for each band; none without words."""
+def signature(text: str | None) -> tuple[list[int], int, list[int]]:
+    """(a signed hash for each band, number of shingles, parity bitmap as signed words); no hashes without words."""
     from xxhash import xxh64_intdigest as h
 
     rng = np.random.default_rng(SEED)
     flips, factors = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
     factors |= np.uint64(1)
     found = shingles(text)
-    if not found:
-        return []
     hashes = np.fromiter((h(s, SEED) for s in found), np.uint64, len(found))
+    parity = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    bits = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+    if not found:
+        return [], 0, bits
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for i in range(0, len(hashes), 1024):
         np.minimum(least, ((hashes[i : i + 1024, None] ^ flips) * factors).min(axis=0), out=least)
     digests = [h(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) for i in range(BANDS)]
-    return np.array(digests, np.uint64).view(np.int64).tolist()
+    return np.array(digests, np.uint64).view(np.int64).tolist(), len(found), bits
+
 
+def _signature(text: Column) -> Column:
+    kind = pa.struct([("bands", pa.list_(pa.int64())), ("size", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
-def _bands(text: Column) -> Column:
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<bands:array<bigint>,size:bigint,bits:array<bigint>>")
     def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pa.array([band_hashes(x) for x in b.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([dict(zip(("bands", "size", "bits"), signature(x), strict=True)) for x in b.to_pylist()], kind)
 
     return f(text)
 
 
+def _allowed(x: Column, y: Column) -> Column:
+    """Whether the bitmaps of two signatures leave room for SIMILARITY: at n/d the sets differ in (d - n) / (d + n) of their sizes at most."""
+    n, d = SIMILARITY
+    apart = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(BITS // 64)), F.lit(0))
+    return apart * (d + n) <= (x["size"] + y["size"]) * (d - n)
+
+
 def _similar(a: str, b: str) -> Column:
     @F.arrow_udf("boolean")
     def f(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -104,9 +117,9 @@ def _ordered(x: Column, y: Column, root_x: Column, root_y: Column) -> list[Colum
 
 def _with_leader(members: DataFrame, turn: int) -> DataFrame:
     """Each member of a bucket of several components with its leader, unless they are of one component."""
-    order = F.struct(F.xxhash64(F.lit(turn), "key").alias("o"), "key", "root")
+    order = F.struct(F.xxhash64(F.lit(turn), "key").alias("o"), "key", "root", "sig")
     led = members.groupBy("band").agg(F.min(order).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rows = members.join(led.select("band", "leader"), "band").where(F.col("root") != F.col("leader")["root"])
+    rows = members.join(led.select("band", "leader"), "band").where((F.col("root") != F.col("leader")["root"]) & _allowed(F.col("sig"), F.col("leader")["sig"]))
     return rows.select(*_ordered(F.col("key"), F.col("leader")["key"], F.col("root"), F.col("leader")["root"])).distinct()
 
 
@@ -114,8 +127,9 @@ def _the_rest(members: DataFrame) -> DataFrame:
     """All pairs of a bucket that are of different components: those outside its largest component with all others."""
     sizes = members.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    outside = members.join(main, "band").where("root <> main").select("band", F.col("key").alias("o_key"), F.col("root").alias("o_root"))
-    rows = outside.join(members, "band").where("root <> o_root")
+    outside = members.join(main, "band").where("root <> main").select("band", F.col("key").alias("o_key"), F.col("root").alias("o_root"), F.col("sig").alias("o_sig"))
+    before = F.arrays_overlap(F.slice(F.col("sig.bands"), F.lit(1), F.col("at")), F.slice(F.col("o_sig.bands"), F.lit(1), F.col("at")))
+    rows = outside.join(members, "band").where((F.col("root") != F.col("o_root")) & _allowed(F.col("sig"), F.col("o_sig")) & ~before)
     return rows.select(*_ordered(F.col("key"), F.col("o_key"), F.col("root"), F.col("o_root"))).distinct()
 
 
@@ -124,11 +138,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are copies of each other; texts without words are near no other.
     """
-    base = written(in_batches(docs).select("doc_id", _text_key().alias("key"), _bands(F.col("text")).alias("bands")), "near_base")
+    base = written(in_batches(docs).select("doc_id", _text_key().alias("key"), _signature(F.col("text")).alias("sig")), "near_base")
     n = base.count()
-    texts = written(base.groupBy("key").agg(F.min("bands").alias("bands")), "near_texts", rows=n)
+    texts = written(base.groupBy("key").agg(F.first("sig").alias("sig")), "near_texts", rows=n)
     roots = texts.select("key", F.col("key").alias("root"))
-    bands = texts.select("key", F.explode("bands").alias("band"))
+    bands = texts.select("key", "sig", F.posexplode("sig.bands").alias("at", "band"))
     crowded = written(bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "near_bands")
     for turn in range(LEADERS + 1):
         members = crowded.join(roots, "key")

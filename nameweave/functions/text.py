@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and the ASCII letters that they fold to, position by position.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _folding() -> dict[str, str]:
+    """Latin letters up to U+024F with marks, and the ASCII letters that are left when Unicode takes them apart."""
+    apart = {c: [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)] for c in map(chr, range(0xC0, 0x250))}
+    return {c: x[0] for c, x in apart.items() if len(x) == 1 and x[0].isascii() and x[0].isalpha()}
+
+
+#: Latin letters with marks and the ASCII letters that they fold to, position by position; then those that fold to two.
+_FOLDING = _folding() | {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D"}
+MARKED, PLAIN = "".join(_FOLDING), "".join(_FOLDING.values())
+TWO_LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
 
 PARTS = "map<string,string>"
 
 
 def clean(value: Column) -> Column:
     """ASCII-folded, spaces and line ends made single spaces, stripped of white space and quotes, lower-cased; null if nothing is left."""
-    c = F.translate(value.cast("string"), MARKED, PLAIN)
+    raw = value.cast("string")
+    two = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), TWO_LETTERS.items(), F.translate(raw, MARKED, PLAIN))
+    c = F.when(F.octet_length(raw) == F.char_length(raw), raw).otherwise(two)  # pure ASCII needs no folding
     c = F.regexp_replace(c, "  +", " ")
-    c = F.regexp_replace(c, "\n", " ")
-    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    c = F.replace(c, F.lit("\n"), F.lit(" "))
+    strip = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))
     c = F.btrim(F.btrim(strip(c), F.lit('"')), F.lit("'"))
     return F.nullif(strip(F.lower(c)), F.lit(""))
 
@@ -34,11 +48,17 @@ def parts(name_parts: Column) -> Column:
 
 def repaired_json(name_parts: Column) -> Column:
     """A JSON object whose quotes were doubled twice on the way through CSV, with single ones; empty strings stay."""
+    # fixed values: the three steps of the repair
     c = F.replace(name_parts, F.lit('""""'), F.lit('""#""'))
     c = F.replace(c, F.lit('""'), F.lit('"'))
     return F.replace(c, F.lit('"#"'), F.lit('""'))
 
 
+def readable_json(name_parts: Column) -> Column:
+    """name_parts as they are if they can be read, else repaired."""
+    return F.when(parts(name_parts).isNotNull(), name_parts).otherwise(repaired_json(name_parts))
+
+
 def parts_from_title(title: Column) -> Column:
     """A map name_part_i -> token of a title before its @, split at single spaces, empty tokens included."""
     tokens = F.split(F.element_at(F.split(title, "@"), 1), " ")

@@ -5,9 +5,11 @@ Truth tables are (left_id, right_id). Metrics come as one row, computed by plain
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nameweave.operators.numbering import numbered
+
 KEY = ["left_id", "right_id"]
 
 
@@ -111,5 +113,5 @@ def derived_alignment(left: DataFrame, right: DataFrame, column: str, prefix: st
 
 
 def dense_ids(records: DataFrame, order: list[str], name: str = "rec_id") -> DataFrame:
-    """records numbered 0..n-1 by the order. Meant for record tables; one window orders them all."""
-    return records.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+    """records numbered 0..n-1 by the order, which must set apart all that differ."""
+    return numbered(records, order, name)

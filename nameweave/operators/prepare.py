@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameweave.functions import text, translit
+from nameweave.operators.numbering import numbered
+from nameweave.sources import writers
 
-#: Columns that aren't used to compare records.
+# Columns that aren't used to compare records.
 EXCLUDED = ("", "start", "id", "geo_id", "geowkt", "geo_source", "title_source", "description", "lat", "lon")
+#: Name parts that a table can get columns for.
+MOST_KEYS = 1000
 
 
 def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
@@ -22,12 +26,13 @@ def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
 
 
 def rejected(records: DataFrame) -> DataFrame:
-    """Rows whose name_parts are no JSON object."""
-    return records.where(text.parts(F.col("name_parts")).isNull())
+    """Rows whose name_parts are no JSON object, repaired or not."""
+    return records.where(text.parts(text.readable_json(F.col("name_parts"))).isNull())
 
 
 def accepted(records: DataFrame) -> DataFrame:
-    return records.where(text.parts(F.col("name_parts")).isNotNull())
+    """The other rows, with name_parts repaired where that was needed."""
+    return records.withColumn("name_parts", text.readable_json(F.col("name_parts"))).where(text.parts(F.col("name_parts")).isNotNull())
 
 
 def part_keys(records: DataFrame) -> DataFrame:
@@ -36,8 +41,11 @@ def part_keys(records: DataFrame) -> DataFrame:
 
 
 def with_part_columns(records: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """One column for each name-part key, null where a record lacks it. Without keys they are read from the data first."""
-    keys = sorted(r.key for r in part_keys(records).collect()) if keys is None else keys  # as many rows as new columns
+    """One column for each name-part key, null where a record lacks it. Without keys they are read from the data first, MOST_KEYS at most."""
+    if keys is None:
+        keys = sorted(r.key for r in part_keys(records).limit(MOST_KEYS + 1).collect())
+        if len(keys) > MOST_KEYS:
+            raise ValueError(f"more than {MOST_KEYS} different name parts")
     m = text.parts(F.col("name_parts"))
     return records.select("*", *(m[k].alias(k) for k in keys if k not in records.columns))
 
@@ -61,8 +69,7 @@ def of_language(records: DataFrame, lang: str) -> DataFrame:
 def born_in(records: DataFrame, years: Sequence[str] = ("1725", "1726", "1728"), column: str = "birth") -> DataFrame:
     """Records whose date begins with one of the years, numbered anew by rec_id; the old number stays as index."""
     starts = reduce(lambda a, b: a | b, (F.col(column).startswith(y) for y in years))
-    rows = records.where(starts).withColumnRenamed("rec_id", "index")
-    return rows.withColumn("rec_id", (F.row_number().over(Window.orderBy("index")) - 1).cast("long"))
+    return numbered(records.where(starts).withColumnRenamed("rec_id", "index"), ["index"], "rec_id")
 
 
 def transliterated(records: DataFrame) -> DataFrame:
@@ -114,3 +121,10 @@ def through_service(records: DataFrame, send: Callable[[pd.DataFrame], pd.DataFr
     results = known.select("id", *(c for c in sent if c != "id")).mapInPandas(run, schema)
     rest = [c for c in known.columns if c == "id" or c not in results.columns]
     return results.join(known.select(*rest), "id", "left")
+
+
+def phonetic_table(records: DataFrame, name: str, path: str, word: Callable[[Column], Column], send: Callable[[pd.DataFrame], pd.DataFrame | None], sent: Sequence[str], schema: str, by_word: Sequence[str] = ("wikiData_yid",)) -> DataFrame:
+    """Writes the phonetic form of a source as CSV: word by word for sources named in by_word, else by the service."""
+    made = phonetic_words(records, word) if name in by_word else through_service(records, send, sent, schema)
+    writers.delimited(made, path)
+    return made

@@ -1,8 +1,8 @@
 """Vector collections: upserts, nearest neighbours over all or within blocks, and retrieval experiments.
 
 A collection is a table (id, document, embedding, source, idx). Distance is squared Euclidean; ties go to the smaller id.
-Nearest neighbours are exact: queries are collected into bounded blocks of vectors, each of which meets every row once, a
-matrix product per Arrow batch, and only the best k of each batch go on to the final ranking.
+Nearest neighbours are exact: queries and rows are packed into blocks of bounded size, each block of queries meets each block of
+rows in some executor, where a matrix product ranks them, and only the best k of each meeting go on to the final ranking.
 """
 
 from __future__ import annotations
@@ -13,12 +13,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Queries of a block, which a task holds in memory together.
-QUERY_BLOCK = 2048
+from nameweave.functions import text
+from nameweave.scratch import Table, small
+from nameweave.sources import readers
+
+#: Vectors of a block, of which a task holds one of queries and one of rows.
+BLOCK = 2048
 MISSING_DISTANCE = 9999.0
+# The embedding models that experiments compare.
+EMBEDDING_MODELS = ("all-MiniLM-L6-v2", "all-MiniLM-L12-v2", "all-distilroberta-v1", "all-mpnet-base-v2")
 
 
 def upserted(collection: DataFrame, changes: DataFrame, order: str = "seq") -> DataFrame:
@@ -60,56 +67,84 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
 
 
+def _packed(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """Blocks of about BLOCK vectors: (keys, vectors), written once."""
+    known = rows.select(key, "embedding").where("embedding is not null")
+    blocks = max(1, -(-known.count() // BLOCK))
+    packed = known.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(key, "embedding")).alias("v"))
+    return Table(packed.select(F.col(f"v.{key}").alias("keys"), F.col("v.embedding").alias("vectors")), label).df
+
+
+def _matrix(column: pa.ListArray, i: int, n: int) -> np.ndarray:
+    flat = column.slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(n, -1)
+
+
+def _best(q: np.ndarray, m: np.ndarray, k: int, same: list[tuple[int, int]], order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k rows next to each query; pairs in `same` are left out, order ranks rows for ties.
+
+    The matrix product only rules out what is clearly further than the k-th; distances of the rest are taken directly.
+    """
+    near = (m * m).sum(1)[None, :] - 2 * (q @ m.T)
+    slack = 1e-9 * (1 + float((m * m).sum(1).max(initial=0)) + float((q * q).sum(1).max(initial=0)))
+    for i, j in same:
+        near[i, j] = np.inf
+    kth = np.partition(near, min(k, near.shape[1]) - 1, axis=1)[:, min(k, near.shape[1]) - 1]
+    at, row = np.nonzero((near <= kth[:, None] + slack) & np.isfinite(near))
+    distance = ((m[row] - q[at]) ** 2).sum(1)
+    by = np.lexsort((order[row], distance, at))
+    at, row, distance = at[by], row[by], distance[by]
+    first = np.searchsorted(at, at)
+    keep = np.arange(len(at)) - first < k
+    return at[keep], row[keep], distance[keep]
+
+
 def nearest(queries: DataFrame, collection: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance): the k rows of the collection next to each query (query_id, embedding).
 
-    Query blocks stay bounded however many there are; a block is broadcast to all rows, and each batch of rows gives at most
-    k candidates per query. exclude_self leaves out the row whose id is the query's.
+    Nothing of it passes through the driver. Each meeting of two blocks gives at most k candidates per query. exclude_self
+    leaves out the row whose id is the query's.
     """
-    id_type = collection.schema["id"].dataType.simpleString()
-    key_type = queries.schema["query_id"].dataType.simpleString()
-    q = queries.select("query_id", "embedding").where("embedding is not null")
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    packed = q.groupBy("block").agg(F.collect_list("query_id").alias("keys"), F.collect_list("embedding").alias("vectors"))
-    rows = collection.select("id", "embedding").where("embedding is not null")
-
-    def rank(block: list, vectors: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = np.array(block, object)
+    id_type, key_type = collection.schema["id"].dataType, queries.schema["query_id"].dataType
+    out = pa.schema([("query_id", to_arrow_type(key_type)), ("id", to_arrow_type(id_type)), ("distance", pa.float64())])
+    q = _packed(queries, "query_id", "query_blocks").select(F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
+    met = _packed(collection, "id", "row_blocks").crossJoin(small(q))  # of blocks, each of thousands of rows
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            if not ids:
-                continue
-            m = np.array(b.column(1).to_pylist(), np.float64)
-            order = np.array(sorted(range(len(ids)), key=ids.__getitem__))  # ties by id
-            m = m[order]
-            dist = np.empty((len(keys), len(ids)))
-            for i, v in enumerate(vectors):
-                dist[i] = ((m - v) ** 2).sum(1)
-            if exclude_self:
-                place = {ids[o]: j for j, o in enumerate(order)}
-                for i, key in enumerate(keys):
-                    if key in place:
-                        dist[i, place[key]] = np.inf
-            near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            out_q = [x for x, n in zip(block, near, strict=True) for _ in n]
-            out_i = [ids[order[j]] for n in near for j in n]
-            out_d = np.take_along_axis(dist, near, 1).ravel()
-            yield pa.RecordBatch.from_pylist([{"query_id": a, "id": c, "distance": float(e)} for a, c, e in zip(out_q, out_i, out_d, strict=True) if np.isfinite(e)], pa.schema([("query_id", _arrow(key_type)), ("id", _arrow(id_type)), ("distance", pa.float64())]))
-
-    found = None
-    for row in packed.toLocalIterator():  # one bounded block of queries at a time
-        vectors = np.array(row.vectors, np.float64)
-        part = rows.mapInArrow(lambda batches, keys=row.keys, v=vectors: rank(keys, v, batches), f"query_id {key_type}, id {id_type}, distance double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], f"query_id {key_type}, rank int, id {id_type}, distance double")
+            for i in range(b.num_rows):
+                ids, keys = (b.column(c).slice(i, 1).flatten() for c in ("keys", "q_keys"))
+                m, v = _matrix(b.column("vectors"), i, len(ids)), _matrix(b.column("q_vectors"), i, len(keys))
+                listed = ids.to_pylist()
+                order = np.empty(len(listed), np.int64)
+                order[sorted(range(len(listed)), key=listed.__getitem__)] = np.arange(len(listed))
+                same = []
+                if exclude_self:
+                    place = {x: j for j, x in enumerate(listed)}
+                    same = [(i, place[x]) for i, x in enumerate(keys.to_pylist()) if x in place]
+                at, row, distance = _best(v, m, k, same, order)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), ids.take(pa.array(row)), pa.array(distance)], schema=out)
+
+    found = met.mapInArrow(rank, f"query_id {key_type.simpleString()}, id {id_type.simpleString()}, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+def nearest_by_name(collection: DataFrame, names: DataFrame, k: int = 3, source: str | None = None, embed: Callable[[Column], Column] = hashed_embedding, exclude_self: bool = False) -> DataFrame:
+    """(query_id, rank, id, distance, document, source, idx): the k next to each name (query_id, title), of one source if it is given.
+
+    exclude_self leaves out the row whose id is the query's.
+    """
+    rows = collection if source is None else collection.where(F.col("source") == source)
+    found = nearest(names.select("query_id", embed(F.col("title")).alias("embedding")), rows, k, exclude_self)
+    return found.join(rows.select("id", "document", "source", "idx"), "id").select("query_id", "rank", "id", "distance", "document", "source", "idx")
+
+
+def nearest_across_sources(collection: DataFrame, a: str, b: str, k: int) -> DataFrame:
+    """(direction, query_id, rank, id, distance): of each row of either source the k next in the other one; direction is 'a to b' with the sources' names."""
+    of = lambda s: collection.where(F.col("source") == s)
+    one, other = nearest_both_ways(of(a), of(b), k)
+    return one.withColumn("direction", F.lit(f"{a} to {b}")).unionByName(other.withColumn("direction", F.lit(f"{b} to {a}"))).select("direction", "query_id", "rank", "id", "distance")
 
 
 def nearest_self(collection: DataFrame, k: int) -> DataFrame:
@@ -137,6 +172,40 @@ def as_blocks(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("block"))
 
 
+def index_blocks(found: DataFrame, collection: DataFrame) -> DataFrame:
+    """(left_id, block): for each query the idx of its neighbours by rank, where both are known to the collection by id."""
+    at = collection.select("id", "idx")
+    rows = found.join(at, "id").join(at.select(F.col("id").alias("query_id"), F.col("idx").alias("left_id")), "query_id")
+    return as_blocks(rows.select(F.col("left_id").alias("query_id"), "rank", F.col("idx").alias("id"))).withColumnRenamed("query_id", "left_id")
+
+
+def nearest_in_block_file(spark: SparkSession, path: str, left: DataFrame, right: DataFrame, k: int = 100, exclude_self: bool = False) -> DataFrame:
+    """nearest_in_blocks for the pairs of a blocks file, as (left_id, block) in order of rank."""
+    pairs, _ = readers.blocks(spark, path)
+    found = nearest_in_blocks(pairs, left, right, k, exclude_self)
+    return as_blocks(found.select(F.col("left_id").alias("query_id"), "rank", F.col("right_id").alias("id"))).withColumnRenamed("query_id", "left_id")
+
+
+def embedding_rows(a: DataFrame, b: DataFrame, embed: Callable[[Column], Column] = hashed_embedding) -> DataFrame:
+    """(variant, id, title, embedding) to write as a file: the titles of a, the same without middle names under id_first_sur, and the titles of b."""
+    rows = lambda df, variant, key, title: df.select(F.lit(variant).alias("variant"), key.alias("id"), title.alias("title"))
+    key, title = F.col("id"), F.col("title")
+    made = rows(a, "whole", key, title).unionAll(rows(a, "first_sur", F.concat(key, F.lit("_first_sur")), text.without_middle(title))).unionAll(rows(b, "other", key, title))
+    return made.select("variant", "id", "title", embed(F.col("title")).alias("embedding"))
+
+
+def collection_of_embeddings(rows: DataFrame, a: str, b: str, first_sur: bool = False) -> DataFrame:
+    """A collection of embedding_rows: source a in its whole or its first_sur variant, and source b."""
+    chosen = rows.where(F.col("variant").isin("first_sur" if first_sur else "whole", "other"))
+    return chosen.select("id", F.col("title").alias("document"), "embedding", F.when(F.col("variant") == "other", F.lit(b)).otherwise(F.lit(a)).alias("source"))
+
+
+def experiment(truth: DataFrame, collection: DataFrame, a: str, b: str, k: int) -> DataFrame:
+    """retrieval of truth (left_id in a, right_id in b) from the k neighbours of each in the other source, with candidates k."""
+    of = lambda s: collection.where(F.col("source") == s)
+    return retrieval(truth, *nearest_both_ways(of(a), of(b), k)).withColumn("candidates", F.lit(k))
+
+
 def retrieval(truth: DataFrame, forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Truth rows (left_id, right_id) with the distance of the right one among the left one's neighbours, and the other way round; MISSING_DISTANCE where absent."""
     f = forward.select(F.col("query_id").alias("left_id"), F.col("id").alias("right_id"), F.col("distance").alias("forward"))

@@ -67,10 +67,14 @@ BEST = "best AS (SELECT left_id, right_id, max(sim) AS score FROM sims GROUP BY
 
 # cleaning and reshaping
 
+_FOLDED = f"translate(text, '{text.MARKED}', '{text.PLAIN}')"
+for _two, _ascii in text.TWO_LETTERS.items():
+    _FOLDED = f"replace({_FOLDED}, '{_two}', '{_ascii}')"
+
 
 @query(
     f"""SELECT doc_id, md5(c) AS cleaned, length(c) AS n FROM (SELECT doc_id, nullif(regexp_replace(lower(trim(trim(regexp_replace(
-  replace(regexp_replace(translate(text, '{text.MARKED}', '{text.PLAIN}'), '  +', ' ', 'g'), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), '"'), '''')), '^\\s+|\\s+$', '', 'g'), '') AS c FROM documents)"""
+  replace(regexp_replace({_FOLDED}, '  +', ' ', 'g'), chr(10), ' '), '^\\s+|\\s+$', '', 'g'), '"'), '''')), '^\\s+|\\s+$', '', 'g'), '') AS c FROM documents)"""
 )
 def clean_text(spark, d):
     c = table(spark, d, "documents").select("doc_id", text.clean(F.col("text")).alias("c"))
@@ -83,9 +87,11 @@ def name_parts_pivot(spark, d):
     return r.select("rec_id", "name_part_0", "name_part_1", F.size(text.parts(F.col("name_parts"))).cast("long").alias("n_parts"))
 
 
-@query("SELECT DISTINCT 'name_part_' || (i - 1) AS key FROM (SELECT unnest(range(1, len(string_split(n_name, ' ')) + 1)) AS i FROM nation)")
+@query("SELECT DISTINCT 'name_part_' || (i - 1) AS key FROM (SELECT unnest(range(1, len(string_split(x, ' ')) + 1)) AS i FROM (SELECT p_name AS x FROM part UNION ALL SELECT p_type || ' ' || p_brand FROM part UNION ALL SELECT n_name FROM nation))")
 def name_part_keys(spark, d):
-    return prepare.part_keys(nation_records(spark, d))
+    p = table(spark, d, "part")
+    titles = p.select("p_name").union(p.select(F.concat_ws(" ", "p_type", "p_brand"))).union(table(spark, d, "nation").select("n_name")).toDF("title")
+    return prepare.part_keys(titles.select(F.to_json(text.parts_from_title(F.col("title"))).alias("name_parts")))
 
 
 @query("""SELECT event_type, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM (
@@ -109,12 +115,15 @@ _RULE_LIST = ", ".join(f"{{'k': '{k}', 'v': '{v}'}}" for k, v in translit.RULES.
 
 @query(
     f"""WITH rules AS (SELECT unnest([{_RULE_LIST}]) AS r), m AS (SELECT map(list(r.k), list(r.v)) AS m FROM rules),
-t AS (SELECT unnest([{", ".join(f"'{x}'" for x in YIDDISH)}]) AS title)
-SELECT title, array_to_string(list_transform(regexp_extract_all(title, '{translit._pattern()}'), lambda x: m[x]), '') AS roman FROM t, m"""
+t AS (SELECT unnest([{", ".join(f"'{x}'" for x in YIDDISH)}]) AS title UNION ALL SELECT translate(text, 'abcdefghijklmnopqrstuvwxyz', 'אבגדהוזחטיכלמנסעפצקרשתךםןף') FROM documents WHERE text IS NOT NULL)
+SELECT md5(title) AS title, md5(array_to_string(list_transform(regexp_extract_all(title, '{translit._pattern()}'), lambda x: m[x]), '')) AS roman FROM t, m"""
 )
 def translit_tokens(spark, d):
-    t = spark.createDataFrame([(x,) for x in YIDDISH], "title string")
-    return t.select("title", translit.transliterate(F.col("title")).alias("roman"))
+    """Titles, and whole documents with their Latin letters written as Hebrew ones."""
+    written = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתךםןף")
+    t = spark.createDataFrame([(x,) for x in YIDDISH], "title string").union(table(spark, d, "documents").where("text is not null").select(written))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return t.select(digest(F.col("title")).alias("title"), digest(translit.transliterate(F.col("title"))).alias("roman"))
 
 
 @query("""SELECT p_partkey AS rec_id, CASE WHEN length(p_type) % 2 = 0 THEN string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2] ELSE string_split(p_name, ' ')[1] || ' ' || string_split(p_name, ' ')[2] END AS name FROM part""")
@@ -148,9 +157,11 @@ def block_part_presence(spark, d):
     return _blocks(spark, d, blocking.part_presence(F.col("name_parts")))
 
 
-@query("SELECT CAST(a.n_nationkey AS BIGINT) AS left_id, CAST(b.n_nationkey AS BIGINT) AS right_id FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey AND abs(length(a.n_name) - length(b.n_name)) <= 2")
+@query("SELECT a.p_partkey AS left_id, count(b.p_partkey) AS n FROM part a LEFT JOIN part b ON a.p_partkey <> b.p_partkey AND abs(length(a.p_name) - length(b.p_name)) <= 2 GROUP BY 1")
 def block_name_length(spark, d):
-    return _blocks(spark, d, blocking.title_length(F.col("title")))
+    """How many parts each part meets by the length of its name."""
+    of = blocking.labelled(part_records(spark, d), blocking.title_length(F.col("title")))
+    return evaluate.block_sizes(blocking.pairs(of, of, same=True), blocking.left_keys(of))
 
 
 @query("""WITH c AS (SELECT n_nationkey AS id, unnest(list_distinct(list_concat(list_transform(string_split(n_name, ' '), lambda x: {'n': 1, 't': length(x)}),
@@ -173,10 +184,10 @@ def block_consonants(spark, d):
     return _blocks(spark, d, blocking.consonants(F.lower("title")))
 
 
-@query("""SELECT CAST(a.n_nationkey AS BIGINT) AS left_id, count(b.n_nationkey) AS n FROM nation a LEFT JOIN nation b ON length(a.n_name) <= 8 AND length(b.n_name) <= 8 AND a.n_nationkey <> b.n_nationkey GROUP BY 1""")
+@query("""SELECT a.p_partkey AS left_id, count(b.p_partkey) AS n FROM part a LEFT JOIN part b ON length(a.p_name) <= 9 AND length(b.p_name) <= 9 AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey GROUP BY 1""")
 def block_keys_with_empty(spark, d):
-    labels = F.array(F.when(F.length("title") > 8, F.lit("None")).otherwise(F.lit("short")))
-    of = blocking.labelled(nation_records(spark, d), labels)
+    labels = F.array(F.when(F.length("title") > 9, F.lit("None")).otherwise(F.col("p_brand")))
+    of = blocking.labelled(part_records(spark, d), labels)
     return evaluate.block_sizes(blocking.pairs(of, of, same=True), blocking.left_keys(of))
 
 
@@ -327,10 +338,10 @@ def _near(df):
     return df.withColumn("distance", F.round("distance", 5)).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query(_KNN.format(dist=_DIST, where="a.label < 5 AND b.label >= 5") + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 5) AS distance FROM r WHERE rank <= 5")
+@query(_KNN.format(dist=_DIST, where="(a.label < 5) <> (b.label < 5)") + ", s AS (SELECT vec_id, label < 5 AS low FROM embeddings) SELECT CASE WHEN low THEN 'a to b' ELSE 'b to a' END AS direction, query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 5) AS distance FROM r JOIN s ON vec_id = query_id WHERE rank <= 5")
 def knn_cross(spark, d):
-    a, b = _collection(spark, d, "a"), _collection(spark, d, "b")
-    return _near(vectors.nearest_both_ways(a, b, 5)[0])
+    rows = _collection(spark, d).withColumn("source", F.when(F.col("label") < 5, F.lit("a")).otherwise(F.lit("b")))
+    return _near(vectors.nearest_across_sources(rows, "a", "b", 5))
 
 
 @query(_KNN.format(dist=_DIST, where="a.vec_id <> b.vec_id") + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 5) AS distance FROM r WHERE rank <= 5")

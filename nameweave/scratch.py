@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table of a few narrow columns may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of its rows, as measured, up to which a table may be broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _roots: dict[str, str] = {}
 
@@ -67,11 +69,28 @@ def written(df: DataFrame, label: str, compression: str = "zstd", rows: int | No
     return Table(df, label, compression, rows).df
 
 
-def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows; rows saves counting them."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+def _width(name: str, kind: T.DataType) -> Column:
+    """The bytes of one value in a row, about: 8 for a number, and what a text or an array holds besides."""
+    value = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        held = F.octet_length(value)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        held = F.octet_length(F.array_join(value, "")) + 16 * F.size(value)
+    elif isinstance(kind, T.ArrayType):
+        held = 8 * F.size(value)
+    elif isinstance(kind, (T.StructType, T.MapType)):
+        held = F.octet_length(F.to_json(value))
+    else:
+        held = F.lit(0)
+    return F.greatest(F.coalesce(held, F.lit(0)), F.lit(0)).cast("long") + 8
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, upon which executors delete the shuffle files of jobs that are done and will not be read again."""
-    spark.sparkContext._jvm.System.gc()
+def size_of(df: DataFrame) -> int:
+    """The bytes of all rows of df in a hash table, by one pass over them."""
+    widths = [_width(f.name, f.dataType) for f in df.schema]
+    return df.agg(F.sum(reduce(lambda a, b: a + b, widths, F.lit(24))).alias("n")).head()["n"] or 0
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its rows measure at most `most` bytes (BROADCAST_BYTES by default); else as it is, so that a join shuffles both sides."""
+    return F.broadcast(df) if size_of(df) <= (BROADCAST_BYTES if most is None else most) else df

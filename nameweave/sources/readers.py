@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from nameweave.operators.numbering import numbered_as_read
+
 
 def _strings(*names: str) -> list[StructField]:
     return [StructField(n, StringType()) for n in names]
@@ -30,8 +32,8 @@ def unquoted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """Records with rec_id by place in their files. Number tables once and write them; the number is their identity from then on."""
-    return records.select(F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("long").alias("n"), "*").withColumn("rec_id", F.col("n") - 1).drop("n")
+    """Records with rec_id by place in their files, written once; the number is their identity from then on."""
+    return numbered_as_read(records, "rec_id")
 
 
 def record_pair(spark: SparkSession, left: str, right: str, matches: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -46,6 +48,12 @@ def blocks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return of.select("left_id", F.explode("block").alias("right_id")).distinct(), of.select("left_id")
 
 
+def block_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The same of writers.blocks, which has one object for each left id, so files of any size are read by many tasks."""
+    of = spark.read.schema("left_id bigint, block array<bigint>").json(path)
+    return of.select("left_id", F.explode("block").alias("right_id")).distinct(), of.select("left_id")
+
+
 def lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(line) of text or JSONL files."""
     return spark.read.text(path if isinstance(path, str) else list(path)).withColumnRenamed("value", "line")

@@ -11,10 +11,8 @@ def delimited(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def unquoted(df: DataFrame, path: str) -> None:
-    """TSV without quotes; fields must hold no tabs."""
-    lines = df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("value"))
-    head = df.sparkSession.createDataFrame([("\t".join(df.columns),)], "value string")
-    head.unionAll(lines).coalesce(1).write.mode("overwrite").text(path)
+    """TSV without quotes; fields must hold no tabs or line ends."""
+    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").option("escapeQuotes", False).csv(path)
 
 
 def blocks(as_blocks: DataFrame, path: str) -> None:

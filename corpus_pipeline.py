@@ -18,8 +18,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the smallest doc_id stays."""
-    return simhash.without_near_duplicates(docs)
+    """SimHash near-dedup: of each component one document stays, that with the smallest doc_id.
+
+    SimHash's two bits let near copies through, so those by five-word Jaccard similarity go after it.
+    """
+    return near_copies.without_near_copies(written(simhash.without_near_duplicates(docs), "without_near_duplicates"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +31,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: documents that the mix takes twice are there twice, those that it leaves out are gone.
-
-    Near copies by five-word Jaccard similarity, which SimHash's two bits let through, go first: they are not to be weighed.
-    """
-    return mixing.mixed(written(near_copies.without_near_copies(docs), "without_near_copies"))
+    """Mixing to target weights: documents that the mix takes twice are there twice, those that it leaves out are gone."""
+    return mixing.mixed(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

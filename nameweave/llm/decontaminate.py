@@ -6,9 +6,10 @@ any one of its shingles is a sufficient prefix, and the rarest one over all docu
 this shingle at position p is a candidate for the window's start at p minus the shingle's place in the window, if the
 window then lies within the document; the words around p decide exactly.
 
-One scan finds all positions of any benchmark shingle and keeps the words around them, from which both the
-frequencies and the candidates come. Only the benchmark's shingles are broadcast, in blocks of at most BLOCK of them;
-a benchmark of more takes more scans, and documents' words never go through a shuffle.
+Documents are scanned twice, and their words never go through a shuffle. The first scan counts the benchmark's shingles, which
+gives the rarest of each window; only counts leave a task. The second one joins positions with these prefixes and checks the
+words around them in place. Shingles that measure too much to be broadcast meet after a shuffle, but only of positions that a bitmap of
+them lets through, each with the words around it.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameweave.llm.columns import ascii_lower, without
-from nameweave.scratch import Table, small, written
+from nameweave.llm.columns import ascii_lower, in_bitmap, text_key, without
+from nameweave.scratch import BROADCAST_BYTES, Table, size_of, small, written
 
-SIZE, SHINGLE, BLOCK = 10, 3, 500_000
+SIZE, SHINGLE = 10, 3
 #: What parts words, once A-Z are lower-cased.
 BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -49,62 +50,69 @@ def _shingles(distinct: DataFrame) -> DataFrame:
     return placed.withColumn("shingle", made.otherwise(_shingle(F.col("words"), F.col("place"), SHINGLE)))
 
 
-def _positions(docs: DataFrame, keys: DataFrame, lengths: list[int], size: int, every: bool) -> DataFrame:
-    """(doc_id, text_key, n_words, row, at, shingle, around): where a shingle of keys stands; with every, also one row for each row of docs, where row is true.
-
-    around holds the words from size - 1 places before to size - 1 places after the position.
-    """
-    w = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
-    at = w.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)))).alias("at"))
+def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, text_key, w, at, shingle): every shingle of every document with its place, for each length of shingles."""
+    w = docs.select("doc_id", text_key().alias("text_key"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    at = w.select("*", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("at"))
     if len(lengths) == 1:
-        at = at.select("*", F.lit(0).alias("of"), _shingle(F.col("w"), F.col("at"), lengths[0]).alias("key"))
-    else:
-        at = at.select("*", F.posexplode(F.array(*(_shingle(F.col("w"), F.col("at"), n) for n in lengths))).alias("of", "key"))
-    row = ((F.col("at") == 0) & (F.col("of") == 0)) if every else F.lit(False)
-    hit = at.join(F.broadcast(keys), F.col("key") == F.col("shingle"), "left" if every else "inner")
-    hit = hit.where(F.col("shingle").isNotNull() | row) if every else hit
-    from_ = F.greatest(F.col("at") - (size - 1), F.lit(0))
-    around = F.when(F.col("shingle").isNotNull(), F.slice("w", from_ + 1, F.col("at") - from_ + size + SHINGLE))
-    return hit.select("doc_id", "text_key", F.size("w").alias("n_words"), row.alias("row"), "at", "shingle", around.alias("around"))
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(found, rows): found has (doc_id, text_key, start, words) of every occurrence of a window; rows has (doc_id, text_key, n_words) of each row of docs."""
-    made = Table(windows(benchmark, size).select("words"), "windows").df
+        return at.select("*", _shingle(F.col("w"), F.col("at"), lengths[0]).alias("shingle"))
+    return at.select("*", F.explode(F.array(*(_shingle(F.col("w"), F.col("at"), n) for n in lengths))).alias("shingle"))
+
+
+def _counted(positions: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """(shingle, f): how often each of keys (column shingle) stands in the documents."""
+    few = size_of(keys) <= most
+    at = positions.select("shingle")
+    at = at.join(F.broadcast(keys), "shingle", "left_semi") if few else at.where(in_bitmap(keys, "shingle"))
+    f = at.groupBy("shingle").agg(F.count("*").alias("f"))
+    return f if few else f.join(keys, "shingle", "left_semi")
+
+
+def _occurrences(positions: DataFrame, prefix: DataFrame, size: int, most: int) -> DataFrame:
+    """(doc_id, text_key, start, words) of the windows of prefix (shingle, words, place) that stand in the documents."""
+    p = prefix.select(F.col("shingle").alias("s"), "words", "place")
+    start = F.col("at") - F.col("place")
+    if size_of(prefix) <= most:
+        inside = (start >= 0) & (start + F.size("words") <= F.size("w"))
+        met = positions.join(F.broadcast(p), (F.col("shingle") == F.col("s")) & inside)
+        found = met.where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    else:  # around holds the words from size - 1 places before to size + SHINGLE places after the position
+        begin = F.greatest(F.col("at") - (size - 1), F.lit(0))
+        some = positions.where(in_bitmap(prefix, "shingle")).select("doc_id", "text_key", "at", "shingle", begin.alias("begin"), F.slice("w", begin + 1, F.col("at") - begin + size + SHINGLE).alias("around"))
+        inner = start - F.col("begin")
+        met = some.join(p, (F.col("shingle") == F.col("s")) & (start >= 0) & (inner + F.size("words") <= F.size("around")))
+        found = met.where(F.slice("around", F.greatest(inner, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    return found.select("doc_id", "text_key", start.alias("start"), "words").distinct()
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most: int | None = None) -> DataFrame:
+    """(doc_id, text_key, start, words) of every occurrence of a window. Up to `most` bytes of shingles are broadcast."""
+    most = BROADCAST_BYTES if most is None else most
+    made = Table(windows(benchmark, size).select("words").distinct(), "windows")
     n = made.count()
-    shingles = Table(_shingles(made.distinct()), "window_shingles", rows=n * size).df
+    shingles = Table(_shingles(made.df), "window_shingles", rows=n * size).df
     keys = Table(shingles.select("shingle").distinct(), "benchmark_shingles", rows=n * size).df
     lengths = sorted(r.n for r in shingles.select("n").distinct().collect()) or [SHINGLE]  # at most SHINGLE rows
-    n_keys = keys.count()
-    blocks = max(1, -(-n_keys // BLOCK))
-    at = _positions(docs, keys.where(F.pmod("shingle", F.lit(blocks)) == 0), lengths, size, True)
-    for b in range(1, blocks):
-        at = at.unionAll(_positions(docs, keys.where(F.pmod("shingle", F.lit(blocks)) == b), lengths, size, False))
-    at = written(at, "positions")
-    rows = at.where("row").select("doc_id", "text_key", "n_words")
-    counts = small(at.where("shingle is not null").groupBy("shingle").agg(F.count("*").alias("f")), n_keys)
-    rarest = Window.partitionBy("words").orderBy("f", "place")
-    # a window of which any shingle stands nowhere stands nowhere itself
-    prefix = shingles.join(counts, "shingle", "left").select("*", F.min(F.coalesce("f", F.lit(0))).over(Window.partitionBy("words")).alias("least"))
-    prefix = prefix.where("least > 0").select("*", F.row_number().over(rarest).alias("r")).where("r = 1")
-    prefix = written(prefix.select(F.col("shingle").alias("__s"), "words", "place"), "prefixes", rows=n)
-    start = F.col("at") - F.col("place")
-    bounds = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
-    # place of the start within the words around
-    inner = start - F.greatest(F.col("at") - (size - 1), F.lit(0))
-    found = at.join(small(prefix), (F.col("shingle") == F.col("__s")) & bounds)
-    found = found.where(F.slice("around", F.greatest(inner, F.lit(0)) + 1, F.size("words")) == F.col("words"))
-    return found.select("doc_id", "text_key", start.alias("start"), "words").distinct(), rows
+    positions = _positions(docs, lengths)
+    counts = Table(_counted(positions, keys, most), "shingle_counts", rows=n * size).df
+    # a window of which any shingle stands nowhere stands nowhere itself, so the least count is 0 or the prefix's
+    prefix = shingles.join(small(counts), "shingle", "left")
+    rarest = Window.partitionBy("words").orderBy(F.coalesce("f", F.lit(0)), "place")
+    prefix = prefix.select("shingle", "words", "place", "f", F.row_number().over(rarest).alias("r")).where("r = 1 and f > 0")
+    prefix = Table(prefix.select("shingle", "words", "place"), "prefixes", rows=n).df
+    made.drop()
+    return _occurrences(positions, prefix, size, most)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A word is hit if it stands inside any occurrence of a window. Null and empty texts have no words. Rows that repeat
-    doc_id and text get equal rows. Null item_ids count as no item, though their windows hit.
+    A word is hit if it stands inside any occurrence of a window. Null and empty texts have no words, long ones are taken whole. Rows that repeat
+    doc_id and text get equal rows; rows that share a doc_id or have none are apart by their texts. Null item_ids count as no item, though
+    their windows hit. Empty tables give no rows and no hits; other columns aren't read.
     """
-    found, rows = hits(docs, benchmark, size)
-    found = written(found.withColumn("length", F.size("words")), "window_hits")
+    found = written(hits(docs, benchmark, size).withColumn("length", F.size("words")), "window_hits")
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.size(words(F.col("text"))).alias("n_words"))
     key = ["doc_id", "text_key"]
     # words hit: with occurrences in order of their starts, each adds what lies past the furthest end before it
     furthest = F.max(F.col("start") + F.col("length")).over(Window.partitionBy(*key).orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1))
@@ -127,9 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs without the rows whose document holds a window; rows that share a doc_id are one document."""
-    found, _ = hits(docs, benchmark, size)
-    return without(docs, written(found.select("doc_id").distinct(), "contaminated"))
+    """docs without the rows whose text holds a window."""
+    return without(docs, written(hits(docs, benchmark, size).select("doc_id", "text_key").distinct(), "contaminated"))
 
 
 _WORDS = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BETWEEN}'), lambda x: x <> '')"

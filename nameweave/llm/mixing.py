@@ -1,12 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Each source's documents are shuffled, once for each time round, and a copy of a document finishes at the virtual time
-(source words so far, this copy included) / (target words of the source). Over the whole mix, copies are range-sorted
-by virtual time and taken until the budget is used up.
-
-Running sums never need one task for a source: a source's copies fall into buckets by the leading bits of their shuffle
-hash, bucket sums are added up first, and only within a bucket does a window run. The global order is cut the same way,
-by ranges of virtual time.
+Each source's documents are shuffled by a hash. A document finishes at the virtual time (source words so far, its own
+included) / (target words of the source); when it comes up again in a later round, all words of the source and round are
+added. Over the whole mix, copies are taken in order of virtual time until the budget is used up.
+
+Running sums never need one task for a source: a source's documents fall into buckets by the leading bits of their hash,
+bucket sums are added up first, and only within a bucket does a window run. The global order is cut the same way, by ranges
+of virtual time: words are summed by range, all ranges before the one in which the budget ends are taken whole, and only that one is
+sorted. As times rise within a source, what the mix takes of it is a run of its shuffled documents from the first on, round after
+round. So one row for each source, with the last document taken, says what becomes of any document, and texts never move.
 """
 
 from __future__ import annotations
@@ -14,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameweave.scratch import BROADCAST_ROWS, written
+from nameweave.llm.columns import fresh, ordinal, own, repeated, text_key
+from nameweave.operators.numbering import numbered
+from nameweave.scratch import Table, small
 
 WEIGHTS, SHARE, ROUNDS, SEED = (3, 1, 2), 1.5, 2, 17
-#: Rows of a bucket that a window is meant to sort, until there are BUCKETS of them.
+#: Rows of a bucket that a window is meant to sort, until there are BUCKETS of them for a source and 3 * BUCKETS ranges of time.
 BUCKET_ROWS, BUCKETS = 1024, 1 << 16
 
 
@@ -29,99 +33,119 @@ def words(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """(source, source_size, target) from (source, source_size): share of all words by weight, none over rounds times its source.
 
-    Weights go round over the sources by code point, null last. With the sources in order of limit / weight, the first k
-    stand at their limit, and the others share what is left by weight: k is the first place after which no other one would
-    pass its limit. That is where resharing the excess again and again ends. One row per source goes through one window.
+    Weights go round over the sources by code point, null last. The level is what a source of weight 1 gets. Those whose limit
+    is below their share stand at the limit, and what is left gives the others a new, higher level, until none is above. Each turn
+    counts the open sources of each weight; nothing but these few numbers comes to the driver.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.select("source", "source_size", weight.alias("w"), (F.col("source_size") * float(rounds)).alias("limit"))
-    s = s.withColumn("ratio", F.col("limit") / F.col("w"))
-    # every column below is a function of whole groups of equal ratio, so ties need no order
-    order = Window.orderBy("ratio")
-    every = Window.partitionBy()
-    before = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.select(
-        "*",
-        (F.sum("source_size").over(every) * share).alias("budget"),
-        (F.sum("limit").over(before)).alias("filled"),
-        (F.sum("w").over(every) - F.sum("w").over(before)).alias("open"),
-    )
-    # the level if all up to this ratio stand at their limit, and if none does
-    level = F.when(F.col("open") > 0, (F.col("budget") - F.col("filled")) / F.col("open"))
-    none = F.max(F.col("budget")).over(every) / F.sum("w").over(every)
-    s = s.select("*", level.alias("level"), none.alias("none"))
-    s = s.select("*", F.lead("ratio").over(Window.orderBy("ratio", F.col("source").isNull(), F.col("source").cast("binary"))).alias("next_ratio"))
-    valid = F.when((F.col("ratio") < F.col("next_ratio")) & (F.col("level") <= F.col("next_ratio")) & (F.col("level") >= F.col("ratio")), F.col("level"))
-    smallest = F.min("ratio").over(every)
-    at = F.when(F.col("none") <= smallest, F.col("none")).otherwise(F.min(valid).over(every))
-    return s.select("source", "source_size", F.when(at.isNull(), F.col("limit")).otherwise(F.least("limit", at * F.col("w"))).alias("target"))
-
-
-def _running(rows: DataFrame, keys: list[str], bucket: str, order: list, value: str, name: str) -> DataFrame:
-    """rows with the sum of value over the rows of the same keys up to this one, by bucket and then by order."""
-    sums = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("__sum"))
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*(F.col(k).alias(f"__{k}") for k in [*keys, bucket]), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ran = rows.withColumn("__run", F.sum(value).over(within))
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, bucket]]
-    return ran.join(offsets, on).withColumn(name, F.col("__before") + F.col("__run")).drop("__before", "__run", *(f"__{k}" for k in [*keys, bucket]))
-
-
-def _entries(docs: DataFrame) -> DataFrame:
-    """The queue's entries: rows that repeat doc_id, source and text are one, of n rows together."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", "source", F.xxhash64(text).alias("text_key"), words(F.col("text")).alias("size"))
-    return keyed.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("n"))
+    s = sizes.select("source", "source_size", F.col("source").isNull().alias("last"), F.col("source").cast("string").alias("name"))
+    s = numbered(s, ["last", "name"], "place").select("source", "source_size", F.pmod("place", F.lit(len(weights))).cast("int").alias("k"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("k") + 1)
+    s = Table(s.select("source", "source_size", "k", weight.alias("w"), (F.col("source_size") * rounds).alias("most")), "source_weights").df
+    budget = (s.agg(F.sum("source_size").alias("n")).head()["n"] or 0) * share
+    level = None
+    while True:
+        open_ = F.lit(True) if level is None else F.col("most") > F.lit(level) * F.col("w")
+        by_weight = s.groupBy("k").agg(F.sum(open_.cast("long")).alias("n"), F.sum(F.when(~open_, F.col("most"))).alias("full")).orderBy("k").collect()  # at most len(weights) rows
+        weight_left = sum(r["n"] * float(weights[r["k"]]) for r in by_weight)
+        new = (budget - sum(r["full"] or 0 for r in by_weight)) / weight_left if weight_left else float("inf")
+        if level is not None and not new > level:
+            break
+        level = new
+        if level == float("inf"):
+            break
+    return s.select("source", "source_size", F.least(F.col("most").cast("double"), F.lit(level) * F.col("w")).alias("target"))
+
+
+def _source_key(df: DataFrame) -> Column:
+    """The source without nulls."""
+    return F.coalesce(F.concat(F.lit("1"), F.col("source").cast("string")), F.lit(""))
+
+
+def _place(df: DataFrame, seed: int) -> list[Column]:
+    """A document's place in its source's shuffle: a hash, and what sets equal hashes apart."""
+    return [F.xxhash64(F.lit(seed), F.col("doc"), F.col("key")).alias("h"), F.col("doc"), F.col("key")]
+
+
+def _with_times(entries: DataFrame, aim: DataFrame, buckets: int) -> DataFrame:
+    """entries (s, h, doc, key, cost) with the time at which each finishes in its first round, and the time of a whole round."""
+    entries = entries.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * buckets).cast("long"))
+    sums = entries.groupBy("s", "bucket").agg(F.sum("cost").alias("sum"))
+    earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = Table(sums.select("s", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("before")), "bucket_offsets").df
+    within = Window.partitionBy("s", "bucket").orderBy("h", "doc", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ran = entries.withColumn("run", F.sum("cost").over(within)).join(small(offsets), ["s", "bucket"]).join(small(aim), "s")
+    ran = ran.where("target > 0")
+    return ran.select("s", "h", "doc", "key", "cost", ((F.col("before") + F.col("run")) / F.col("target")).alias("time"), (F.col("source_size") / F.col("target")).alias("whole"))
+
+
+def _aim(docs: DataFrame, weights: tuple[int, ...], share: float, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(entries, aim): entries has one row for equal rows of docs; aim has s, source_size, target and the last copy taken of each source."""
+    rows = docs.select("source", _source_key(docs).alias("s"), ordinal(docs).alias("doc"), text_key().alias("key"), words(F.col("text")).alias("size"))
+    rows = rows.groupBy("source", "s", "doc", "key", "size").agg(F.count("*").alias("n"))
+    entries = Table(rows.select("*", _place(rows, seed)[0], (F.col("size") * F.col("n")).alias("cost")), "mix_entries").df
+    sizes = entries.groupBy("source").agg(F.sum("cost").alias("source_size"))
+    aim = targets(Table(sizes, "source_sizes").df, weights, share, rounds)
+    aim = Table(aim.select(_source_key(aim).alias("s"), "source_size", "target"), "mix_targets").df
+    buckets = min(BUCKETS, max(1, entries.count() // BUCKET_ROWS))
+    timed = _with_times(entries.where("cost > 0").select("s", "h", "doc", "key", "cost"), aim, buckets)
+    copies = timed.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("time", F.col("time") + F.col("round") * F.col("whole")).drop("whole")
+    # ranges of equal width up to time 2, and as many for all that is later
+    t = F.col("time")
+    copies = copies.withColumn("range", F.floor(F.when(t <= 2, t).otherwise(3 - 1 / (t - 1)) * buckets).cast("long"))
+    copies = Table(copies, "mix_times").df
+    budget = aim.agg(F.sum("target").alias("t")).head()["t"] or 0.0
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most 3 * buckets rows
+    filled = copies.groupBy("range").agg(F.sum("cost").alias("sum")).select("range", "sum", F.sum("sum").over(upto).alias("upto"))
+    cut = filled.where(F.col("upto") > F.lit(budget)).orderBy("range").select("range", (F.col("upto") - F.col("sum")).alias("before")).head()
+    at = F.struct("round", "h", "doc", "key").alias("at")
+    if cut is None:
+        taken = copies.select("s", at)
+    else:
+        in_order = Window.orderBy("time", "s", "h", "doc", "key", "round").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over one range
+        ends = copies.where(F.col("range") == cut["range"]).withColumn("sum", F.sum("cost").over(in_order) + F.lit(cut["before"]))
+        taken = copies.where(F.col("range") < cut["range"]).select("s", at).union(ends.where(F.col("sum") <= F.lit(budget)).select("s", at))
+    last = taken.groupBy("s").agg(F.max("at").alias("at")).select("s", *(F.col(f"at.{c}").alias(f"last_{c}") for c in ("round", "h", "doc", "key")))
+    return entries, Table(aim.join(last, "s", "left"), "mix_ends").df
+
+
+def _copies(size: Column, here: list[Column], last: list[Column]) -> Column:
+    """How often the mix takes a document: once for each round before the one in which its source's last copy is, and in that one if it isn't behind that copy."""
+    round_, h, doc, key = last
+    before = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(here))) <= F.struct(h.alias("c0"), doc.alias("c1"), key.alias("c2"))
+    return F.when((size > 0) & round_.isNotNull(), round_ + before.cast("int")).otherwise(F.lit(0))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """One row for each entry: doc_id, source, text_key, size, n, source_size, target, copies (times that the mix takes it).
+    """One row for each different (source, doc_id, text): source, doc (ordinal of doc_id), key (hash of the text), size, n (equal rows), source_size, target, copies (times that the mix takes it).
 
     The order depends on seed, doc_id and text alone, so reruns agree. Null sources are one source, null texts have size 0.
-    Entries without words cost nothing and have no virtual time of their own: they are taken 0 times.
+    Documents without words cost nothing and have no virtual time of their own: they are taken 0 times. Equal rows are taken
+    together. An empty table gives no rows.
     """
-    n = docs.count()
-    entries = written(_entries(docs), "mix_entries", rows=n)
-    total = entries.count()
-    sizes = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
-    aim = written(targets(sizes, weights, share, rounds), "mix_targets", rows=0)
-    aim_cols = aim.select(F.col("source").alias("__source"), "source_size", "target")
-    rows = entries.join(F.broadcast(aim_cols) if aim.count() <= BROADCAST_ROWS else aim_cols, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    buckets = min(BUCKETS, max(1, total // BUCKET_ROWS))
-    copies = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), (F.col("size") * F.col("n")).alias("cost"))
-    copies = copies.withColumn("__h", F.xxhash64(F.lit(seed), "round", "doc_id", "text_key"))
-    # the rounds follow each other; within a round, buckets are ranges of the hash
-    copies = copies.withColumn("__bucket", F.col("round") * F.lit(1 << 32) + F.floor((F.col("__h") / F.lit(2.0**64) + 0.5) * buckets).cast("long"))
-    copies = _running(copies, ["source"], "__bucket", ["__h", "doc_id", "text_key"], "cost", "__words")
-    copies = copies.where("target > 0").withColumn("__time", F.col("__words") / F.col("target"))
-    copies = written(copies.select("doc_id", "source", "text_key", "size", "n", "cost", "round", "__h", "__time"), "mix_times", rows=rounds * total)
-    # range-sort by virtual time; times run up to rounds / share and a little more
-    copies = copies.withColumn("__range", F.floor(F.col("__time") * (2 * buckets)).cast("long"))
-    budget = aim.agg(F.sum("target").alias("__budget"))
-    copies = _running(copies.withColumn("__all", F.lit(0)), ["__all"], "__range", ["__time", "source", "__h", "round", "doc_id", "text_key"], "cost", "__sum")
-    taken = copies.join(F.broadcast(budget)).where("__sum <= __budget")
-    taken = taken.groupBy("doc_id", "source", "text_key").agg(F.count("*").alias("copies"))
-    on = [F.col(c).eqNullSafe(F.col(f"__t_{c}")) for c in ("doc_id", "source", "text_key")]
-    taken = taken.select(*(F.col(c).alias(f"__t_{c}") for c in ("doc_id", "source", "text_key")), "copies")
-    rows = rows.join(taken, on, "left").select("doc_id", "source", "text_key", "size", "n", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("copies"))
-    return rows
-
-
-def mixed_sizes(docs: DataFrame, **options) -> DataFrame:
+    entries, aim = _aim(docs, weights, share, rounds, seed)
+    last = [F.col(f"last_{c}") for c in ("round", "h", "doc", "key")]
+    here = [F.col(c) for c in ("h", "doc", "key")]
+    return entries.join(small(aim), "s").select("source", "doc", "key", "size", "n", "source_size", "target", _copies(F.col("size"), here, last).alias("copies"))
+
+
+def _decided(docs: DataFrame, weights: tuple[int, ...], share: float, rounds: int, seed: int) -> tuple[DataFrame, dict[str, str]]:
+    """docs with size, source_size, target and copies under new names, and these names."""
+    _, aim = _aim(docs, weights, share, rounds, seed)
+    names = dict(zip(("s", "size", "source_size", "target", "copies", "round", "h", "doc", "key"), fresh(docs, "source_key", "size", "source_size", "target", "copies", "round", "h", "doc", "key"), strict=True))
+    aim = aim.select(F.col("s").alias(names["s"]), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), *(F.col(f"last_{c}").alias(names[c]) for c in ("round", "h", "doc", "key")))
+    rows = docs.select(*own(docs), _source_key(docs).alias(names["s"]), words(F.col("text")).alias(names["size"])).join(small(aim), names["s"])
+    doc, key = ordinal(docs), text_key()
+    copies = _copies(F.col(names["size"]), [F.xxhash64(F.lit(seed), doc, key), doc, key], [F.col(names[c]) for c in ("round", "h", "doc", "key")])
+    return rows.withColumn(names["copies"], copies), names
+
+
+def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
-    rows = mix(docs, **options)
-    each = rows.select("*", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("__i"))
-    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    rows, c = _decided(docs.select("doc_id", "source", "text"), weights, share, rounds, seed)
+    return rows.select("doc_id", F.col(c["size"]).alias("size"), F.col(c["source_size"]).alias("source_size"), F.col(c["target"]).alias("target"), (F.col(c["size"]) * F.col(c["copies"])).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: a row that it takes twice is there twice, a row that it leaves out is gone."""
-    take = written(mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__m_id"), F.col("source").alias("__m_source"), F.col("text_key").alias("__m_key"), "copies"), "mix_copies", rows=docs.count())
-    take = take.withColumnRenamed("copies", "__m_copies")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    on = F.col("doc_id").eqNullSafe(F.col("__m_id")) & F.col("source").eqNullSafe(F.col("__m_source")) & (key == F.col("__m_key"))
-    take = F.broadcast(take) if take.count() <= BROADCAST_ROWS else take
-    rows = docs.join(take, on).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__m_copies").cast("int"))).alias("__m_i"))
-    return rows.drop("__m_i")
+    rows, c = _decided(docs, weights, share, rounds, seed)
+    return repeated(rows.select(*own(docs), c["copies"]), c["copies"]).select(*own(docs))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameweave.llm.columns import in_batches, without
+from nameweave.llm.columns import in_batches, one_each, text_key, without
 from nameweave.operators.components import connected_components
 from nameweave.scratch import written
 
@@ -94,15 +94,11 @@ def _similar(a: str, b: str) -> Column:
     return f(a, b)
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-
-
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (x, y, root_x, root_y; x and y are text keys) whose texts are similar, as links a, b of roots."""
     pairs = written(pairs, "near_candidates")
     keys = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-    texts = docs.select(_text_key().alias("k"), "text").join(keys, "k", "left_semi").groupBy("k").agg(F.min("text").alias("t"))
+    texts = docs.select(text_key().alias("k"), "text").join(keys, "k", "left_semi").groupBy("k").agg(F.min("text").alias("t"))
     texts = written(texts, "near_candidate_texts")
     both = pairs.join(texts.select(F.col("k").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("k").alias("y"), F.col("t").alias("ty")), "y")
     return written(both.where(_similar("tx", "ty")).select(F.col("root_x").alias("a"), F.col("root_y").alias("b")).distinct(), "near_links")
@@ -134,11 +130,11 @@ def _the_rest(members: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, text_key, component_id (the smallest doc_id of its component, null if it has none).
+    """One row for each row of docs: doc_id, text_key, component_id (the smallest doc_id of its component, null if it has none), stays (whether it is the one of its component to keep).
 
     Null and empty texts are copies of each other; texts without words are near no other.
     """
-    base = written(in_batches(docs).select("doc_id", _text_key().alias("key"), _signature(F.col("text")).alias("sig")), "near_base")
+    base = written(in_batches(docs).select("doc_id", text_key().alias("key"), _signature(F.col("text")).alias("sig")), "near_base")
     n = base.count()
     texts = written(base.groupBy("key").agg(F.first("sig").alias("sig")), "near_texts", rows=n)
     roots = texts.select("key", F.col("key").alias("root"))
@@ -152,12 +148,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         merged = connected_components(found, "a", "b", n).select(F.col("node").alias("root"), "component")
         roots = written(roots.join(merged, "root", "left").select("key", F.coalesce("component", "root").alias("root")), "near_roots", rows=n)
     of = base.select("doc_id", "key").join(roots, "key")
-    smallest = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return of.join(smallest, "root").select("doc_id", F.col("key").alias("text_key"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("key").alias("text_key"))
+    smallest = of.groupBy("root").agg(F.min(first).alias("keeper"))
+    return of.join(smallest, "root").select("doc_id", F.col("key").alias("text_key"), F.col("keeper.doc_id").alias("component_id"), first.eqNullSafe(F.col("keeper")).alias("stays"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id isn't the smallest of its component. Rows that share a doc_id are one document."""
-    found = near_copies(docs)
-    others = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near_copies")
-    return without(docs, others)
+    """docs with one row of each component: the one with the smallest doc_id, null last, and of these the smallest hash of the text."""
+    found = near_copies(docs).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    found = written(found.where("not stays or n > 1"), "near_copies")
+    return one_each(without(docs, found.where("not stays")), found.where("stays"))

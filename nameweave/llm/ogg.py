@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from nameweave.llm.columns import in_batches
 
-RATE, BLOCK, STREAMS, SEGMENTS = 8000, 4096, 2, 255
+#: 4000 samples take 16 lacing values, which don't divide the 255 of a page, so packets run over pages.
+RATE, BLOCK, STREAMS, SEGMENTS = 8000, 4000, 2, 255
 CAPTURE, IDENT = b"OggS", b"\x01rawpcm8"
 CONTINUED, BOS, EOS = 1, 2, 4
 NO_GRANULE = (1 << 64) - 1
@@ -154,14 +155,19 @@ def restore(data: bytes) -> tuple[bytes, str]:
     """The payload, and features: seconds in all, and pages, packets and seconds of each stream."""
     of: dict[int, dict] = {}
     for s in demux(data).values():
-        magic, rate, block, k, streams, size = _IDENT.unpack(s["packets"][0])
-        if magic != IDENT:
+        first = s["packets"][0] if s["packets"] else b""
+        if len(first) != _IDENT.size or not first.startswith(IDENT):
             raise OggError("no raw samples")
+        _, rate, block, k, streams, size = _IDENT.unpack(first)
+        if not rate or k in of:
+            raise OggError("no sound head")
         of[k] = s | {"rate": rate, "size": size, "streams": streams}
-    if not of or len(of) != next(iter(of.values()))["streams"]:
+    if not of or len(of) != next(iter(of.values()))["streams"] or sorted(of) != list(range(len(of))):
         raise OggError("a stream is missing")
     blocks = [b""] * sum(len(s["packets"]) - 1 for s in of.values())
     for k, s in of.items():
+        if len(blocks[k :: len(of)]) != len(s["packets"]) - 1:
+            raise OggError("packets are missing")
         blocks[k :: len(of)] = s["packets"][1:]
     payload = b"".join(blocks)
     if any(s["size"] != len(payload) for s in of.values()):
@@ -216,7 +222,12 @@ def media_table(docs: DataFrame, text: str = "text", media: str = "media") -> Da
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes and the features of its stored media. Rows stay apart, repeats included."""
+    """One row for each row of docs: doc_id, n_bytes, the features of its stored media, and sound, which is false where a check failed; then features are null.
+
+    Null and empty texts are 64 bytes 0. Long texts are stored whole, in as many pages as they take. Rows stay apart, repeats included, an empty
+    table gives none, and other columns aren't read.
+    """
     rows = in_batches(docs).select("doc_id", F.col("text").alias("text"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     rows = rows.select("doc_id", "n_bytes", to_media(F.col("text")).alias("media"))
-    return rows.select("doc_id", "n_bytes", features(F.col("media")).alias("f")).select("doc_id", "n_bytes", "f.*")
+    rows = rows.select("doc_id", "n_bytes", features(F.col("media")).alias("f"))
+    return rows.select("doc_id", "n_bytes", "f.*", F.col("f.media_sha256").isNotNull().alias("sound"))

@@ -3,8 +3,8 @@
 Each labeller says good (1), bad (0) or nothing (-1) about a text. How often each combination of votes occurs is counted over
 all documents; there are at most 3 ** len(LABELLERS) of them. From these counts alone, expectation-maximisation estimates the
 share of good texts and how each labeller votes on good and on bad ones. The posterior of a combination is the soft
-label of its texts. A logistic model over hashed features learns these labels from a bounded sample, and it alone
-decides, so it also rates texts on which the labellers are silent or split.
+label of its texts. A logistic model over hashed features, among them the words themselves, learns these labels from a
+bounded sample, and it alone decides, so it also rates texts on which the labellers are silent or split.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameweave.llm.columns import in_batches
+from nameweave.llm.columns import in_batches, text_key
 
 #: Size of the feature space, expected rows of the training sample, least score that keeps a document, and words of a block in which repeats are counted.
-FEATURES, SAMPLE, KEEP, BLOCK = 1 << 12, 6000, 0.5, 200
+FEATURES, SAMPLE, KEEP, BLOCK = 1 << 18, 6000, 0.5, 200
 
 # Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -36,12 +36,12 @@ _PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:?!)»”\"]?")
 LABELLERS = ("symbols", "shouting", "lists", "repeats", "echoes", "top_word", "function_words", "plain_words")
 
 
-def measures(text: str | None) -> tuple[int, dict[str, float], Counter]:
-    """Number of words, a share for each labeller, and the words' shapes."""
+def measures(text: str | None) -> tuple[int, dict[str, float], Counter, Counter]:
+    """Number of words, a share for each labeller, and how often each shape of a word and each word occurs."""
     words = (text or "").split()
     n = len(words)
     if not n:
-        return 0, dict.fromkeys(LABELLERS, 0.0), Counter()
+        return 0, dict.fromkeys(LABELLERS, 0.0), Counter(), Counter()
     found = dict.fromkeys(LABELLERS, 0)
     shapes: Counter = Counter()
     counted = Counter(words)
@@ -65,7 +65,7 @@ def measures(text: str | None) -> tuple[int, dict[str, float], Counter]:
     shares["echoes"] = sum(map(str.__eq__, words, words[1:])) / n
     shares["top_word"] = max(counted.values()) / n
     shares["repeats"] = 1 - sum(len(set(b)) for b in blocks) / n
-    return n, shares, shapes
+    return n, shares, shapes, counted
 
 
 #: A share up to the first number votes for the first side, one from the second number on for the other; between them there is no vote. The last number is the least words for a vote.
@@ -106,17 +106,21 @@ def fit_votes(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> dict[t
     return {tuple(x): float(p) for x, p in zip(v.tolist(), post, strict=True)}
 
 
-def hashed(n: int, shares: dict[str, float], shapes: Counter) -> dict[int, float]:
-    """Sparse features: each shape's share, and which tenth each measure falls into."""
+def hashed(n: int, shares: dict[str, float], shapes: Counter, words: Counter) -> dict[int, float]:
+    """Sparse features: each shape's share, which tenth each measure falls into, and the different words, which weigh as much together as one tenth."""
     x: dict[int, float] = {0: 1.0}
     names = {f"shape:{k}": c / n for k, c in shapes.items()} | {f"{k}:{int(min(s, 0.999) * 10) if s else '-'}": 1.0 for k, s in shares.items()} | {f"length:{min(n, 1 << 20).bit_length()}": 1.0}
     for k, c in names.items():
         i = zlib.crc32(k.encode("utf-8", "surrogatepass")) % (FEATURES - 1) + 1
         x[i] = x.get(i, 0.0) + c
+    each = len(words) ** -0.5
+    for w in words:
+        i = zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) % (FEATURES - 1) + 1
+        x[i] = x.get(i, 0.0) + each
     return x
 
 
-def train(rows: list[dict[int, float]], labels: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def train(rows: list[dict[int, float]], labels: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Weights of a logistic model for soft labels, by accelerated full-batch gradients from 0: the same for the same rows."""
     weights = np.zeros(FEATURES)
     if not rows:
@@ -169,11 +173,12 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Counts votes over all of docs and trains on about `sample` of them, chosen by a hash of doc_id and text.
+    """Counts votes over all of docs and trains on about `sample` different texts at most, chosen by their hash.
 
-    Texts without words have no part in it. The sample's rows meet in one task, as features only.
+    Texts without words have no part in it. The sample meets in one task, as features only; copies of a text are one before that,
+    so no number of repeats makes it larger.
     """
-    docs = in_batches(docs.select("doc_id", "text"))
+    docs = in_batches(docs.select("text"))
     counted = docs.select(_vote_column(F.col("text")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     patterns = {tuple(map(int, r.v.split(","))): r.n for r in counted.collect()}  # at most 3 ** len(LABELLERS) rows
     posteriors = fit_votes(patterns)
@@ -196,19 +201,25 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         w = train([dict(zip(r["i"], r["x"], strict=True)) for r in rows], np.array([r["y"] for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], names=["w"])
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    key = text_key()
+    chosen = docs.select("text", key.alias("key")).where(F.pmod(F.xxhash64(F.lit(SAMPLE), "key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = chosen.dropDuplicates(["key"]).select("text")
     learnt = chosen.mapInArrow(features, "i array<int>, x array<double>, y double").repartition(1).mapInArrow(learn, "w array<double>").collect()
     return Model(posteriors, np.array(learnt[0].w) if learnt else np.zeros(FEATURES))
 
 
 def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """One row for each row of docs: doc_id, votes, posterior, score, keep. Null, empty and blank texts aren't kept."""
+    """One row for each row of docs: doc_id, votes, posterior, score, keep.
+
+    Null, empty and blank texts aren't kept; long ones are measured whole. Equal texts get equal rows, a score on the threshold keeps, and
+    an empty table gives none. Other columns aren't read.
+    """
     model = fit(docs, sample)
     rows = docs.select("doc_id", model.score(F.col("text")).alias("s"))
     return rows.select("doc_id", "s.votes", "s.posterior", "s.score", (F.col("s.score") >= keep).alias("keep"))
 
 
 def kept(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
+    """docs without the rows that the classifier rejects, each by its text alone."""
     model = fit(docs, sample)
-    return docs.withColumn("__quality", model.score(F.col("text"))["score"]).where(F.col("__quality") >= keep).drop("__quality")
+    return docs.where(model.score(F.col("text"))["score"] >= keep)

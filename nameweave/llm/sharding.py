@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameweave.scratch import Table, small, written
+from nameweave.llm.columns import ordinal, text_key
+from nameweave.operators.numbering import numbered
+from nameweave.scratch import Table
 
 SHARDS, KEY, ROUNDS = 24, 2024, 6
 #: Walks of more steps than this raise; their chance is below 64 ** -64.
 STEPS = 64
-#: Rows in a range of doc_ids that are numbered in one task, until there are RANGES of them.
-RANGE_ROWS, RANGES = 20_000, 10_000
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -28,10 +28,6 @@ def sides(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def _mixed(x: Column, key: int, turn: int, modulus: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(key), F.lit(turn), x), F.lit(modulus))
-
-
 def _network(p: Column, n: int, key: int, rounds: int) -> Column:
     """The places after one pass through the network, of numbers below A*B."""
     a, b = sides(n)
@@ -52,42 +48,24 @@ def permuted(number: Column, n: int, key: int = KEY, rounds: int = ROUNDS) -> Co
     return F.when(walk < n, walk).otherwise(F.raise_error(F.lit("a cycle walk didn't end")).cast("long"))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
-    """rows with their global number from 0 by the order, which must set apart all rows that differ.
-
-    Rows are dealt into ranges of the first column of the order, written with the range's number, and counted; a window numbers the rows
-    within a range, and the counts of the ranges before it are added.
-    """
-    ranges = min(RANGES, max(1, -(-rows.count() // RANGE_ROWS)))
-    cut = written(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = counts.select(F.col("__range"), F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__range").orderBy(*order)
-    return cut.withColumn("__i", F.row_number().over(within) - 1).join(small(before, ranges), "__range").withColumn(name, (F.col("__before") + F.col("__i")).cast("long")).drop("__range", "__i", "__before")
-
-
 def shards(docs: DataFrame, count: int = SHARDS, key: int = KEY) -> DataFrame:
     """One row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Law "rows": the shards' counts are at most one apart. Null doc_ids come first, null texts are of size 8; rows that
-    share a doc_id are ordered by their text's checksum, size and hash, and equal rows are interchangeable.
+    Law "rows": the shards' counts are at most one apart. Null doc_ids come first, null and empty texts are of size 8, and long ones
+    count as a whole; rows that share a doc_id are ordered by their text's checksum, size and hash, and equal rows are
+    interchangeable. An empty table gives none. Other columns of docs, whatever their names, aren't read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("__text"))
+    rows = docs.select("doc_id", ordinal(docs).alias("at"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), text_key().alias("text"))
     table = Table(rows, "sizes")
     n = table.count()
-    placed = numbered(table.df, ["doc_id", "text_crc32", "size", "__text"]).withColumn("__p", permuted(F.col("row_number"), max(1, n), key))
+    placed = numbered(table.df, ["at", "text_crc32", "size", "text"]).withColumn("place", permuted(F.col("row_number"), max(1, n), key))
     return placed.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
-        F.pmod("__p", F.lit(count)).cast("int").alias("shard"),
-        F.floor(F.col("__p") / F.lit(count)).cast("long").alias("slot"),
+        F.pmod("place", F.lit(count)).cast("int").alias("shard"),
+        F.floor(F.col("place") / F.lit(count)).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def place(number: int, n: int, count: int = SHARDS) -> tuple[int, int]:
-    """Shard and slot of a place of the permutation, and the inverse is slot * count + shard."""
-    return number % count, number // count

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameweave.llm.columns import in_batches
+from nameweave.llm.columns import in_batches, text_key
 from nameweave.llm.quality import SAMPLE, fit_votes, train
 
 #: Least score that is toxic, size of the space of hashed words, most words that the scorer learns, and documents that count as evidence against a word.
@@ -105,7 +105,7 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts votes over all of docs and learns from about `sample` of them, chosen as for quality. Texts without any hit are labelled clean."""
-    docs = in_batches(docs.select("doc_id", "text"))
+    docs = in_batches(docs.select("text"))
 
     @F.arrow_udf("string")
     def ballot(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -131,7 +131,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         w, words = learn(rows)
         yield pa.RecordBatch.from_pylist([{"w": w, "c": list(words), "x": list(words.values())}], pa.schema([("w", pa.list_(pa.float64())), ("c", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))]))
 
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    chosen = docs.select("text", text_key().alias("key")).where(F.pmod(F.xxhash64(F.lit(SAMPLE), "key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = chosen.dropDuplicates(["key"]).select("text")
     rows = chosen.mapInArrow(features, "f array<int>, c array<int>, y double").repartition(1).mapInArrow(learnt, "w array<double>, c array<int>, x array<double>").collect()
     return Model(rows[0].w, dict(zip(rows[0].c, rows[0].x, strict=True))) if rows else Model(*learn([]))
 
@@ -139,4 +140,4 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def without_toxic(docs: DataFrame, sample: int = SAMPLE, toxic: float = TOXIC) -> DataFrame:
     """docs without the rows whose wording is toxic."""
     model = fit(docs, sample)
-    return docs.withColumn("__toxicity", model.score(F.col("text"))).where(F.col("__toxicity") < toxic).drop("__toxicity")
+    return docs.where(model.score(F.col("text")) < toxic)

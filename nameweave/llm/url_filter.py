@@ -3,8 +3,12 @@
 A list is a table of events (entry_id, key, action, listed, dated): from its date an entry is listed or, where listed is
 false, no longer. A key is a domain, which covers its subdomains, or a host with leading path segments. A capture is looked
 up under all keys that may cover it. Both sides meet on (key, period), where a period is PERIOD days and an interval stands in
-each period that it touches; so neither the captures of a hot host nor the history of a hot key are compared as a whole,
-and what is left of a hot (key, period) can be split freely, as it is an ordinary equi-join.
+each period that it touches and that holds captures; so neither the captures of a hot host nor the history of a hot key are
+compared as a whole, an odd date far away costs one period, and what is left of a hot (key, period) can be split freely, as
+it is an ordinary equi-join.
+
+Hosts and keys are compared in one form: lower case, without dots at the end. A host in brackets or of four numbers is an address and has
+no parent domains.
 """
 
 from __future__ import annotations
@@ -12,29 +16,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nameweave.llm.columns import repeated
+
 PERIOD = 30
-#: Scheme and user info before the host; host; path up to query or fragment.
-_URL = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?"
+#: Scheme and user info before the host, which may be an address in brackets; host; path up to query or fragment.
+_URL = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)(?::[0-9]*)?(/[^?#]*)?"
+_ADDRESS = r"^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 
 
 def host(url: Column) -> Column:
-    """The lower-cased host, empty where the URL has none."""
-    return F.coalesce(F.regexp_extract(F.lower(url), _URL, 1), F.lit(""))
+    """The lower-cased host without dots at its end, empty where the URL has none."""
+    return F.rtrim(F.coalesce(F.regexp_extract(F.lower(url), _URL, 1), F.lit("")), F.lit("."))
+
+
+def _filled(path: Column) -> Column:
+    return F.array_remove(F.split(path, "/"), "")
 
 
 def segments(url: Column) -> Column:
     """The path's segments that aren't empty, lower-cased."""
-    return F.array_remove(F.split(F.coalesce(F.regexp_extract(F.lower(url), _URL, 2), F.lit("")), "/"), "")
+    return _filled(F.coalesce(F.regexp_extract(F.lower(url), _URL, 2), F.lit("")))
+
+
+def list_key(key: Column) -> Column:
+    """A list's key in the form of hosts and segments; null without a host."""
+    parts = F.split(F.lower(key), "/")
+    h = F.rtrim(F.get(parts, F.lit(0)), F.lit("."))
+    return F.when(h != "", F.concat_ws("/", F.array(h), F.array_remove(F.slice(parts, 2, 1 << 20), "")))
 
 
 def covering_keys(url: Column) -> Column:
-    """The host, its parent domains of two labels or more, and the host with each run of leading path segments."""
+    """The host, its parent domains of two labels or more unless it is an address, and the host with each run of leading path segments."""
     h, path = host(url), segments(url)
     labels = F.split(h, "\\.")
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, 1 << 20), "."))
+    parents = F.when(F.regexp_like(h, F.lit(_ADDRESS)), 1).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
+    domains = F.transform(F.sequence(F.lit(1), parents), lambda i: F.when(i == 1, h).otherwise(F.array_join(F.slice(labels, i, 1 << 20), ".")))
     prefixes = F.transform(F.sequence(F.lit(0), F.size(path)), lambda i: F.concat_ws("/", h, F.array_join(F.slice(path, 1, i), "/")))
     paths = F.slice(prefixes, 2, 1 << 20)
-    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.concat(domains, paths))
+    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths)))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -42,6 +61,7 @@ def intervals(events: DataFrame) -> DataFrame:
 
     Of an entry's events on one day the last by (listed, action) counts. Events without key, entry_id or date are none.
     """
+    events = events.select("entry_id", list_key(F.col("key")).alias("key"), "action", "listed", "dated")
     events = events.where("key is not null and entry_id is not null and dated is not null")
     day = events.groupBy("entry_id", "key", "dated").agg(F.max(F.struct("listed", "action")).alias("e"))
     ahead = Window.partitionBy("entry_id", "key").orderBy("dated")
@@ -56,19 +76,22 @@ def verdicts(captures: DataFrame, events: DataFrame) -> DataFrame:
     """One row for each row of captures (page_id, url, fetched): with host, n_active, entry_key, action, valid_from, blocked.
 
     Of the active entries the one with the longest key decides; between equal keys the one listed last, then the larger
-    entry_id. Captures without a date, host or active entry aren't blocked. Equal rows are evaluated once.
+    entry_id. Captures without a date, host or active entry aren't blocked. Equal rows are evaluated once and returned as often as they
+    were there. Long URLs are taken whole, other columns of either table aren't read, and an empty table gives no rows or no entries.
     """
     rows = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n"))
     looked = rows.select("*", F.explode_outer(covering_keys(F.col("url"))).alias("key")).withColumn("period", _period(F.col("fetched")))
-    last = captures.agg(F.max("fetched").alias("last"))
-    held = intervals(events).join(F.broadcast(last), F.col("valid_from") <= F.col("last"))
-    until = F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("last")), F.col("last"))
-    held = held.select(F.col("key").alias("k"), "entry_id", "action", "valid_from", "valid_to", F.explode(F.sequence(_period(F.col("valid_from")), _period(until))).alias("p"))
+    # there are no more of these than periods in the calendar
+    periods = captures.where("fetched is not null").agg(F.sort_array(F.collect_set(_period(F.col("fetched")))).alias("periods"))
+    held = intervals(events).join(F.broadcast(periods))
+    until = F.when(F.col("valid_to").isNotNull(), _period(F.date_sub("valid_to", 1)))
+    inside = F.filter("periods", lambda p: (p >= _period(F.col("valid_from"))) & (until.isNull() | (p <= until)))
+    held = held.select(F.col("key").alias("k"), "entry_id", "action", "valid_from", "valid_to", F.explode(inside).alias("p"))
     active = (F.col("key") == F.col("k")) & (F.col("period") == F.col("p")) & (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     met = looked.join(held, active, "left")
     best = F.max(F.when(F.col("entry_id").isNotNull(), F.struct(F.length("k").alias("length"), "valid_from", "entry_id", "action", "k")))
     out = met.groupBy("page_id", "url", "fetched", "n").agg(F.count("entry_id").alias("n_active"), best.alias("b"))
-    out = out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("i"))
+    out = repeated(out, "n")
     return out.select("page_id", host(F.col("url")).alias("host"), "fetched", "n_active", F.col("b.k").alias("entry_key"), F.col("b.action").alias("action"), F.col("b.valid_from").alias("valid_from"), F.coalesce(F.col("b.action") == "block", F.lit(False)).alias("blocked"))
 
 
@@ -100,11 +123,11 @@ def dated_list(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (
-  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched,
-    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?', 1) AS host,
-    list_filter(string_split(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(/[^?#]*)?', 2), '/'), lambda x: x <> '') AS path
-  FROM pages),
+WITH u AS (SELECT page_id, url, lower(url) AS l, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)(?::[0-9]*)?(/[^?#]*)?' AS re FROM pages),
+p AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched, rtrim(regexp_extract(l, re, 1), '.') AS host,
+    list_filter(string_split(regexp_extract(l, re, 2), '/'), lambda x: x <> '') AS path
+  FROM u),
 names AS (
   SELECT DISTINCT host AS key FROM p WHERE host <> ''
   UNION SELECT DISTINCT host || '/' || path[1] FROM p WHERE host <> '' AND len(path) > 0),
@@ -115,9 +138,9 @@ held AS (
   SELECT entry_id, key, 'block' AS action, DATE '2024-01-01' + day AS valid_from, DATE '2024-01-01' + day + held AS valid_to FROM k WHERE kind IN (0, 1, 2)
   UNION ALL SELECT entry_id, key, 'block', DATE '2024-01-01' + day + held + 20, NULL FROM k WHERE kind IN (1, 2)
   UNION ALL SELECT entry_id, key, 'allow', DATE '2024-01-01' + day, NULL FROM k WHERE kind = 3),
-labels AS (SELECT page_id, host, path, string_split(host, '.') AS l FROM p WHERE host <> ''),
+labels AS (SELECT page_id, host, path, string_split(host, '.') AS l, regexp_matches(host, '^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$') AS address FROM p WHERE host <> ''),
 keys AS (
-  SELECT page_id, unnest(list_transform(range(1, greatest(len(l) - 1, 1) + 1), lambda i: array_to_string(l[i:], '.'))) AS key FROM labels
+  SELECT page_id, unnest(list_transform(range(1, CASE WHEN address THEN 1 ELSE greatest(len(l) - 1, 1) END + 1), lambda i: CASE WHEN i = 1 THEN host ELSE array_to_string(l[i:], '.') END)) AS key FROM labels
   UNION ALL SELECT page_id, unnest(list_transform(range(1, len(path) + 1), lambda i: host || '/' || array_to_string(path[1:i], '/'))) FROM labels),
 met AS (
   SELECT p.page_id, h.*, row_number() OVER (PARTITION BY p.page_id ORDER BY length(h.key) DESC, h.valid_from DESC, h.entry_id DESC) AS r, count(*) OVER (PARTITION BY p.page_id) AS n

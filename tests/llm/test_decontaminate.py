@@ -56,10 +56,17 @@ def test_random_texts(spark):
     assert got(decontaminate.contamination(d, b, 5)) == brute(docs, items, 5)
 
 
-def test_blocks_of_shingles(spark, odd, benchmark, monkeypatch):
-    whole = got(decontaminate.contamination(odd, benchmark))
-    monkeypatch.setattr(decontaminate, "BLOCK", 7)
-    assert got(decontaminate.contamination(odd, benchmark)) == whole
+def test_shingles_beyond_a_broadcast(spark, odd, benchmark):
+    d = spark.createDataFrame([(i, t) for i, t, *_ in rows()], "doc_id long, text string")
+    for size in (10, 5):
+        few, many = (sorted(map(repr, decontaminate.hits(d, benchmark, size, most).collect())) for most in (None, 0))
+        assert few == many and few
+
+
+def test_rows_without_id_are_apart(spark, benchmark):
+    docs = [(None, "another line"), (None, "clean words here"), (5, "another line of it"), (5, "clean too")]
+    left = decontaminate.decontaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, [docs[1], docs[3]]))
 
 
 def test_stage(odd, none, benchmark):

@@ -2,27 +2,30 @@ import datetime
 import random
 
 import pytest
+import xxhash
 
-from nameweave.llm import line_dedup, url_filter
+from nameweave import scratch
+from nameweave.llm import columns, line_dedup, url_filter
 from tests.llm.conftest import collected, rows
 
 
+def key(t):
+    return xxhash.xxh64_intdigest((t or "").encode(), 42) ^ (1 << 63)  # in the order of the signed hash
+
+
 def brute(docs):
-    """Kept line numbers of each row, from all pairs of lines; rows of one doc_id are one document."""
+    """Kept line numbers of each row, from all pairs of lines; rows equal in doc_id and text are one document."""
     sets = {}
     for d, t in docs:
         for i, line in enumerate(t.split("\n") if t is not None else []):
             if w := frozenset(x for x in line.replace("\t", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x):
-                sets.setdefault(((d is not None, d or 0), i), set()).add(w)
+                sets[(d is not None, d or 0), key(t), i] = w
     order = sorted(sets)
-    kept = set()
-    for k, at in enumerate(order):
-        if any(not any(len(w & v) >= 0.8 * len(w | v) - 1e-9 for b in order[:k] for v in sets[b]) for w in sets[at]):
-            kept.add(at)
+    kept = {at for k, at in enumerate(order) if not any(len(sets[at] & sets[b]) >= 0.8 * len(sets[at] | sets[b]) - 1e-9 for b in order[:k])}
     out = []
     for d, t in docs:
         lines = t.split("\n") if t is not None else []
-        keep = [i for i, line in enumerate(lines) if not line.strip(" \t\x0b\x0c\r") or ((d is not None, d or 0), i) in kept]
+        keep = [i for i, line in enumerate(lines) if not line.strip(" \t\x0b\x0c\r") or ((d is not None, d or 0), key(t), i) in kept]
         out.append((d, len(lines), len(lines) - len(keep), ",".join(map(str, keep))))
     return sorted(map(repr, out))
 
@@ -57,6 +60,19 @@ def test_random_lines(spark, seed):
     assert got(line_dedup.line_decisions(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
 
 
+def test_shared_and_other_ids(spark, monkeypatch):
+    """Rows of one doc_id or none are apart by their texts; ids may be strings; long lists aren't broadcast."""
+    docs = [(None, "a b c d e\nf g h i j"), (None, "f g h i j\na b c d e"), (None, "k"), (3, "a b c d e\nnew"), (3, "q\na b c d e"), (3, "q\na b c d e"), (2, ""), (1, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs)
+    assert got(line_dedup.line_decisions(df)) == want
+    named = line_dedup.line_decisions(df.withColumn("doc_id", df.doc_id.cast("string")))
+    assert sorted(repr((None if r[0] is None else int(r[0]), *r[1:])) for r in named.collect()) == want
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(columns, "BROADCAST_BYTES", 0)
+    assert got(line_dedup.line_decisions(df)) == want
+
+
 def day(n):
     return datetime.date(2024, 1, 1) + datetime.timedelta(n)
 
@@ -96,6 +112,22 @@ def test_verdicts(spark):
     assert got(url_filter.verdicts(c, e.where("false"))) == brute_verdicts(captures, [])
 
 
+def test_forms_of_hosts_and_keys(spark):
+    urls = ["http://example.com./a", "https://[2001:db8::1]:80/x", "http://192.168.1.1/", "http://u:p@Sub.Example.COM:8080//a//b", "http://h.org/" + "p/" * 5000, "http://[::1", "http://..."]
+    events = [("e1", "Example.COM", "block", True, day(0)), ("e2", "168.1.1", "block", True, day(0)), ("e3", "[2001:db8::1]", "allow", True, day(0)), ("e4", "sub.example.com./A/", "allow", True, day(0)), ("e5", "", "block", True, day(0)), ("e6", "h.org/" + "p/" * 4000, "block", True, day(0))]
+    c = spark.createDataFrame([(i, u, day(1)) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    e = spark.createDataFrame(events, "entry_id string, key string, action string, listed boolean, dated date")
+    found = {r.page_id: (r.host, r.n_active, r.blocked) for r in url_filter.verdicts(c.selectExpr("*", "1 as key", "2 as n", "3 as periods"), e).collect()}
+    assert found == {0: ("example.com", 1, True), 1: ("[2001:db8::1]", 1, False), 2: ("192.168.1.1", 0, False), 3: ("sub.example.com", 2, False), 4: ("h.org", 1, True), 5: ("", 0, False), 6: ("", 0, False)}
+
+
+def test_odd_dates_cost_no_rows(spark):
+    dates = [datetime.date(1, 1, 1), day(3), datetime.date(9999, 12, 31)]
+    c = spark.createDataFrame([(i, "http://a.com", d) for i, d in enumerate(dates)], "page_id long, url string, fetched date")
+    e = spark.createDataFrame([(f"e{i}", "a.com", "block", True, d) for i, d in enumerate([datetime.date(1, 1, 1), day(0)])], "entry_id string, key string, action string, listed boolean, dated date")
+    assert {r.page_id: r.n_active for r in url_filter.verdicts(c, e).collect()} == {0: 1, 1: 2, 2: 2}
+
+
 def test_made_list(spark, none):
     pages = spark.createDataFrame([(1, "http://h.example.com/en/1"), (None, None), (2, "")], "page_id long, url string")
     found = url_filter.verdicts(url_filter.fetched_pages(pages), url_filter.dated_list(pages))

@@ -38,6 +38,33 @@ def test_streams_packets_and_times():
     assert one["ends"] == [0, 4096, 5904] and two["ends"] == [0, 4096] and one["ended"]
 
 
+def test_packets_run_over_pages():
+    """With the registered block size too: pages that continue a packet, whose granule position is none where no packet ends."""
+    data = ogg.mux(random.Random(3).randbytes(1_000_000))
+    pages = list(ogg.read_pages(data))
+    assert sum(bool(flags & ogg.CONTINUED) for flags, *_ in pages) > 5
+    assert ogg.restore(data)[0] == random.Random(3).randbytes(1_000_000)
+    long = list(ogg.read_pages(ogg.mux(bytes(300_000), block=200_000)))
+    assert any(granule == ogg.NO_GRANULE for _, granule, *_ in long)
+
+
+def test_foreign_streams_are_no_samples():
+    """Sound Ogg files that hold something else."""
+    for first in (b"", b"OpusHead\x01", b"\x01vorbis" + bytes(50), ogg.IDENT, ogg.IDENT + bytes(20)):
+        data = b"".join(ogg._pages([first, b"abc"], [0, 3], 7))
+        with pytest.raises(ogg.OggError):
+            ogg.restore(data)
+    with pytest.raises(ogg.OggError):
+        ogg.restore(b"")
+
+
+def test_failed_checks_are_nulls_and_not_sound(spark):
+    good = ogg.mux(b"a" * 64)
+    df = spark.createDataFrame([(1, good), (2, good[:-1]), (3, None), (4, b"".join(ogg._pages([b"OpusHead"], [0], 1)))], "i long, media binary")
+    found = {r.i: r.f for r in df.select("i", ogg.features(df.media).alias("f")).collect()}
+    assert found[1].payload_bytes == 64 and all(found[i] is None or found[i].media_sha256 is None for i in (2, 3, 4))
+
+
 def test_damage_is_found():
     good = ogg.mux(random.Random(2).randbytes(20_000))
     for at in range(0, len(good), 997):

@@ -1,13 +1,27 @@
+import math
 import random
+import struct
 import zlib
 from collections import defaultdict
 
+import xxhash
+
 from pyspark.sql import functions as F
 
+from nameweave import scratch
 from nameweave.llm import mixing, sharding
+from nameweave.operators import numbering
 from tests.llm.conftest import collected, rows
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of ints ('i') and longs ('q'), given as (format, value): the hash of each seeds the next."""
+    h = 42
+    for kind, v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<" + kind, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_targets(sizes):
     """Shares by weight, with the excess over the limit reshared until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
@@ -53,6 +67,44 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
     assert collected(mixing.mixed_sizes(df.repartition(7))) == collected(mixing.mixed_sizes(df))
 
 
+def test_mix_is_the_queue(spark, monkeypatch):
+    """Against a queue that takes copies one by one in order of virtual time."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 30)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
+    rng = random.Random(21)
+    docs = [(rng.choice([i, i, i, None]), " ".join("w" * rng.randrange(0, 30)), rng.choice(["a", "a", "b", "c", None])) for i in range(400)] + [(7, "same row", "b")] * 5
+    key = lambda t: spark_text_hash(t)
+    entries = defaultdict(int)
+    for d, t, s in docs:
+        entries[s, -(1 << 63) if d is None else d, key(t), len(t.split())] += 1
+    sizes = defaultdict(int)
+    for (s, *_, size), n in entries.items():
+        sizes[s] += size * n
+    target = brute_targets(sizes)
+    queue = []
+    for s in sizes:
+        own = sorted((spark_hash(("i", 17), ("q", d), ("q", k)), d, k, size * n) for (x, d, k, size), n in entries.items() if x == s and size)
+        for r in (0, 1):
+            total = 0
+            for h, d, k, cost in own:
+                total += cost
+                queue.append((total / target[s] + r * (sizes[s] / target[s]), "" if s is None else "1" + s, h, d, k, r, cost, s))
+    left, taken = sum(target.values()), defaultdict(int)
+    for *_, d, k, _, cost, s in sorted(queue):
+        left -= cost
+        if left < -1e-6:
+            break
+        taken[s, d, k] += 1
+    got = mixing.mixed_sizes(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    want = [(d, len(t.split()), taken[s, -(1 << 63) if d is None else d, key(t)] * len(t.split())) for d, t, s in docs]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.size, r.taken)) for r in got.collect())
+
+
+def spark_text_hash(t):
+    h = xxhash.xxh64_intdigest(t.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_mix_rows(odd, none, clashing):
     got = mixing.mixed_sizes(odd)
     assert got.count() == len(rows()) and mixing.mixed_sizes(none).count() == 0
@@ -75,8 +127,32 @@ def test_permutation(spark):
     assert a != b and sum(x.p == i for i, x in enumerate(a)) < 20
 
 
+def brute_place(number, n, key=2024, rounds=6):
+    a, b = math.isqrt(n - 1) + 1 if n > 1 else 1, 0
+    b = max(1, -(-n // a))
+    while True:
+        left, right = divmod(number, b)
+        for t in range(rounds):
+            if t % 2 == 0:
+                left = (left + spark_hash(("i", key), ("i", t), ("q", right)) % a) % a
+            else:
+                right = (right + spark_hash(("i", key), ("i", t), ("q", left)) % b) % b
+        number = left * b + right
+        if number < n:
+            return number
+
+
+def test_shard_and_slot_can_be_computed(spark):
+    """From the row number alone, by a network written anew."""
+    docs = [(3 * i - 90, f"text {i}") for i in range(777)]
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shards(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for number, (d, _) in enumerate(sorted(docs)):
+        place = brute_place(number, len(docs))
+        assert got[d] == (place % 24, place // 24)
+
+
 def test_shards(spark, odd, none, clashing, monkeypatch):
-    monkeypatch.setattr(sharding, "RANGE_ROWS", 4)
+    monkeypatch.setattr(numbering, "RANGE_ROWS", 4)
     got = sharding.shards(odd).collect()
     assert len(got) == len(rows())
     slots = defaultdict(list)

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from nameweave.llm import near_copies
+from nameweave.llm import near_copies, simhash
 from tests.llm.conftest import rows
 
 SF = Path("/root/testdata/sf0.01")
@@ -54,10 +54,17 @@ def test_odd_rows(odd, none):
     assert left.columns == odd.columns and not {2, 3} & {r.doc_id for r in left.select("doc_id").collect()}
 
 
-def test_pipeline_mixes_no_near_copies(odd, spark):
-    docs = corpus_pipeline.deduplicate(spark, odd.where("doc_id in (1, 2, 3, 10)"), "")
-    assert {r.doc_id for r in docs.collect()} == {1, 3, 10}  # SimHash's two bits see no copy in 3
-    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, "").collect()} <= {1, 10}
+def test_pipeline_keeps_no_near_copies(odd, spark):
+    docs = odd.where("doc_id in (1, 2, 3, 10)")
+    assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == {1, 3, 10}  # SimHash's two bits see no copy in 3
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == [1, 10]
+
+
+def test_rows_without_id_are_apart(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = [(None, text), (None, text + " more"), (None, "other words"), (4, "x y z"), (4, "p q r s"), (None, "other words")]
+    left = sorted(map(repr, map(tuple, near_copies.without_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect())))
+    assert left in (sorted(map(repr, [docs[k], *docs[2:5]])) for k in (0, 1))
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")

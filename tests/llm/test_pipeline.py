@@ -41,6 +41,42 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_odd_rows_through_all_stages(spark, odd, none, clashing, benchmark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names, and an empty table."""
+    import corpus_pipeline
+
+    more = clashing.selectExpr("*", "1 as text_key", "2 as __drop_id", "3 as component_id", "4 as stays", "5 as __copies")
+    benchmark.write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    more.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs = more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd").cache()
+        assert docs.columns == more.columns, name
+        if name == "simhash_near_dedup":
+            texts = [r.text for r in docs.collect()]
+            assert len(texts) == len(set(texts))  # one of each group, those without an id included
+            assert "a text without id" in texts or not odd.where("text = 'a text without id'").count()
+    done = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted(r.n_tokens for r in done) == sorted(r.n_tokens for r in grammar.token_output(docs).collect())
+    benchmark.write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    none.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_rows_without_id_stand_for_themselves(spark, benchmark, tmp_path):
+    """A copy or a contaminated row without id takes no other one along."""
+    import corpus_pipeline
+
+    plain = [" ".join([*PLAIN.split()[i:], f"and so the name of the place is n{i} to us and no one has been there for it was so far", *PLAIN.split()[:i]]) for i in range(2, 8)]
+    docs = [(None, plain[0]), (None, plain[0]), (None, plain[1]), (None, "another line " + plain[2]), (5, plain[3]), (5, plain[4])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    deduplicated = corpus_pipeline.deduplicate(spark, df, str(tmp_path)).cache()
+    assert sorted(r.text for r in deduplicated.collect()) == sorted([plain[0], plain[1], docs[3][1], plain[3], plain[4]])
+    clean = corpus_pipeline.decontaminated(spark, deduplicated, str(tmp_path))
+    assert not {docs[3][1]} & {r.text for r in clean.collect()} and plain[1] in {r.text for r in clean.collect()}
+
+
 def test_registered():
     import __spark_entry__ as e
 

@@ -1,6 +1,8 @@
+import math
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from nameweave.llm import quality
@@ -25,6 +27,52 @@ def test_estimation_finds_the_accuracies():
     assert quality.fit_votes({}) == {}
 
 
+def test_estimation_against_brute_force():
+    """The same posteriors as from one document after another, without any arrays."""
+    rng = random.Random(5)
+    docs = []
+    for _ in range(400):
+        good = rng.random() < 0.7
+        docs.append(tuple(-1 if rng.random() < 0.2 else int(good) if rng.random() < 0.85 else 1 - good for _ in quality.LABELLERS))
+    patterns = {v: docs.count(v) for v in docs}
+    got = quality.fit_votes(patterns, 30)
+    post = [(1 + v.count(1)) / (v.count(1) + 3 * v.count(0) + 2) for v in docs]
+    for _ in range(30):
+        rate = {}
+        for k in range(len(quality.LABELLERS)):
+            for c in (0, 1):
+                n = [0.5 + sum(p if c else 1 - p for v, p in zip(docs, post, strict=True) if v[k] == x) for x in (0, 1)]
+                for x in (0, 1):
+                    rate[k, c, x] = n[x] / sum(n)
+        prior = [(sum(p if c else 1 - p for p in post) + 1) / (len(docs) + 2) for c in (0, 1)]
+        both = []
+        for v in docs:
+            s = [prior[c] * math.prod(rate[k, c, x] for k, x in enumerate(v) if x >= 0) for c in (0, 1)]
+            both.append(s[1] / sum(s))
+        done = max(abs(a - b) for a, b in zip(both, post, strict=True)) < 1e-9
+        post = post if done else both
+        if done:
+            break
+    assert all(abs(got[v] - p) < 1e-6 for v, p in zip(docs, post, strict=True))
+
+
+def test_scorer_knows_words_that_no_labeller_sees():
+    """Texts on which all labellers vote alike get different scores by their words."""
+    texts = [(f"the good {w} of the house and a day to be with us in it for all", y) for w, y in (("alpha", 1.0), ("beta", 0.0)) for _ in range(30)]
+    m = [quality.measures(t) for t, _ in texts]
+    assert len({quality.votes(*x[:2]) for x in m}) == 1
+    w = quality.train([quality.hashed(*x) for x in m], np.array([y for _, y in texts]))
+    score = lambda t: sum(w[i] * c for i, c in quality.hashed(*quality.measures(t)).items())
+    assert score(texts[0][0]) > 0.5 > -0.5 > score(texts[-1][0])
+
+
+def test_a_repeated_row_is_one_of_the_sample(spark):
+    docs = [(i, f"text {i} of the sample and so on") for i in range(50)] + [(99, "one row that is there again and again")] * 500
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = quality.classified(df, 10_000)
+    assert kept.count() == 550 and kept.where("doc_id = 99").select("score").distinct().count() == 1
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

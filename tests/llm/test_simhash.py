@@ -35,9 +35,10 @@ def test_fingerprint():
         assert simhash.fingerprint(text) == brute(text)
 
 
-def test_code_is_perfect_and_covers():
-    (offsets, patterns), *_ = simhash.error_patterns(0)
-    assert (np.diff(offsets) == 1).all() and len(patterns) == 2048
+def test_codes_are_perfect_and_cover():
+    for code, n in ((simhash.GOLAY, 2048), (simhash.HAMMING, 8)):
+        (offsets, patterns), *_ = simhash.error_patterns(0, code)
+        assert (np.diff(offsets) == 1).all() and len(patterns) == n
     rng = random.Random(4)
     for _ in range(500):
         x = rng.getrandbits(64)
@@ -84,5 +85,17 @@ def test_stage_keeps_one_of_each_group(odd, none):
     assert left.columns == odd.columns
     ids = [r.doc_id for r in left.collect()]
     assert 1 in ids and 2 not in ids and 7 in ids and 8 in ids
-    assert sum(t == PLAIN for (t,) in left.select("text").collect()) == 2  # both rows of doc_id 1, which are one document
+    assert sum(t == PLAIN for (t,) in left.select("text").collect()) == 1  # of two equal rows of doc_id 1 and a copy, one
     assert simhash.without_near_duplicates(none).count() == 0
+
+
+def test_rows_without_id_are_apart(spark):
+    docs = [(None, PLAIN), (None, PLAIN), (None, "other words stand in here for once"), (4, "x y z"), (4, "p q r s"), (9, "x y z"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, simhash.without_near_duplicates(df).collect()))) == sorted(map(repr, [docs[0], docs[2], docs[3], docs[4], docs[6]]))
+
+
+def test_stage_with_clashing_names(clashing, odd):
+    left = simhash.without_near_duplicates(clashing.selectExpr("*", "1 as __drop_id", "2 as text_key", "3 as component_id"))
+    assert left.columns == [*clashing.columns, "__drop_id", "text_key", "component_id"]
+    assert left.count() == simhash.without_near_duplicates(odd).count()

@@ -48,9 +48,15 @@ def _with_scores(counts: DataFrame) -> DataFrame:
 
 
 def metrics(pairs: DataFrame, matches: DataFrame) -> DataFrame:
-    """n_pairs, n_matches, n_found, precision, recall, f1, f5. Recall counts truth rows, repeats included, in its denominator."""
-    one = pairs.agg(F.count("*").alias("n_pairs")).crossJoin(matches.agg(F.count("*").alias("n_matches")))
-    return _with_scores(one.crossJoin(found_matches(pairs, matches).agg(F.count("*").alias("n_found"))))
+    """n_pairs, n_matches, n_found, precision, recall, f1, f5. Recall counts truth rows, repeats included, in its denominator.
+
+    Both sides are gone through once, and meet after they were counted by pair.
+    """
+    p = pairs.groupBy(*KEY).agg(F.count("*").alias("p"))
+    m = matches.groupBy(*KEY).agg(F.count("*").alias("m"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    both = F.when(F.col("p").isNotNull() & F.col("m").isNotNull(), F.lit(1).cast("long"))
+    return _with_scores(p.join(m, KEY, "full").agg(total("p").alias("n_pairs"), total("m").alias("n_matches"), total(both).alias("n_found")))
 
 
 def sweep_metrics(swept: DataFrame, matches: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nameweave.functions.similarity import assignment_score, jaro_winkler
 from nameweave.functions.text import parts
+from nameweave.scratch import Table
 
 LEFT, RIGHT = "left_id", "right_id"
 
@@ -51,6 +52,7 @@ def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float | N
     met = combinations(pairs, left, right)
     if least is not None and least >= 1:
         return met.where("a = b").withColumn("sim", F.lit(1.0))
+    met = Table(met, "combinations").df  # gone through twice
     words = met.select("a", "b").distinct().withColumn("sim", jaro_winkler(F.col("a"), F.col("b")))
     words = words.where(F.col("sim") >= least) if least is not None else words
     return met.join(words, ["a", "b"])
@@ -69,6 +71,7 @@ def by_any_part(pairs: DataFrame, left: DataFrame, right: DataFrame, least: floa
 
 def by_part_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int = 200) -> DataFrame:
     """The k best candidates by the highest similarity of any two parts, 0 without parts. Left records that can't be read are gone."""
+    pairs = Table(pairs, "pairs").df
     best = scored(pairs, left, right).groupBy(LEFT, RIGHT).agg(F.max("sim").alias("score"))
     every = pairs.join(readable(left), LEFT, "left_semi").join(best, [LEFT, RIGHT], "left")
     return top_k(every.select(LEFT, RIGHT, F.coalesce("score", F.lit(0.0)).alias("score")), k)
@@ -76,6 +79,7 @@ def by_part_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int =
 
 def by_assignment(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int = 100) -> DataFrame:
     """The k best candidates by the best matching of parts to parts: its sum divided by the smaller number of parts."""
+    pairs = Table(pairs, "pairs").df
     cells = scored(pairs, left, right).groupBy(LEFT, RIGHT).agg(F.collect_list(F.struct("i", "j", "sim")).alias("cells"))
     best = cells.select(LEFT, RIGHT, assignment_score(F.col("cells")).alias("score"))
     every = pairs.join(readable(left), LEFT, "left_semi").join(best, [LEFT, RIGHT], "left")
@@ -87,6 +91,7 @@ def by_threshold(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int = 3
 
     Candidates without parts are gone, those without a similar one score 0.
     """
+    pairs = Table(pairs, "pairs").df
     hits = scored(pairs, left, right, least).groupBy(LEFT, RIGHT).agg(F.count("*").alias("hits"))
     sizes = parts_count(parts_index(right)).withColumnRenamed("rec_id", RIGHT)
     every = pairs.join(readable(left), LEFT, "left_semi").join(sizes, RIGHT).join(hits, [LEFT, RIGHT], "left")

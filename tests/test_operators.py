@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from nameweave.functions import text
-from nameweave.operators import blocking, cluster, evaluate, filtering, jobs, prepare, requests, responses, vectors
+from nameweave.operators import blocking, cluster, evaluate, filtering, jobs, numbering, prepare, requests, responses, vectors
 from nameweave.operators.components import connected_components
 
 
@@ -220,3 +221,102 @@ def test_learned_clusters(spark):
 def test_comparators(spark):
     r = spark.createDataFrame([("a", "a"), ("a", "b"), ("", "b"), (None, "b")], "a string, b string")
     assert [tuple(x) for x in r.select(cluster.same_or_not(F.col("a"), F.col("b")), cluster.different_or_not(F.col("a"), F.col("b"), 1)).collect()] == [(0, 1), (1, 0), (None, None), (None, None)]
+
+
+def test_row_numbers(spark):
+    rows = [(i % 7, f"x{i % 3}", i) for i in range(300)] + [(None, None, 300 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, v string, i int").repartition(5)
+    got = {r.i: r.row_number for r in numbering.numbered(df, ["k", "v", "i"], ranges=6).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2]))
+    assert got == {r[2]: n for n, r in enumerate(order)}
+    clash = numbering.numbered(df.withColumnRenamed("v", "range_").withColumnRenamed("k", "within_"), ["i"], "i2")
+    assert clash.columns == ["within_", "range_", "i", "i2"] and all(r.i == r.i2 for r in clash.collect())
+    read = numbering.numbered_as_read(spark.range(0, 100, 1, 7)).collect()
+    assert all(r.id == r.rec_id for r in read)
+    assert numbering.numbered(df.where("false"), ["i"]).count() == 0 == numbering.numbered_as_read(df.where("false")).count()
+
+
+def test_files_are_filled_in_order(spark, monkeypatch):
+    """Against filling one line after another."""
+    monkeypatch.setattr(requests, "STRETCH", 8)
+    lines = [(f"{i:04}", "x" * (i * 7919 % 50)) for i in range(500)] + [("9000", "y" * 500)]
+    want, part, size, n = {}, 1, 0, 0
+    for k, x in lines:
+        if n and (n >= 9 or size + len(x) + 1 > 150):
+            part, size, n = part + 1, 0, 0
+        want[k], size, n = part, size + len(x) + 1, n + 1
+    df = spark.createDataFrame(lines, "custom_id string, line string").repartition(3)
+    assert {r.custom_id: r.part for r in requests.split_files(df, size_limit=150, request_limit=9).collect()} == want
+    assert requests.split_files(df.where("false")).count() == 0
+
+
+def test_neighbours_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = random.Random(3)
+    points = [(i, [float(rng.randrange(4)) for _ in range(5)]) for i in range(90)] + [(90, None)]
+    df = spark.createDataFrame(points, "id long, embedding array<float>")
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    want = set()
+    for i, v in points[:90]:
+        near = sorted((far(v, w), j) for j, w in points[:90] if i != j)[:6]
+        want |= {(i, r, j, d) for r, (d, j) in enumerate(near, 1)}
+    assert {(r.query_id, r["rank"], r.id, r.distance) for r in vectors.nearest_self(df, 6).collect()} == want
+    assert vectors.nearest_self(df.where("false"), 3).count() == 0
+
+
+def test_names_asked_of_a_collection(spark):
+    rows = [("1", "Anna Levi", "a", 0), ("2", "Hanna Levy", "b", 1), ("3", "Boris Katz", "b", 2)]
+    collection = spark.createDataFrame(rows, "id string, document string, source string, idx long").withColumn("embedding", vectors.hashed_embedding(F.col("document")))
+    names = spark.createDataFrame([("1", "Anna Levi"), ("x", "Boris Kats")], "query_id string, title string")
+    first = lambda **k: {r.query_id: r.id for r in vectors.nearest_by_name(collection, names, 1, **k).collect()}
+    assert first() == {"1": "1", "x": "3"} and first(source="b") == {"1": "2", "x": "3"} and first(exclude_self=True)["1"] == "2"
+    assert {(r.direction, r.query_id) for r in vectors.nearest_across_sources(collection, "a", "b", 1).collect()} == {("a to b", "1"), ("b to a", "2"), ("b to a", "3")}
+
+
+def test_refused_jobs_wait_longer_each_time():
+    waits = []
+    backend = jobs.OfflineBackend(str.upper, script={"batch-0": ["validating", "failed"], "batch-1": ["failed"], "batch-2": ["in_progress"]})
+    t = jobs.Tracker([jobs.Job("a"), jobs.Job("b")], backend)
+    t.spawn(lambda name: [name], waits.append, 10)
+    assert waits == [20, 10, 20] and all(j.started for j in t.jobs) and t.jobs[0].batch_id == "batch-2"
+
+
+def test_single_question():
+    asked = []
+    said = requests.ask(lambda body: asked.append(body) or "True", "names", "First name: a Second name: b")
+    assert said == "True" and asked[0]["messages"][0]["content"] == requests.INSTRUCTIONS["names"] and len(requests.INSTRUCTIONS) == 6
+
+
+def test_active_learning(spark):
+    """A model that asks for the pairs it doubts ends up better than the one it began with."""
+    rng = random.Random(8)
+    rows = [(i, i + 1000, rng.random(), float(rng.random())) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "left_id long, right_id long, f_0 double, f_1 double")
+    true = pairs.select("left_id", "right_id", (F.col("f_0") > 0.5).cast("int").alias("label"))
+    first = true.where("left_id < 12")
+    rounds = []
+
+    def ask(asked):
+        rounds.append(asked.count())
+        return asked.join(true, ["left_id", "right_id"])
+
+    model, labelled = cluster.learnt_actively(pairs, ["f_0", "f_1"], first, ask, rounds=2, n=15)
+    assert rounds == [15, 15] and labelled.count() == 12 + 30
+    got = cluster.scored(model, pairs).join(true, ["left_id", "right_id"])
+    assert got.where("(score > 0.5) = (label = 1)").count() > 350
+
+
+def test_repaired_parts_are_read(spark):
+    rows = [("1", '{""a"": ""x""}'), ("2", '{"a": "y"}'), ("3", "{"), ("4", '{""a"": """"}')]
+    df = spark.createDataFrame(rows, "id string, name_parts string")
+    assert {r.id: r.a for r in prepare.with_part_columns(prepare.accepted(df)).collect()} == {"1": "x", "2": "y", "4": ""}
+    assert [r.id for r in prepare.rejected(df).collect()] == ["3"]
+
+
+def test_metrics_of_repeated_rows(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "left_id long, right_id long")
+    truth = spark.createDataFrame([(1, 2), (1, 2), (5, 6), (7, 8)], "left_id long, right_id long")
+    r = evaluate.metrics(pairs, truth).first()
+    assert (r.n_pairs, r.n_matches, r.n_found, r.recall) == (3, 4, 1, 0.25)
+    none = evaluate.metrics(pairs.where("false"), truth.where("false")).first()
+    assert (none.n_pairs, none.n_found, none.f1) == (0, 0, 0.0)

@@ -1,10 +1,13 @@
 """Token-ID output: documents' token ids, compressed shard by shard by a Re-Pair grammar, with random access.
 
-A shard is a run of documents in ascending doc_id order. Its ids are rewritten in turns: the most frequent pairs of
-neighbouring symbols within documents become nonterminals, each with its rule (left, right) and the number of ids it
-stands for, until no pair is frequent, a turn saves less than one symbol in a hundred, or TURNS are done. One turn takes the most frequent RULES pairs at once, and where
-two occurrences overlap the left one is replaced. A document is a run of symbols of its own, so it is decoded from its first
-symbol and the rules alone, and expansion lengths tell which symbol holds the k-th id of it.
+A shard is a run of documents in ascending doc_id order, and a block of it about BLOCK_IDS ids. In each block frequent pairs of
+neighbouring symbols within documents become nonterminals, each with its rule (left, right) and the number of ids it stands for,
+until no pair occurs LEAST times any more, which is when a rule takes more bytes than the symbols that it saves. A turn
+replaces many pairs at once: where occurrences overlap, that of the more frequent pair wins, so the most frequent pair is always
+replaced wherever it stands, and a pair only becomes a rule if LEAST of its occurrences are left by the better ones. Then the
+counts are taken again. A pair that isn't frequent stays so until one of its symbols is replaced, so later turns look at the
+places around replacements and at pairs that are still frequent, not at the whole block. A document is a run of symbols of its
+own, so it is decoded from its first symbol and the rules alone, and expansion lengths tell which symbol holds the k-th id of it.
 
 File format: a Parquet table with one row per block of a shard, in the columns of BLOCK_SCHEMA; arrays of numbers are
 little-endian.
@@ -16,22 +19,26 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from nameweave.llm.columns import in_batches
+from nameweave.llm.columns import in_batches, text_key
 from nameweave.scratch import Table, small
 
 VOCABULARY, END = 50257, 2
-#: Rules of a turn, turns, and the least frequency of a pair.
-RULES, TURNS, LEAST = 4096, 6, 32
-#: Documents dealt to a shard until there are SHARDS of them, ids after which a shard begins another block, and words in each half of a worker's memory.
-SHARD_DOCS, SHARDS, BLOCK_IDS, MEMORY = 4096, 50_000, 1 << 20, 300_000
+#: Bytes of a symbol and of a rule in the file, and how often a pair has to occur to save more than its rule takes.
+SYMBOL_BYTES, RULE_BYTES = 3, 12
+LEAST = RULE_BYTES // SYMBOL_BYTES + 1
+#: Documents dealt to a shard until there are SHARDS of them, ids after which a shard begins another block, words in each half of a worker's memory, and bytes of text that are encoded at a time.
+SHARD_DOCS, SHARDS, BLOCK_IDS, MEMORY, CHARACTERS = 4096, 50_000, 1_000_000, 1_000_000, 1 << 22
 
-BLOCK_SCHEMA = "block int, first_doc long, n_docs int, n_ids long, doc_ids array<long>, starts binary, left binary, right binary, lengths binary, low binary, high binary"
+BLOCK_FIELDS = "n_docs int, n_ids long, starts binary, left binary, right binary, lengths binary, low binary, high binary"
 
 
 class Encoder:
@@ -39,99 +46,117 @@ class Encoder:
 
     The tokenizer cuts a text into pieces before it merges bytes, and no piece reaches over the place before a space, unless
     white space stands on both sides of that space (or before it, at the end). So a text without such a space may be cut
-    before each of its spaces, and a word that was seen before needs no encoding. Other texts are encoded whole. In a new word,
-    letters are one piece and the ASCII marks after them another one, and a line end between two words is one too;
-    such pieces go to the model at once.
+    before each of its spaces, and a word that was seen before needs no encoding. New words are encoded many at a time, joined by
+    spaces; each begins at the token that begins with a space, and MARKS after letters are encoded by themselves. Texts with such
+    spaces or with a special token are encoded whole.
     """
 
     WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     UNSAFE = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
-    SIMPLE = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        names = self.tokenizer.get_vocab()
+        space = self.tokenizer.id_to_token(self._ids([" "])[0][0])
+        self.begins = np.zeros(max(names.values()) + 1, bool)
+        self.begins[[i for name, i in names.items() if name.startswith(space)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.known_marks: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
-        # the model's name of each byte: printable Latin-1 stands for itself, the rest for 256 and up, in order
-        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in own]
-        self.names = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
-        self.space = chr(self.names[32])
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():  # such bytes but the space have their own names
-            named = piece.replace(" ", self.space)
-        else:
-            named = piece.encode("utf-8").decode("latin-1").translate(self.names)
-        return array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
-
-    def _simple(self, word: str, space: str) -> bytes | None:
-        """The ids of a word of letters and then marks after a space or none; None if it is no such word."""
-        m = self.SIMPLE.fullmatch(word)
-        if not m:
-            return None
-        body, marks = m.groups()
-        if not body:
-            return self._piece(space + marks) if marks else None
-        if not body.isalpha():
-            return None
-        if (ids := self.known.get(body) or self.older.get(body) if space else None) is None:
-            ids = self._piece(space + body)
-            if space:
-                self.known[body] = ids
-        return ids + self.marks(marks) if marks else ids
-
-    def marks(self, marks: str) -> bytes:
-        if marks not in self.known_marks:
-            if len(self.known_marks) > 10_000:
-                self.known_marks.clear()
-            self.known_marks[marks] = self._piece(marks)
-        return self.known_marks[marks]
-
-    def _learn(self, new: set[str]) -> None:
-        rest = []
-        for w in new:
-            if (ids := self.older.get(w)) is not None:
-                self.known[w] = ids
-                continue
-            if w.isascii() and w.isalpha():
-                self.known[w] = self._piece(" " + w)
+        self.odd: set[str] = set()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _bytes(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self._ids(texts)]
+
+    def _learn(self, new: list[str]) -> None:
+        older, known = self.older, self.known
+        self.odd.update(w for w in new if not w or w.strip() is not w)
+        if older:
+            back = [w for w in new if w in older]
+            known.update(zip(back, map(older.__getitem__, back), strict=True))
+            new = [w for w in new if w not in older]
+        # letters and marks after them are pieces of their own
+        marked = [(w, b) for w in new if w and w[-1] in self.MARKS and (b := w.rstrip(self.MARKS)).isalpha()]
+        if marked:
+            known.update(dict.fromkeys(w for w, _ in marked))
+            new = [w for w in new if w not in known] + list({b for _, b in marked}.difference(known, new))
+        alone = [w for w in new if not w or w.strip() is not w]
+        if alone:
+            new = [w for w in new if w and w.strip() is w]
+        for i in range(0, len(new), 64):  # at more the library's time for a word grows
+            some = new[i : i + 64]
+            ids = np.array(self._ids([" " + " ".join(some)])[0], "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(some):
+                alone += some
                 continue
-            ids = self._simple(w, " ")
-            if ids is None and "\n" in w:
-                a, _, b = w.partition("\n")
-                first, second = self._simple(a, " ") if a else None, self._simple(b, "") if b else None
-                ids = first + self.marks("\n") + second if first and second else None
-            if ids is None:
-                rest.append(w)
-            else:
-                self.known[w] = ids
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            self.known.update(zip(some, self._ids([" " + w for w in some]), strict=True))
+            raw, cuts = ids.tobytes(), (4 * at).tolist()
+            known.update(zip(some, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
+        known.update(zip(alone, self._bytes([" " + w for w in alone]), strict=True))
+        marks = {w[len(b) :] for w, b in marked}
+        marks = dict(zip(marks, self._bytes(list(marks)), strict=True))
+        known.update((w, known[b] + marks[w[len(b) :]]) for w, b in marked)
+
+    def encode(self, texts: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts one after another, each with the ids in tail behind it, and the number of ids up to each text's end."""
+        ids, ends, n, first = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0, 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        while first < len(texts):
+            before = int(sizes[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(sizes, before + CHARACTERS, "right")))
+            i, e = self._some(pc.fill_null(texts.slice(first, last - first), ""), tail)
+            ids.append(i)
+            ends.append(e + n)
+            n, first = n + len(i), last
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _some(self, texts: pa.Array, tail: bytes) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.split_pattern(texts, " ")
+        cuts = cut.offsets.to_numpy().astype(np.int64)
+        cuts -= cuts[0]
+        words = cut.flatten().dictionary_encode()
+        index, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > MEMORY:  # words that come up again return from the older half
+            self.known, self.older, self.odd = {}, self.known, set()
+        known = self.known
+        if new := [w for w in distinct if w not in known]:
+            self._learn(new)
+        # only words that begin or end with white space, or are empty, can stand at an unsafe space
+        whole = set()
+        if self.odd and not self.odd.isdisjoint(distinct):
+            odd = np.fromiter(map(self.odd.__contains__, distinct), bool, len(distinct))
+            some = np.unique(np.searchsorted(cuts, np.flatnonzero(odd[index]), "right") - 1).tolist()
+            whole = {i for i in some if self.UNSAFE.search(texts[i].as_py())}
+        for x in self.special:
+            whole.update(np.flatnonzero(pc.match_substring(texts, x).to_numpy(zero_copy_only=False)).tolist())
+        # a word without a space before it, or a whole text, and the tail are entries of their own
+        firsts = words.dictionary.take(pa.array(index[cuts[:-1]])).to_pylist()
+        for i in whole:
+            firsts[i] = texts[i].as_py()
+        pieces = [*map(known.__getitem__, distinct), *self._bytes(firsts), tail, b""]
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts = np.cumsum(sizes) - sizes
+        for i in whole:
+            index[cuts[i] : cuts[i + 1]] = len(pieces) - 1
+        index[cuts[:-1]] = len(distinct) + np.arange(len(texts))
+        index = np.insert(index, cuts[1:], len(pieces) - 2)
+        n = sizes[index]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[index] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return ids, ends[cuts[1:] + np.arange(len(texts))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if self.UNSAFE.search(t)]
-        cut = {i: texts[i].split(" ") for i in sorted(set(range(len(texts))).difference(whole))}
-        if len(self.known) > MEMORY:  # words that come up again return from the older half
-            self.known, self.older = {}, self.known
-        known = self.known
-        self._learn({w for words in cut.values() for w in words[1:] if w not in known})
-        out = [b""] * len(texts)
-        for i, first in zip(cut, self._ids([words[0] for words in cut.values()]), strict=True):
-            out[i] = first + b"".join([known[w] for w in cut[i][1:]])
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, ends[:-1])] if texts else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -144,90 +169,215 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def frequent_pairs(key: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """The most frequent keys among those inside, at most RULES with at least LEAST occurrences, in ascending order.
+#: Bits of a place and of a symbol that fit into one sorted number together.
+PLACE_BITS, NAME_BITS = 20, 22
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _possible(key: np.ndarray, least: int) -> np.ndarray:
+    """Whether a key may occur `least` times, by hashed counts: false only if it doesn't."""
+    h = ((key * np.uint64(_MIX)) >> np.uint64(44)).astype(np.int64)
+    return (np.bincount(h, minlength=1 << 20) >= least)[h]
+
+
+def _groups(h: np.ndarray, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, sizes) of the groups of at least `least` numbers that are equal above their lowest bits, from sorted numbers."""
+    upper = h >> np.uint64(bits)
+    begins = np.flatnonzero(np.concatenate(([True], upper[1:] != upper[:-1])))
+    n = np.diff(begins, append=len(h))
+    some = n >= least
+    return h[np.repeat(some, n)], n[some]
+
+
+def _frequent(at: np.ndarray, key: np.ndarray, least: int, exact: bool, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, sizes, pairs, rest): the places of pairs that occur at least `least` times, by group and in order, with each group's size and pair.
 
-    Hashed counts rule out most keys before the exact count.
+    Small names and places are sorted as one number. Else keys are sorted by the upper bits of a hash with their index below;
+    places whose rare key shares its hash with another one come back as rest, to be looked at with the next turn's hash.
     """
-    h = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    counts = np.bincount(h[inside], minlength=1 << 20)
-    floor = LEAST
-    if np.count_nonzero(counts >= floor) > 2 * RULES:
-        floor = max(floor, int(np.partition(counts, -2 * RULES)[-2 * RULES]))
-    some = key[inside & (counts >= floor)[h]]
-    keys, n = np.unique(some, return_counts=True)
-    keep = n >= LEAST
-    keys, n = keys[keep], n[keep]
-    if len(keys) > RULES:
-        keys = keys[np.lexsort((keys, -n))[:RULES]]
-    return np.sort(keys)
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int = VOCABULARY) -> dict[str, np.ndarray]:
-    """Symbols, the first symbol of each document, and rules; ends has the number of ids up to each document's end."""
-    seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[ends[ends > 0] - 1] = True
-    empty = np.diff(ends, prepend=0) == 0
-    left, right = [], []
-    size = vocabulary
-    for _ in range(TURNS):
-        if len(seq) < 2:
-            break
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        inside = ~last[:-1]
-        keys = frequent_pairs(key, inside)
-        if not len(keys):
-            break
-        table = np.zeros(1 << 16, bool)
-        table[(keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)] = True
-        at = np.flatnonzero(inside & table[(key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int32)])
-        which = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-        hit = keys[which] == key[at]
-        at, which = at[hit], which[hit]
-        # of a run of overlapping occurrences, every other one from the left
-        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-        place = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
-        at, which = at[place % 2 == 0], which[place % 2 == 0]
-        seq[at] = size + which
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        before = len(seq)
-        seq, last = seq[stay], last[stay]
-        left.append((keys >> np.uint64(32)).astype(np.uint32))
-        right.append((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        size += len(keys)
-        if len(seq) > 0.99 * before:
-            break
-    first = np.concatenate(([0], np.flatnonzero(last) + 1))
-    starts = first[np.cumsum(~empty) - ~empty] if len(ends) else np.zeros(0, np.int64)
+    if turn == 0:
+        some = _possible(key, least)
+        at, key = at[some], key[some]
+    if not len(at):
+        return at, at, key, at
+    if exact:
+        h = key << np.uint64(PLACE_BITS) | at.view(np.uint64)
+        h.sort()
+        h, n = _groups(h, PLACE_BITS, least)
+        return (h & np.uint64((1 << PLACE_BITS) - 1)).view(np.int64), n, h[np.cumsum(n) - n] >> np.uint64(PLACE_BITS), at[:0]
+    bits = max(1, int(len(key) - 1).bit_length())
+    low = np.uint64((1 << bits) - 1)
+    h = (key * np.uint64(_MIX + 2 * turn)) & ~low | np.arange(len(key), dtype=np.uint64)
+    h.sort()
+    h, n = _groups(h, bits, least)
+    index = (h & low).view(np.int64)
+    pairs = key[index[np.cumsum(n) - n]]
+    group = np.repeat(np.arange(len(n)), n)
+    same = key[index] == pairs[group]
+    return at[index[same]], np.bincount(group[same], minlength=len(n)), pairs, at[index[~same]]
+
+
+def _ascending(at: np.ndarray, flag: np.ndarray) -> np.ndarray:
+    """The different places in at, which are those where flag is set, in order: sorted if they are few, else looked up."""
+    return np.unique(at) if 16 * len(at) < len(flag) else np.flatnonzero(flag)
+
+
+def _every_other(at: np.ndarray, name: np.ndarray, prv: np.ndarray) -> np.ndarray:
+    """Of ascending places, by name: whether each is an even one of its run of overlapping occurrences."""
+    follows = np.zeros(len(at), bool)
+    follows[1:] = (prv[at[1:]] == at[:-1]) & (name[1:] == name[:-1])
+    runs = np.flatnonzero(~follows)
+    return (np.arange(len(at)) - np.repeat(runs, np.diff(runs, append=len(at)))) % 2 == 0
+
+
+def _best_places(at: np.ndarray, p: np.ndarray, prv: np.ndarray, nxt: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the ascending places at, with ranks p, overlap no place of a better rank, nor a chosen one of their own."""
+    before, after = rank[prv[at]], rank[nxt[at]]
+    best = (p >= before) & (p >= after)
+    twins = np.flatnonzero(best & ((p == before) | (p == after)))
+    if len(twins):
+        best[twins] = _every_other(at[twins], p[twins], prv)
+    return best
+
+
+def grammar(ids: np.ndarray, ends: np.ndarray, vocabulary: int = VOCABULARY, least: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, the first symbol of each document, left, right); ends has the number of ids up to each document's end."""
+    least = LEAST if least is None else least
+    n = len(ids)
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    some = begins < ends
+    # neighbours by place; n stands for none, and is a place of its own whose values are never used
+    seq, nxt, prv = np.append(ids.astype(np.int64), -1), np.arange(1, n + 2), np.arange(-1, n)
+    nxt[ends[some].astype(np.int64) - 1] = n
+    prv[begins[some]] = n
+    nxt[n] = prv[n] = n
+    gone, flag, rank = np.zeros(n + 1, bool), np.zeros(n + 1, bool), np.zeros(n + 1, np.int32)
+    lefts, rights, size, turn = [], [], vocabulary, 0
+    active = np.flatnonzero(nxt[:n] < n)
+    while len(active) >= least:
+        exact = n <= 1 << PLACE_BITS and size <= 1 << NAME_BITS
+        name = np.uint64(NAME_BITS if exact else 32)
+        key = seq[active].view(np.uint64) << name | seq[nxt[active]].view(np.uint64)
+        at, n_of, pairs, rest = _frequent(active, key, least, exact, turn)
+        turn += 1
+        left, right = pairs >> name, pairs & np.uint64((1 << int(name)) - 1)
+        count = n_of.copy()
+        twins = np.flatnonzero(left == right)  # only such pairs overlap themselves
+        if len(twins):
+            first = np.cumsum(n_of) - n_of
+            own = np.concatenate([at[a : a + m] for a, m in zip(first[twins].tolist(), n_of[twins].tolist(), strict=True)])
+            of = np.repeat(np.arange(len(twins)), n_of[twins])
+            count[twins] = np.bincount(of[_every_other(own, of, prv)], minlength=len(twins))
+        live = count >= least
+        by = np.lexsort((right, left, count))[int((~live).sum()) :]  # the others come first
+        if not len(by):
+            active = np.sort(rest)
+            continue
+        rank_of = np.zeros(len(pairs), np.int32)
+        rank_of[by] = np.arange(1, len(by) + 1)
+        left, right = left[by], right[by]
+        p = np.repeat(rank_of, n_of)
+        rank[at] = p
+        flag[at] = p > 0
+        at = flagged = _ascending(at[p > 0], flag)
+        p = rank[at]
+        best = _best_places(at, p, prv, nxt, rank)
+        # only pairs that keep enough occurrences beside better ones take part in this turn
+        good = np.bincount(p[best], minlength=len(by) + 1) >= least
+        good[0] = False
+        held = good[p]
+        rank[at[~held]] = 0
+        taken = []
+        best = best[held]
+        at, p = at[held], p[held]
+        while True:  # until each place is taken or overlaps one that is
+            i = at[best]
+            taken.append((i, p[best]))
+            rank[i] = rank[prv[i]] = rank[nxt[i]] = 0
+            held = rank[at] > 0
+            at, p = at[held], p[held]
+            if not len(at):
+                break
+            best = _best_places(at, p, prv, nxt, rank)
+        i, p = np.concatenate([x for x, _ in taken]), np.concatenate([x for _, x in taken])
+        j = nxt[i]
+        k = nxt[j]
+        seq[i] = (size - 1 + np.cumsum(good))[p]
+        nxt[i] = k
+        prv[k] = i
+        nxt[n] = prv[n] = n
+        gone[j] = True
+        lefts.append(left[good[1:]].astype(np.uint32))
+        rights.append(right[good[1:]].astype(np.uint32))
+        size += int(good.sum())
+        flag[rest] = True
+        flag[i] = True
+        flag[prv[i]] = True
+        flag[j] = flag[n] = False
+        active = np.concatenate((flagged, rest, i, prv[i]))
+        active = _ascending(active[flag[active]], flag)
+        flag[active] = False
+        active = active[nxt[active] < n]
+    alive = ~gone[:n]
+    starts = np.append(np.cumsum(alive) - alive, alive.sum())[begins]
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
-    left, right = cat(left), cat(right)
-    lengths = np.ones(size, np.uint32)
-    for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
-        lengths[vocabulary + i] = lengths[a] + lengths[b]
-    return {"symbols": seq, "starts": starts.astype(np.uint32), "left": left, "right": right, "lengths": lengths[vocabulary:]}
-
-
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
-    """The ids that symbols stand for. Each pass replaces all nonterminals by their two sides."""
-    seq = symbols.astype(np.uint32)
-    while len(at := np.flatnonzero(seq >= vocabulary)):
-        rule = seq[at] - vocabulary
-        out = np.repeat(seq, 1 + (seq >= vocabulary))
+    return seq[:n][alive].astype(np.uint32), starts, cat(lefts), cat(rights)
+
+
+def pruned(symbols: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray, vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same without rules that are used once or never: a symbol that is the only use of its rule is written out."""
+    n = len(left)
+    used = lambda x: np.bincount(x[x >= vocabulary].astype(np.int64) - vocabulary, minlength=n)
+    keep = np.ones(n, bool)
+    while True:
+        in_symbols, in_rules = used(symbols), used(left[keep]) + used(right[keep])
+        drop = keep & (in_rules == 0) & (in_symbols <= 1)
+        if not drop.any():
+            break
+        keep &= ~drop
+        out = np.zeros(len(symbols), bool)
+        big = symbols >= vocabulary
+        out[big] = drop[symbols[big] - vocabulary]
+        at = np.flatnonzero(out)
+        rule = symbols[at] - vocabulary
+        starts = starts + np.searchsorted(at, starts)
+        symbols = np.repeat(symbols, 1 + out)
         to = at + np.arange(len(at))
-        out[to], out[to + 1] = left[rule], right[rule]
-        seq = out
-    return seq
-
-
-def _pack(block: int, doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> dict:
+        symbols[to], symbols[to + 1] = left[rule], right[rule]
+    name = np.concatenate((np.arange(vocabulary), vocabulary + np.cumsum(keep) - 1)).astype(np.uint32)
+    return name[symbols], starts, name[left[keep]], name[right[keep]]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int = VOCABULARY, least: int | None = None) -> dict[str, np.ndarray]:
+    """Symbols, the first symbol of each document, and rules with their lengths; ends has the number of ids up to each document's end."""
+    symbols, starts, left, right = pruned(*grammar(ids, ends, vocabulary, least), vocabulary)
+    lengths = [1] * vocabulary
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        lengths.append(lengths[a] + lengths[b])
+    return {"symbols": symbols, "starts": starts.astype(np.uint32), "left": left, "right": right, "lengths": np.array(lengths[vocabulary:], np.uint32)}
+
+
+def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, sizes: np.ndarray, vocabulary: int = VOCABULARY) -> np.ndarray:
+    """The ids that symbols stand for; sizes has the number of ids of every symbol. Each id and each use of a rule is looked at once."""
+    s = symbols.astype(np.int64)
+    ends = np.cumsum(sizes[s])
+    at = ends - sizes[s]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    while len(s):
+        plain = s < vocabulary
+        out[at[plain]] = s[plain]
+        at, rule = at[~plain], s[~plain] - vocabulary
+        a = left[rule].astype(np.int64)
+        at = np.concatenate((at, at + sizes[a]))
+        s = np.concatenate((a, right[rule].astype(np.int64)))
+    return out
+
+
+def _pack(doc_ids: list, ids: np.ndarray, ends: np.ndarray) -> dict:
     c = compress(ids, ends)
     s = c["symbols"]
-    known = [d for d in doc_ids if d is not None]
     raw = {"starts": c["starts"].astype("<u4"), "left": c["left"].astype("<u4"), "right": c["right"].astype("<u4"), "lengths": c["lengths"].astype("<u4"), "low": (s & 0xFFFF).astype("<u2"), "high": (s >> 16).astype("u1")}
-    return {"block": block, "first_doc": known[0] if len(known) == len(doc_ids) else None, "n_docs": len(doc_ids), "n_ids": len(ids), "doc_ids": doc_ids} | {k: v.tobytes() for k, v in raw.items()}
+    return {"doc_ids": doc_ids, "n_docs": len(doc_ids), "n_ids": len(ids)} | {k: v.tobytes() for k, v in raw.items()}
 
 
 class Block:
@@ -238,41 +388,32 @@ class Block:
         self.doc_ids, self.starts = row["doc_ids"], of("starts", "<u4")
         self.left, self.right, self.lengths = of("left", "<u4"), of("right", "<u4"), of("lengths", "<u4")
         self.symbols = of("low", "<u2").astype(np.uint32) | of("high", "u1").astype(np.uint32) << 16
+        self.sizes = np.concatenate((np.ones(VOCABULARY, np.int64), self.lengths))
 
-    def sizes(self) -> np.ndarray:
-        """The number of ids that each symbol stands for, without expanding any."""
-        n = np.ones(len(self.symbols), np.int64)
-        big = self.symbols >= VOCABULARY
-        n[big] = self.lengths[self.symbols[big] - VOCABULARY]
-        return n
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The number of ids before each symbol, and that of all, without expanding any."""
+        return np.concatenate(([0], np.cumsum(self.sizes[self.symbols])))
 
     def document(self, k: int) -> np.ndarray:
         end = self.starts[k + 1] if k + 1 < len(self.starts) else len(self.symbols)
-        return expand(self.symbols[self.starts[k] : end], self.left, self.right)
+        return expand(self.symbols[self.starts[k] : end], self.left, self.right, self.sizes)
 
     def token(self, k: int, i: int) -> int:
-        """The i-th id of the k-th document, along one path of the grammar."""
-        at = int(self.starts[k])
-        while True:
-            s = int(self.symbols[at])
-            n = 1 if s < VOCABULARY else int(self.lengths[s - VOCABULARY])
-            if i < n:
-                break
-            i, at = i - n, at + 1
+        """The i-th id of the k-th document: its symbol by bisection, then along one path of the grammar."""
+        i += int(self.before[self.starts[k]])
+        at = int(np.searchsorted(self.before, i, "right")) - 1
+        s, i = int(self.symbols[at]), i - int(self.before[at])
         while s >= VOCABULARY:
             a = int(self.left[s - VOCABULARY])
-            n = 1 if a < VOCABULARY else int(self.lengths[a - VOCABULARY])
+            n = int(self.sizes[a])
             s, i = (a, i) if i < n else (int(self.right[s - VOCABULARY]), i - n)
         return s
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of them up to each document's end."""
-        before = np.concatenate(([0], np.cumsum(self.sizes())))
-        ends = np.append(before[self.starts[1:]], before[-1]) if len(self.starts) else np.zeros(0, np.int64)
-        return expand(self.symbols, self.left, self.right), ends
-
-
-_ARROW = pa.schema([("block", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("starts", "left", "right", "lengths", "low", "high"))])
+        ends = np.append(self.before[self.starts[1:]], self.before[-1]) if len(self.starts) else np.zeros(0, np.int64)
+        return expand(self.symbols, self.left, self.right, self.sizes), ends
 
 
 def default_tokenizer() -> str:
@@ -282,46 +423,61 @@ def default_tokenizer() -> str:
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end: int = END, shard_docs: int = SHARD_DOCS) -> Table:
-    """Writes all documents in ascending doc_id order, nulls first and equal ids by text, as blocks to the shared folder.
+    """Writes all documents in ascending doc_id order, nulls first and equal ids by their text's hash, as blocks to the shared folder.
 
     tokenizer is a path that workers can open; by default each asks for its own copy of the public vocabulary. A range
-    of doc_ids is one task, and any number of documents in it pass through in blocks of bounded size.
+    of documents is one task, and any number of documents in it pass through in blocks of bounded size. Ranges are by doc_id, hash and
+    place in the input, so rows that are equal in all, or without an id, are spread over ranges like any others.
     """
-    rows = docs.select("doc_id", "text")
+    rows = in_batches(docs).select("doc_id", "text", text_key().alias("key"), F.monotonically_increasing_id().alias("at"))
     shards = min(SHARDS, max(1, -(-docs.select("doc_id").count() // shard_docs)))
+    kind = docs.schema["doc_id"].dataType
+    arrow = pa.schema([("block", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("n_docs", pa.int32()), ("n_ids", pa.int64()), *((n, pa.binary()) for n in ("starts", "left", "right", "lengths", "low", "high"))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer or default_tokenizer())
         tail = np.array([end], "<u4").tobytes()
-        block, doc_ids, parts, n = 0, [], [], 0
+        block, doc_ids, parts, sizes, n = 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            return pa.RecordBatch.from_pylist([_pack(block, doc_ids, ids, ends)], _ARROW)
+            packed = {"block": block} | _pack(doc_ids, np.concatenate(parts), np.cumsum(np.concatenate(sizes)))
+            return pa.RecordBatch.from_pylist([packed], arrow)
 
         for b in batches:
-            for d, p in zip(b.column(0).to_pylist(), enc([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                doc_ids.append(d)
-                parts.append(p + tail)
-                n += len(p) // 4 + 1
+            docs_of, (ids, ends) = b.column(0).to_pylist(), enc.encode(b.column(1), tail)
+            first, done = 0, 0
+            while first < len(ends):
+                last = min(len(ends), int(np.searchsorted(ends, done + BLOCK_IDS - n)) + 1)
+                upto = int(ends[last - 1])
+                doc_ids += docs_of[first:last]
+                parts.append(ids[done:upto])
+                sizes.append(np.diff(ends[first:last], prepend=done))
+                n += upto - done
+                first, done = last, upto
                 if n >= BLOCK_IDS:
                     yield flush()
-                    block, doc_ids, parts, n = block + 1, [], [], 0
-        if parts:
+                    block, doc_ids, parts, sizes, n = block + 1, [], [], [], 0
+        if doc_ids:
             yield flush()
 
-    ordered = in_batches(rows).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    return Table(ordered.mapInArrow(encode, BLOCK_SCHEMA).withColumn("shard", F.spark_partition_id()), "token_shards", "zstd")
+    ordered = rows.repartitionByRange(shards, "doc_id", "key", "at").sortWithinPartitions("doc_id", "key", "at").select("doc_id", "text")
+    blocks = ordered.mapInArrow(encode, f"block int, doc_ids array<{kind.simpleString()}>, {BLOCK_FIELDS}")
+    return Table(blocks.withColumn("shard", F.spark_partition_id()), "token_shards", "zstd")
 
 
 def read_shards(blocks: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    start adds the ids of all blocks before, of which there is one row per BLOCK_IDS ids.
+    start adds the ids of all shards before, of which there are at most SHARDS, and of the shard's blocks before.
     """
-    earlier = Window.orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select(F.col("shard").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
+    up_to_here = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocks.groupBy(F.col("shard").alias("s")).agg(F.sum("n_ids").alias("n"))
+    shards = sums.select("s", F.coalesce(F.sum("n").over(up_to_here(Window.orderBy("s"))), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("n_ids").over(up_to_here(Window.partitionBy("shard").orderBy("block"))), F.lit(0))
+    of = blocks.select("shard", "block", within.alias("within")).join(small(shards), F.col("shard") == F.col("s"))
+    before = of.select(F.col("shard").alias("s"), F.col("block").alias("b"), (F.col("earlier") + F.col("within")).alias("before"))
+    kind = blocks.schema["doc_ids"].dataType.elementType
+    arrow = to_arrow_type(kind)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,12 +488,17 @@ def read_shards(blocks: DataFrame) -> DataFrame:
                 begin = np.concatenate(([0], ends[:-1]))
                 crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(begin.tolist(), ends.tolist(), strict=True)]
                 n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(begin, pa.int64()), pa.array(ends - begin, pa.int64()), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "local", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["doc_ids"], arrow), pa.array(begin, pa.int64()), pa.array(ends - begin, pa.int64()), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    docs = in_batches(blocks).mapInArrow(decode, "shard int, block int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    docs = in_batches(blocks).mapInArrow(decode, f"shard int, block int, doc_id {kind.simpleString()}, local long, n_tokens long, ids_crc32 long")
     return docs.join(small(before), (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Writes the token ids of docs and reads them back: one row for each row of docs. A null text is an empty one, which has the end id alone."""
+    """Writes the token ids of docs and reads them back: one row for each row of docs.
+
+    A null or empty text has the end id alone; a long one is encoded whole, in a block of its own length. Rows that share a doc_id
+    follow each other by their text's hash, equal rows in any order. An empty table gives none. A special token's name in a text is
+    that token's id, as the library does it by default.
+    """
     return read_shards(write_shards(docs, tokenizer).df)

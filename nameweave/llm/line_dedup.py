@@ -12,28 +12,28 @@ the common word must suffice (positional filter); and the words' parity bitmaps
 in words. Pairs that pass are verified on the words themselves.
 
 Of a large group of variants of one line nearly all are similar to its first line. So the join runs twice. First each
-line meets only the first line that shares one of its leaders, the two smallest and the largest of its words' hashes. That
-costs a line three pairs at most, and as min-hashes they are shared by similar lines more often than not. Then the lines that are still there meet all earlier ones.
+line meets only the first line that shares one of its leaders, the smallest and the largest of its words' hashes. That
+costs a line two pairs at most, and as min-hashes they are shared by similar lines more often than not. Then the lines that are still there meet all earlier ones.
+
+A document is known by (doc_id, text hash), so rows without a doc_id, or with one that others have too, are documents of their
+own, in the order of their hashes; rows equal in both are one document and get the same decisions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameweave.scratch import BROADCAST_ROWS, Table, free_shuffles, small, written
+from nameweave.llm.columns import among, fresh, ordinal, own, text_key
+from nameweave.scratch import Table, small
 
-LEAST, BUCKETS = 0.8, 1 << 20
+LEAST, BUCKETS = 0.8, 1 << 18
 #: White space besides space and line end.
 WHITE = "\t\x0b\x0c\r"
 #: Counts up to which rarity tells words apart.
 _MOST = (1 << 22) - 1
-#: Null doc_ids come first.
-_NULL_ID = -(1 << 63)
-
-
-def _id(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(_NULL_ID))
+#: A document, and a line of it.
+DOC, LINE = ["doc", "key"], ["doc", "key", "line"]
 
 
 def _plain(text: Column) -> Column:
@@ -50,17 +50,18 @@ def _words(line: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, l): every line that has a word; lines end at \\n and count from 0."""
-    each = docs.select(_id(F.col("doc_id")).alias("doc"), F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "l"))
-    return each.where(F.ltrim("l") != "")
+    """(doc, key, line, l): every line that has a word; lines end at \\n and count from 0."""
+    # the key in a step of its own: next to a generator it would be made anew for each line
+    keyed = docs.select(ordinal(docs).alias("doc"), text_key().alias("key"), "text")
+    return keyed.select(*DOC, F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "l")).where(F.ltrim("l") != "")
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """One row with one array: how many words of all texts fall into each bucket."""
+    """One row with one array of longs: how many words of all texts fall into each bucket, in the upper bits that a key has for it."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
     n = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).join(n, F.col("id") == F.col("b"), "left")
-    pairs = F.array_sort(F.collect_list(F.struct("id", F.least(F.coalesce("n", F.lit(0)), F.lit(_MOST)).cast("int").alias("n"))))
+    pairs = F.array_sort(F.collect_list(F.struct("id", F.shiftleft(F.least(F.coalesce("n", F.lit(0)), F.lit(_MOST)), 40).alias("n"))))
     return every.agg(pairs.alias("pairs")).select(F.transform("pairs", lambda p: p["n"]).alias("counts"))
 
 
@@ -69,20 +70,22 @@ def _need(n: Column | int, m: Column, least: float) -> Column:
     return F.ceil((n + m) * (least / (1 + least)) - 1e-9)
 
 
-def _passes(x: str, y: str, least: float) -> Column:
-    """Whether entries x and y under the same word can be of similar sets."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    n, m = c(x, "n"), c(y, "n")
-    share = 1 + F.least(n - c(x, "i"), m - c(y, "i"))  # with words after the common one; i counts from 1
-    need = _need(n, m, least)
-    one, two = (c(x, b).bitwiseXOR(c(y, b)) for b in ("bits", "bits2"))
-    # lines of up to 64 words have one map, which is the other lines' two maps folded into one
-    bits = F.when((n > 64) & (m > 64), F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
-    return (F.least(n, m) >= F.greatest(n, m) * least - 1e-9) & (share >= need) & (bits <= n + m - 2 * need)
+def _similar_sizes(n: Column, m: Column, share: Column, least: float) -> Column:
+    """Whether sets of n and m words, of which `share` can be common, can be similar."""
+    return (F.least(n, m) >= F.greatest(n, m) * least - 1e-9) & (share >= (n + m) * (least / (1 + least)) - 1e-9)
+
 
+def _similar_bits(x: dict[str, Column], y: dict[str, Column], least: float) -> Column:
+    """Whether the parity maps differ in no more bits than similar sets can differ in words. Lines of up to 64 words have one map, which is the other lines' two maps folded into one."""
+    one, two = x["bits"].bitwiseXOR(y["bits"]), x["bits2"].bitwiseXOR(y["bits2"])
+    bits = F.when((x["n"] > 64) & (y["n"] > 64), F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
+    return bits <= x["n"] + y["n"] - 2 * _need(x["n"], y["n"], least)
 
-def _earlier(x: str, y: str) -> Column:
-    return (F.col(f"{x}.doc") < F.col(f"{y}.doc")) | ((F.col(f"{x}.doc") == F.col(f"{y}.doc")) & (F.col(f"{x}.line") < F.col(f"{y}.line")))
+
+def _earlier(x: list[Column], y: list[Column]) -> Column:
+    """Whether x comes before y, by the first column in which they differ."""
+    less = x[0] < y[0]
+    return less | ((x[0] == y[0]) & _earlier(x[1:], y[1:])) if len(x) > 1 else less
 
 
 def _bits(hashes: str, half: int | None) -> Column:
@@ -93,97 +96,137 @@ def _bits(hashes: str, half: int | None) -> Column:
 
 
 def first_lines(docs: DataFrame, least: float) -> DataFrame:
-    """(doc, line, n, bits, bits2, leaders, prefix) of the first line of each set.
+    """(doc, key, line, n, bits, bits2, leaders, prefix) of the first line of each set.
 
     prefix has the keys of its rarest words, rarest first, and leaders the smallest and largest hashes of its words.
     """
-    # As a column of its own, as functions of array elements take no subquery. Nothing else is new in that step, and a filter that
-    # can't be moved parts it from the step before, so the optimizer puts it into the function all the same; else each row
-    # would get a copy of the table.
+    # As a column of its own, as functions of array elements take no subquery. Nothing else is new in that step, so the optimizer
+    # puts it into the function all the same; else each row would get a copy of the table.
     table = counts(docs).scalar().alias("counts")
-    hashed = lines(docs).select("doc", "line", F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split("l", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))).alias("h"), F.rand(0).alias("r")).where("r < 2")
+    hashes = F.sort_array(F.array_distinct(F.array_remove(F.transform(F.split("l", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))))
+    # what a generator gives is there once, whereas projections are merged and would repeat it for each use; the hashes
+    # themselves are made in the step before it, in generated code
+    hashed = lines(docs).select(*LINE, hashes.alias("h")).select(*LINE, F.explode(F.array("h")).alias("h"))
     bucket = lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    key = lambda h: F.shiftleft(F.get(F.col("counts"), bucket(h)).cast("long"), 40).bitwiseOR(F.shiftrightunsigned(h, 24))
+    key = lambda h: F.get(F.col("counts"), bucket(h)).bitwiseOR(F.shiftrightunsigned(h, 24))
     n = F.size("h")
-    leaders = F.array(F.get("h", F.lit(0)), F.get("h", F.lit(1)), F.element_at("h", -1))
+    leaders = F.array(F.get("h", F.lit(0)), F.element_at("h", -1))
     length = (n - F.ceil(n * least - 1e-9) + 1).cast("int")
     entry = F.struct(
-        "doc",
-        "line",
+        *LINE,
         n.alias("n"),
         F.when(n > 64, _bits("h", 0)).otherwise(_bits("h", None)).alias("bits"),
         F.when(n > 64, _bits("h", 1)).otherwise(F.lit(0).cast("long")).alias("bits2"),
         leaders.alias("leaders"),
         F.slice(F.sort_array(F.transform("h", key)), 1, length).alias("prefix"),
     )
-    keyed = hashed.select("doc", "line", "h", table).select(F.xxhash64("h").alias("set1"), F.xxhash64(F.lit(1), "h").alias("set2"), entry.alias("e"))
+    keyed = hashed.select(*LINE, "h", table).select(F.xxhash64("h").alias("set1"), F.xxhash64(F.lit(1), "h").alias("set2"), entry.alias("e"))
     return keyed.groupBy("set1", "set2").agg(F.min("e").alias("e")).select("e.*")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """(doc, line) of the later lines of those pairs (doc, line, doc0, line0) whose sets are similar."""
+def _led(some: DataFrame, least: float) -> DataFrame:
+    """Pairs of each line with a first line that shares one of its leaders, if they can be similar.
+
+    Leaders are counted before anything is sorted by them, so one that a third of all lines share meets as one row for each
+    task, and only lines with a shared leader go on.
+    """
+    met = some.select(F.explode(F.array_distinct("leaders")).alias("leader"), *LINE, "n", "bits", "bits2")
+    shared = met.groupBy("leader").agg(F.min("doc").alias("doc0"), F.count("*").alias("c")).where("c > 1").select("leader", "doc0")
+    shared = Table(shared, "shared_leaders")
+    whole = F.struct(*LINE, "n", "bits", "bits2")
+    heads = met.join(small(shared.df), "leader").where("doc = doc0").groupBy("leader").agg(F.min(whole).alias("x"))
+    heads = Table(heads, "leading_lines")
+    shared.drop()
+    y = met.select("leader", whole.alias("y")).join(small(heads.df), "leader")
+    x, y_ = ({c: F.col(f"{s}.{c}") for c in (*LINE, "n", "bits", "bits2")} for s in "xy")
+    can = _similar_sizes(x["n"], y_["n"], F.least(x["n"], y_["n"]), least) & _earlier([x[c] for c in LINE], [y_[c] for c in LINE]) & _similar_bits(x, y_, least)
+    pairs = y.where(can)
+    return pairs.select(*(y_[c].alias(c) for c in LINE), *(x[c].alias(f"{c}0") for c in LINE)).distinct()
+
+
+def _met(some: DataFrame, gone: DataFrame, least: float) -> DataFrame:
+    """Pairs of each line that isn't gone yet with all earlier lines under one of its prefix words, if they can be similar.
+
+    Rows are kept narrow: at is the line's number times 2, plus 1 if it is gone, and place has the number of words and the word's place.
+    Both sides are one and the same exchange, which they are as long as no condition is on one side alone.
+    """
+    still = some.join(small(gone.select(*LINE, F.lit(1).alias("led"))), LINE, "left")
+    at = F.col("line").cast("long") * 2 + F.coalesce("led", F.lit(0))
+    entries = still.select(*DOC, at.alias("at"), "n", "bits", "bits2", F.posexplode("prefix").alias("i", "token"))
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+    entries = entries.select("token", *DOC, "at", place.alias("place"), "bits", "bits2")
+
+    def side(s: str) -> dict[str, Column]:
+        c = {k: F.col(f"{s}.{k}") for k in entries.columns}
+        return c | {"n": F.shiftright(c["place"], 32), "i": c["place"].bitwiseAND(F.lit((1 << 32) - 1))}
+
+    x, y = side("x"), side("y")
+    share = F.least(x["n"] - x["i"], y["n"] - y["i"])  # the common word and those after it; i counts from 0
+    place_of = lambda c: [c["doc"], c["key"], F.shiftright(c["at"], 1)]
+    alive = (y["at"] % 2) * 2 <= x["at"] % 2  # y isn't gone
+    # the cheapest and most telling conditions come first
+    can = (x["doc"] <= y["doc"]) & _similar_sizes(x["n"], y["n"], share, least) & alive & _earlier(place_of(x), place_of(y)) & _similar_bits(x, y, least)
+    pairs = entries.alias("x").join(entries.alias("y"), (x["token"] == y["token"]) & can)
+    line = lambda c: F.shiftright(c["at"], 1).cast("int")
+    return pairs.select(y["doc"], y["key"], line(y).alias("line"), x["doc"].alias("doc0"), x["key"].alias("key0"), line(x).alias("line0")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, least: float) -> Table:
+    """(doc, key, line) of the later lines of those pairs (with the earlier line in doc0, key0, line0) whose sets are similar, from their words."""
     pairs = Table(pairs, "line_pairs")
-    wanted = Table(pairs.df.select("doc", "line").union(pairs.df.select("doc0", "line0")).distinct(), "wanted_lines")
-    n = wanted.count()
-    each = docs.select(_id(F.col("doc_id")).alias("doc"), _plain(F.col("text")).alias("text"))
-    if n > BROADCAST_ROWS:  # rather than all texts, shuffle those with a wanted line
-        each = each.join(wanted.df.select("doc").distinct(), "doc", "left_semi")
-    each = each.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "l")).join(small(wanted.df, n), ["doc", "line"], "left_semi")
-    words = Table(each.select("doc", "line", _words(F.col("l")).alias("words")), "wanted_words").df
-    later = pairs.df.join(words.withColumnRenamed("words", "w"), ["doc", "line"])
-    both = later.join(words.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("w0")), ["doc0", "line0"])
-    shared = F.size(F.array_intersect("w", "w0"))
-    return both.where(shared >= _need(F.size("w"), F.size("w0"), least)).select("doc", "line").distinct()
+    first = pairs.df.select(*(F.col(f"{c}0").alias(c) for c in LINE))
+    wanted = Table(pairs.df.select(*LINE).union(first).distinct(), "wanted_lines")
+    texts = docs.select(ordinal(docs).alias("doc"), "text")
+    texts = among(texts, Table(wanted.df.select("doc").distinct(), "wanted_docs").df, ["doc"], True)
+    each = texts.select("doc", text_key().alias("key"), "text").select(*DOC, F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "l"))
+    words = Table(among(each, wanted.df, LINE, True).select(*LINE, _words(F.col("l")).alias("w")).dropDuplicates(LINE), "wanted_words")
+    wanted.drop()
+    both = pairs.df.join(words.df, LINE).join(words.df.select(*(F.col(c).alias(f"{c}0") for c in LINE), F.col("w").alias("w0")), [f"{c}0" for c in LINE])
+    out = Table(both.where(F.size(F.array_intersect("w", "w0")) >= _need(F.size("w"), F.size("w0"), least)).select(*LINE).distinct(), "similar_lines")
+    pairs.drop()
+    words.drop()
+    return out
 
 
 def kept_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc, line) of all lines with words that stay."""
+    """(doc, key, line) of all lines with words that stay."""
     first = Table(first_lines(docs, least), "first_lines").df
-    free_shuffles(docs.sparkSession)
     # sets of so few words that one word less is too many have no similar set but themselves
-    alone = F.col("n") < F.ceil(F.lit(least / (1 - least) - 1e-9))
-    some = first.where(~alone)
-    # 1: against the first line of each min-hash
-    line = F.struct("doc", "line", "n", "bits", "bits2", F.lit(1).alias("i"))
-    by_leader = Window.partitionBy("leader").orderBy("doc", "line")
-    led = some.select(line.alias("y"), "doc", "line", F.explode("leaders").alias("leader")).select("y", F.first("y").over(by_leader).alias("x"))
-    led = led.where(_earlier("x", "y") & _passes("x", "y", least))
-    led = led.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
-    gone = written(_verified(docs, led, least), "led_lines")
-    free_shuffles(docs.sparkSession)
-    # 2: the others against all earlier lines. Both sides shall be one and the same exchange, so both need the same columns, and the
-    # condition on y must name x as well.
-    still = some.join(small(gone.select("doc", "line", F.lit(1).alias("led"))), ["doc", "line"], "left")
-    entries = still.select("doc", "line", "n", "bits", "bits2", F.coalesce("led", F.lit(0)).alias("led"), F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
-    unled = F.col("y.led") + F.col("x.led") * 0 == 0
-    pairs = entries.alias("x").join(entries.alias("y"), (F.col("x.token") == F.col("y.token")) & unled & _earlier("x", "y") & _passes("x", "y", least))
-    pairs = pairs.select("y.doc", "y.line", F.col("x.doc").alias("doc0"), F.col("x.line").alias("line0")).distinct()
-    gone = gone.union(_verified(docs, pairs, least))
-    return first.select("doc", "line").join(small(written(gone, "similar_lines")), ["doc", "line"], "left_anti")
+    some = first.where(F.col("n") >= F.ceil(F.lit(least / (1 - least) - 1e-9)))
+    gone = _verified(docs, _led(some, least), least).df
+    gone = gone.union(_verified(docs, _met(some, gone, least), least).df)
+    return first.select(*LINE).join(small(gone), LINE, "left_anti")
 
 
 def line_decisions(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, kept (numbers of the lines that stay, blank ones too, comma-joined).
 
-    Null texts have no lines; an empty text has a blank one. Rows that share a doc_id are one document to the order of
-    lines; if their texts differ, a line number stays where it stays for any of them.
+    Null texts have no lines; an empty text has a blank one; texts of any length are taken whole. Rows equal in doc_id and text
+    get equal rows, rows with the same doc_id or none and different texts are documents of their own. An empty table gives none.
     """
-    stays = kept_lines(docs, least).groupBy("doc").agg(F.collect_set("line").alias("stays"))
-    parts = F.transform(F.split(_plain(F.col("text")), "\n"), lambda l: F.ltrim(l) == "")
-    rows = docs.select("doc_id", _id(F.col("doc_id")).alias("__doc"), parts.alias("blank"))
-    rows = rows.join(stays, F.col("__doc") == F.col("doc"), "left")
-    blank = F.coalesce("blank", F.array().cast("array<boolean>"))
-    keep = F.filter(F.transform(blank, lambda b, i: F.when(b | F.coalesce(F.array_contains("stays", i), F.lit(False)), i)), lambda i: i.isNotNull())
-    rows = rows.select("doc_id", F.size(blank).cast("long").alias("n_lines"), keep.alias("keep"))
-    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("keep")).cast("long").alias("n_removed"), F.array_join(F.transform("keep", lambda i: i.cast("string")), ",").alias("kept"))
+    stays = kept_lines(docs, least).groupBy(*DOC).agg(F.collect_list("line").alias("stays"))
+    none = F.array().cast("array<int>")
+    rows = docs.select("doc_id", ordinal(docs).alias("doc"), text_key().alias("key"), F.split(_plain(F.col("text")), "\n").alias("lines"))
+    # most documents have no blank line
+    some = F.exists("lines", lambda l: F.ltrim(l) == "")
+    blank = F.when(some, F.filter(F.transform("lines", lambda l, i: F.when(F.ltrim(l) == "", i)), lambda i: i.isNotNull()))
+    rows = rows.select("doc_id", *DOC, F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), blank.alias("blank"))
+    keep = F.sort_array(F.concat(F.coalesce("blank", none), F.coalesce("stays", none)))
+    rows = rows.join(stays, DOC, "left").select("doc_id", "n_lines", F.when(F.col("n_lines") > 0, keep).otherwise(none).alias("keep"))
+    return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("keep")).alias("n_removed"), F.array_join(F.col("keep").cast("array<string>"), ",").alias("kept"))
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with the removed lines cut out of their texts; other columns as they are. Null texts stay null."""
-    stays = kept_lines(docs, least).groupBy("doc").agg(F.collect_set("line").alias("__stays")).withColumnRenamed("doc", "__line_doc")
-    rows = docs.join(stays, _id(F.col("doc_id")) == F.col("__line_doc"), "left")
-    keep = F.filter(F.split("text", "\n"), lambda l, i: (F.regexp_replace(l, f"[ {WHITE}]", "") == "") | F.coalesce(F.array_contains("__stays", i), F.lit(False)))
-    return rows.withColumn("text", F.array_join(keep, "\n")).select(*docs.columns)
+    doc, key, held = fresh(docs, "doc", "key", "stays")
+    stays = kept_lines(docs, least).groupBy(*DOC).agg(F.collect_list("line").alias(held)).withColumnsRenamed({"doc": doc, "key": key})
+    rows = docs.select(*own(docs), ordinal(docs).alias(doc), text_key().alias(key)).join(stays, [doc, key], "left")
+    blank = lambda l: F.regexp_replace(l, f"[ {WHITE}]", "") == ""
+    lines_of = F.split("text", "\n")
+    stay = F.coalesce(F.col(held), F.array().cast("array<int>"))
+    numbers = F.sort_array(F.array_union(F.filter(F.transform(lines_of, lambda l, i: F.when(blank(l), i)), lambda i: i.isNotNull()), stay))
+    text = F.array_join(F.transform(numbers, lambda i: F.get(lines_of, i)), "\n")
+    return rows.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(*own(docs))
 
 
 ORACLE = r"""

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import decontaminate, grammar, line_dedup, mixing, ogg, quality, secrets, sharding, simhash, url_filter
+from nameweave.llm import decontaminate, grammar, itemsets, line_dedup, mixing, ogg, quality, secrets, sharding, simhash, url_filter
 
 
 def _table(name: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, pages, benchmark = (_table(t) for t in ("documents", "pages", "benchmark"))
+documents, pages, benchmark, sale_lines = (_table(t) for t in ("documents", "pages", "benchmark", "sale_lines"))
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": lambda spark, d: ogg.media_features(documents(spark, d)),
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weighted_fair_mix": lambda spark, d: mixing.mixed_sizes(documents(spark, d)),
     "op9_feistel_shards": lambda spark, d: sharding.shards(documents(spark, d)),
     "op10_line_dedup": lambda spark, d: line_dedup.line_decisions(documents(spark, d)),
+    "op13_closed_itemsets": lambda spark, d: itemsets.closed_itemsets(sale_lines(spark, d)),
 }
 
-ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op13_closed_itemsets": itemsets.ORACLE}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nameweave.llm import decontaminate, grammar, itemsets, line_dedup, mixing, ogg, quality, secrets, sharding, simhash, url_filter
+from nameweave.llm import decontaminate, grammar, itemsets, licenses, line_dedup, mixing, ogg, periodic, quality, secrets, sharding, simhash, url_filter
 
 
 def _table(name: str):
@@ -26,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_weighted_fair_mix": lambda spark, d: mixing.mixed_sizes(documents(spark, d)),
     "op9_feistel_shards": lambda spark, d: sharding.shards(documents(spark, d)),
     "op10_line_dedup": lambda spark, d: line_dedup.line_decisions(documents(spark, d)),
+    "op11_periodic_runs": lambda spark, d: periodic.periodic_runs(documents(spark, d)),
+    "op12_license_scan": lambda spark, d: licenses.license_labels(documents(spark, d)),
     "op13_closed_itemsets": lambda spark, d: itemsets.closed_itemsets(sale_lines(spark, d)),
 }
 

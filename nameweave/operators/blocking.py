@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nameweave.functions.text import parts
+from nameweave.scratch import Table, small
 
 Labels = Column
 
@@ -86,16 +87,37 @@ def left_keys(left: DataFrame) -> DataFrame:
     return left.select(F.col("rec_id").alias("left_id")).distinct()
 
 
-def pairs(left: DataFrame, right: DataFrame, same: bool = False, ignored: Sequence[str] = ("None",)) -> DataFrame:
+#: Records of a label that meet in one task with as many of the other side.
+CELL = 2_000
+
+
+def _side(rows: DataFrame, live: Column, name: str) -> DataFrame:
+    """(name, labels, label): a row for each different label of a record, with all of them in order."""
+    of = rows.where(live).groupBy(F.col("rec_id").alias(name)).agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    return of.select(name, "labels", F.explode("labels").alias("label"))
+
+
+def pairs(left: DataFrame, right: DataFrame, same: bool = False, ignored: Sequence[str] = ("None",), cell: int = CELL) -> DataFrame:
     """(left_id, right_id) of records that share a label other than the ignored ones; same leaves out a record's pair with itself.
 
-    Both are tables of labelled(). A pair stands once however many labels it shares, and in both directions.
+    Both are tables of labelled(). A pair stands once however many labels it shares, and in both directions: it is made at the smallest
+    label that it shares, so no pair has to be found again among all. A label with more records than `cell` on a side is a grid of
+    sub-blocks, of about `cell` records of either side each, so a label that a third of all records have makes many even tasks.
     """
     live = ~F.col("label").isin(*ignored) if ignored else F.lit(True)
-    a = left.where(live).select(F.col("rec_id").alias("left_id"), "label").distinct()
-    b = right.where(live).select(F.col("rec_id").alias("right_id"), "label").distinct()
-    met = a.join(b, "label").select("left_id", "right_id")
-    return (met.where("left_id <> right_id") if same else met).distinct()
+    live &= F.col("rec_id").isNotNull()
+    counted = left.where(live).select("label", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.where(live).select("label", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    sizes = counted.groupBy("label").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    hot = sizes.where(((F.col("l") > cell) | (F.col("r") > cell)) & (F.col("l") > 0) & (F.col("r") > 0))
+    hot = Table(hot.select("label", *(F.ceil(F.col(c) / cell).cast("bigint").alias(f"n_{c}") for c in "lr")), "hot_labels").df
+    one = F.coalesce("n_l", F.lit(1).cast("bigint")), F.coalesce("n_r", F.lit(1).cast("bigint"))
+    a = _side(left, live, "left_id").join(small(hot), "label", "left").withColumn("i", F.pmod(F.xxhash64("left_id"), one[0]))
+    a = a.select("label", "left_id", F.col("labels").alias("of_left"), "i", F.explode(F.sequence(F.lit(0).cast("bigint"), one[1] - 1)).alias("j"))
+    b = _side(right, live, "right_id").join(small(hot), "label", "left").withColumn("j", F.pmod(F.xxhash64("right_id"), one[1]))
+    b = b.select("label", "right_id", F.col("labels").alias("of_right"), F.explode(F.sequence(F.lit(0).cast("bigint"), one[0] - 1)).alias("i"), "j")
+    smallest = (F.size("of_left") == 1) | (F.size("of_right") == 1) | (F.array_min(F.array_intersect("of_left", "of_right")) == F.col("label"))
+    met = a.join(b, ["label", "i", "j"]).where(smallest)
+    return (met.where("left_id <> right_id") if same else met).select("left_id", "right_id")
 
 
 def block(records: DataFrame, labeler: Callable[[DataFrame], Labels], id_column: str = "rec_id", ignored: Sequence[str] = ("None",)) -> tuple[DataFrame, DataFrame]:

@@ -32,15 +32,19 @@ def _added(cut: DataFrame, part: str, within: str, columns: list, name: str) ->
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "row_number", ranges: int | None = None) -> DataFrame:
-    """rows with their global number from 0 by the order, which must set apart all rows that differ.
+    """rows with their global number from 0 by the order; rows that are equal in it are numbered in any order.
 
     Rows are dealt into ranges of the order and written with the range's number; a window numbers those of a range, and the counts
-    of the ranges before it are added. A column that is named like the number is replaced.
+    of the ranges before it are added. A row's place in the table that is dealt out breaks ties, so equal rows, however many, spread over ranges
+    too; the table is written before, so that a row that is read again has the same place. A column that is named like the number is replaced.
     """
-    part, within = _name(rows, "range_"), _name(rows, "within_")
-    n = ranges or min(RANGES, max(1, -(-rows.count() // RANGE_ROWS)))
-    cut = Table(rows.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranges").df
-    placed = cut.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    part, within, at = _name(rows, "range_"), _name(rows, "within_"), _name(rows, "at_")
+    base = Table(rows, "to_number")
+    n = ranges or min(RANGES, max(1, -(-base.count() // RANGE_ROWS)))
+    dealt = base.df.withColumn(at, F.monotonically_increasing_id()).repartitionByRange(n, *order, at)
+    cut = Table(dealt.withColumn(part, F.spark_partition_id()), "ranges").df
+    base.drop()
+    placed = cut.withColumn(within, F.row_number().over(Window.partitionBy(part).orderBy(*order, at)) - 1)
     return _added(placed, part, within, [c for c, k in zip(_own(rows), rows.columns, strict=True) if k.lower() != name.lower()], name)
 
 

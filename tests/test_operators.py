@@ -320,3 +320,16 @@ def test_metrics_of_repeated_rows(spark):
     assert (r.n_pairs, r.n_matches, r.n_found, r.recall) == (3, 4, 1, 0.25)
     none = evaluate.metrics(pairs.where("false"), truth.where("false")).first()
     assert (none.n_pairs, none.n_found, none.f1) == (0, 0, 0.0)
+
+
+def test_equal_rows_are_numbered_in_even_ranges(spark):
+    from nameweave.operators import numbering
+
+    rows = spark.range(60_000).selectExpr("cast(null as long) as id", "'' as text").union(spark.range(10).selectExpr("id", "'x'"))
+    got = numbering.numbered(rows, ["id", "text"], "n", ranges=30)
+    assert sorted(r.n for r in got.select("n").collect()) == list(range(60_010))
+    assert [r.id for r in got.where("n >= 60000").orderBy("n").collect()] == list(range(10))
+    at = got.select("n").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    base = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(30, "id", "text", "at")
+    sizes = base.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert max(sizes) < 6_000 and sum(at) == 60_010

@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +112,7 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, int, bytes, memoryv
 
 
 def demux(data: bytes) -> dict[int, dict]:
-    """By serial number: packets, the seconds at which each ends, pages, and whether the stream ended.
+    """By serial number: packets, the granule position at which each ends, (granule, packets complete) of each page, pages, and whether the stream ended.
 
     A granule position holds for the last packet that ends on its page. The end of an earlier one on that page
     follows from the sizes of those after it, as a sample is one byte.
@@ -121,7 +122,7 @@ def demux(data: bytes) -> dict[int, dict]:
         if flags & BOS:
             if serial in found:
                 raise OggError(f"stream {serial} begins twice")
-            found[serial] = {"packets": [], "ends": [], "pages": 0, "ended": False, "part": None}
+            found[serial] = {"packets": [], "ends": [], "granules": [], "pages": 0, "ended": False, "part": None}
         s = found.get(serial)
         if s is None or s["ended"] or number != s["pages"]:
             raise OggError(f"page {number} of stream {serial} is out of place")
@@ -144,6 +145,9 @@ def demux(data: bytes) -> dict[int, dict]:
                 end -= len(p)
             s["packets"] += closed
             s["ends"] += ends[::-1]
+        elif granule != NO_GRANULE:
+            raise OggError(f"page {number} of stream {serial} has a time, but no packet ends on it")
+        s["granules"].append((granule, len(s["packets"])))
         s["ended"] = bool(flags & EOS)
     for serial, s in found.items():
         if not s["ended"] or s["part"] is not None:
@@ -151,8 +155,27 @@ def demux(data: bytes) -> dict[int, dict]:
     return found
 
 
+def _timed(s: dict) -> bool:
+    """Whether each page's granule position is the number of samples complete on it, and none where no packet ends."""
+    complete, samples = 0, 0
+    for granule, packets in s["granules"]:
+        samples += sum(map(len, s["packets"][max(1, complete) : packets]))
+        if granule != (samples if packets > complete else NO_GRANULE):
+            return False
+        complete = packets
+    return True
+
+
+def sounding(payload: bytes) -> str:
+    """Mean and root mean square of the samples around their middle, and how often they cross it."""
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    n = max(1, len(x))
+    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"mean={int(x.sum()) / n:.6f};rms={(int((x * x).sum()) / n) ** 0.5:.6f};crossings={crossings}"
+
+
 def restore(data: bytes) -> tuple[bytes, str]:
-    """The payload, and features: seconds in all, and pages, packets and seconds of each stream."""
+    """The payload, and features: seconds in all, pages, packets and seconds of each stream, and those of `sounding`."""
     of: dict[int, dict] = {}
     for s in demux(data).values():
         first = s["packets"][0] if s["packets"] else b""
@@ -161,6 +184,8 @@ def restore(data: bytes) -> tuple[bytes, str]:
         _, rate, block, k, streams, size = _IDENT.unpack(first)
         if not rate or k in of:
             raise OggError("no sound head")
+        if not _timed(s):
+            raise OggError("a granule position is no number of samples")
         of[k] = s | {"rate": rate, "size": size, "streams": streams}
     if not of or len(of) != next(iter(of.values()))["streams"] or sorted(of) != list(range(len(of))):
         raise OggError("a stream is missing")
@@ -173,7 +198,7 @@ def restore(data: bytes) -> tuple[bytes, str]:
     if any(s["size"] != len(payload) for s in of.values()):
         raise OggError("samples are missing")
     parts = [f"{s['pages']}/{len(s['packets'])}/{s['ends'][-1] / s['rate'] if len(s['packets']) > 1 else 0:.6f}" for _, s in sorted(of.items())]
-    return payload, f"{len(payload) / of[0]['rate']:.6f}s;" + ";".join(parts)
+    return payload, f"{len(payload) / of[0]['rate']:.6f}s;" + ";".join([*parts, sounding(payload)])
 
 
 def _whole(text: str | None) -> bytes:

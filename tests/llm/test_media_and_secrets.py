@@ -65,6 +65,26 @@ def test_failed_checks_are_nulls_and_not_sound(spark):
     assert found[1].payload_bytes == 64 and all(found[i] is None or found[i].media_sha256 is None for i in (2, 3, 4))
 
 
+def test_times_that_are_no_sample_counts_are_found():
+    """Granule positions that are wrong while all checksums are right, each by itself and all by one rule."""
+    good = ogg.mux(random.Random(5).randbytes(300_000), block=70_000)
+    pages = list(ogg.read_pages(good))
+    page = lambda p, granule: ogg._page(p[0], granule, p[2], p[3], p[4], bytes(p[5]))
+    assert b"".join(page(p, p[1]) for p in pages) == good and any(p[1] == ogg.NO_GRANULE for p in pages)
+    wrong = [[(7 * p[1] + 13) % (1 << 63) for p in pages]]
+    for i, p in enumerate(pages):
+        for g in (p[1] - 1 if p[1] else 1, 0 if p[1] == ogg.NO_GRANULE else ogg.NO_GRANULE):
+            wrong.append([q[1] if j != i else g for j, q in enumerate(pages)])
+    for granules in wrong:
+        with pytest.raises(ogg.OggError):
+            ogg.restore(b"".join(page(p, g) for p, g in zip(pages, granules, strict=True)))
+
+
+def test_features_of_the_samples():
+    feature = ogg.restore(ogg.mux(bytes([128, 130, 126, 126, 138, 128, 118, 128])))[1]
+    assert feature.endswith(f"mean=-0.250000;rms={(212 / 8) ** 0.5:.6f};crossings=4")
+
+
 def test_damage_is_found():
     good = ogg.mux(random.Random(2).randbytes(20_000))
     for at in range(0, len(good), 997):

@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nameweave.llm.columns import repeated
+from nameweave.scratch import Table
 
 PERIOD = 30
-#: Scheme and user info before the host, which may be an address in brackets; host; path up to query or fragment.
-_URL = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)(?::[0-9]*)?(/[^?#]*)?"
+#: Scheme and user info before the host, which may be an address in brackets; host; path up to query or fragment. As in browsers, a backslash there is a slash.
+_URL = r"^\x20*[a-z][a-z0-9+.-]*:[/\\]{2}(?:[^/\\?#@]*@)?(\[[^\]/\\?#]*\]|[^/\\?#:@\[\]]+)(?::[0-9]*)?([/\\][^?#]*)?"
 _ADDRESS = r"^(\[.*|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$"
 
 
@@ -30,7 +31,7 @@ def host(url: Column) -> Column:
 
 
 def _filled(path: Column) -> Column:
-    return F.array_remove(F.split(path, "/"), "")
+    return F.array_remove(F.split(F.translate(path, "\\", "/"), "/"), "")
 
 
 def segments(url: Column) -> Column:
@@ -42,18 +43,22 @@ def list_key(key: Column) -> Column:
     """A list's key in the form of hosts and segments; null without a host."""
     parts = F.split(F.lower(key), "/")
     h = F.rtrim(F.get(parts, F.lit(0)), F.lit("."))
-    return F.when(h != "", F.concat_ws("/", F.array(h), F.array_remove(F.slice(parts, 2, 1 << 20), "")))
+    return F.when(h != "", F.concat_ws("/", F.array(h), F.array_remove(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), "")))
 
 
-def covering_keys(url: Column) -> Column:
-    """The host, its parent domains of two labels or more unless it is an address, and the host with each run of leading path segments."""
+def covering_keys(url: Column, labels_most: int | None = None, segments_most: int | None = None) -> Column:
+    """The host, its parent domains of two labels or more unless it is an address, and the host with each run of leading path segments.
+
+    Only parents of at most `labels_most` labels and runs of at most `segments_most` segments are made, if these are given.
+    """
     h, path = host(url), segments(url)
     labels = F.split(h, "\\.")
-    parents = F.when(F.regexp_like(h, F.lit(_ADDRESS)), 1).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
-    domains = F.transform(F.sequence(F.lit(1), parents), lambda i: F.when(i == 1, h).otherwise(F.array_join(F.slice(labels, i, 1 << 20), ".")))
-    prefixes = F.transform(F.sequence(F.lit(0), F.size(path)), lambda i: F.concat_ws("/", h, F.array_join(F.slice(path, 1, i), "/")))
-    paths = F.slice(prefixes, 2, 1 << 20)
-    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths)))
+    n = F.size(labels)
+    first = F.lit(2) if labels_most is None else F.greatest(n - labels_most + 1, F.lit(2))
+    parents = F.when(F.regexp_like(h, F.lit(_ADDRESS)) | (first > n - 1), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(first, n - 1), lambda i: F.array_join(F.slice(labels, i, n), ".")))
+    runs = F.size(path) if segments_most is None else F.least(F.size(path), F.lit(segments_most))
+    paths = F.when(runs < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), runs), lambda i: F.concat_ws("/", h, F.array_join(F.slice(path, 1, i), "/"))))
+    return F.when(h == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(h), parents, paths)))
 
 
 def intervals(events: DataFrame) -> DataFrame:
@@ -77,13 +82,18 @@ def verdicts(captures: DataFrame, events: DataFrame) -> DataFrame:
 
     Of the active entries the one with the longest key decides; between equal keys the one listed last, then the larger
     entry_id. Captures without a date, host or active entry aren't blocked. Equal rows are evaluated once and returned as often as they
-    were there. Long URLs are taken whole, other columns of either table aren't read, and an empty table gives no rows or no entries.
+    were there. Long URLs are taken whole: a key costs a URL no more
+    than its own leading part, and none is made that is longer than the list's. Other columns of either table aren't read, and an empty table gives no rows or no entries.
     """
     rows = captures.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n"))
-    looked = rows.select("*", F.explode_outer(covering_keys(F.col("url"))).alias("key")).withColumn("period", _period(F.col("fetched")))
+    # no URL is looked up under more labels or segments than any key has: two numbers about the list, whatever its size
+    held = Table(intervals(events), "intervals").df
+    parts = F.size(F.split("key", "/"))
+    most = held.agg(F.coalesce(F.max(F.size(F.split(F.substring_index("key", "/", 1), "\\."))), F.lit(0)).alias("labels"), F.coalesce(F.max(parts) - 1, F.lit(0)).alias("segments")).head()
+    looked = rows.select("*", F.explode_outer(covering_keys(F.col("url"), most.labels, most.segments)).alias("key")).withColumn("period", _period(F.col("fetched")))
     # there are no more of these than periods in the calendar
     periods = captures.where("fetched is not null").agg(F.sort_array(F.collect_set(_period(F.col("fetched")))).alias("periods"))
-    held = intervals(events).join(F.broadcast(periods))
+    held = held.join(F.broadcast(periods))
     until = F.when(F.col("valid_to").isNotNull(), _period(F.date_sub("valid_to", 1)))
     inside = F.filter("periods", lambda p: (p >= _period(F.col("valid_from"))) & (until.isNull() | (p <= until)))
     held = held.select(F.col("key").alias("k"), "entry_id", "action", "valid_from", "valid_to", F.explode(inside).alias("p"))
@@ -123,10 +133,10 @@ def dated_list(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH u AS (SELECT page_id, url, lower(url) AS l, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]+)(?::[0-9]*)?(/[^?#]*)?' AS re FROM pages),
+WITH u AS (SELECT page_id, url, lower(url) AS l, '^\x20*[a-z][a-z0-9+.-]*:[/\\]{2}(?:[^/\\?#@]*@)?(\[[^\]/\\?#]*\]|[^/\\?#:@\[\]]+)(?::[0-9]*)?([/\\][^?#]*)?' AS re FROM pages),
 p AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS fetched, rtrim(regexp_extract(l, re, 1), '.') AS host,
-    list_filter(string_split(regexp_extract(l, re, 2), '/'), lambda x: x <> '') AS path
+    list_filter(string_split(translate(regexp_extract(l, re, 2), '\', '/'), '/'), lambda x: x <> '') AS path
   FROM u),
 names AS (
   SELECT DISTINCT host AS key FROM p WHERE host <> ''

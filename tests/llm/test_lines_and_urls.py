@@ -132,3 +132,17 @@ def test_made_list(spark, none):
     pages = spark.createDataFrame([(1, "http://h.example.com/en/1"), (None, None), (2, "")], "page_id long, url string")
     found = url_filter.verdicts(url_filter.fetched_pages(pages), url_filter.dated_list(pages))
     assert found.count() == 3 and collected(found)
+
+
+def test_backslashes_blanks_and_very_long_urls(spark):
+    import time
+
+    urls = [r"http://ex.com\@evil.com/a", r"https:\\Ex.com\a\\b?x", "  http://ex.com/a/b", "http://ex.com/" + "a/" * 40_000, "http://" + "a." * 20_000 + "com/"]
+    c = spark.createDataFrame([(i, u, day(1)) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    rows = [("e", "ex.com", "block", True, day(0)), ("f", "ex.com/a/b", "allow", True, day(0)), ("g", "ex.com/a/a/a", "block", True, day(0)), ("h", "a.com", "block", True, day(0))]
+    e = spark.createDataFrame(rows, "entry_id string, key string, action string, listed boolean, dated date")
+    url_filter.verdicts(c.limit(1), e).collect()
+    began = time.time()
+    found = {r.page_id: (r.host[:9], r.n_active, r.entry_key) for r in url_filter.verdicts(c, e).collect()}
+    assert time.time() - began < 15
+    assert found == {0: ("ex.com", 1, "ex.com"), 1: ("ex.com", 2, "ex.com/a/b"), 2: ("ex.com", 2, "ex.com/a/b"), 3: ("ex.com", 2, "ex.com/a/a/a"), 4: ("a.a.a.a.a", 1, "a.com")}

@@ -172,6 +172,14 @@ class Model:
         return f(text)
 
 
+def chosen_texts(docs: DataFrame, sample: int) -> DataFrame:
+    """(text): about `sample` different texts of docs, chosen by their hash, or all if there are no more. However often a text is repeated, it is one of them all."""
+    keyed = docs.select("text", text_key().alias("key"))
+    share = min(1.0, sample / max(1, keyed.select("key").distinct().count()))
+    chosen = keyed.where(F.pmod(F.xxhash64(F.lit(SAMPLE), "key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return chosen.dropDuplicates(["key"]).select("text")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Counts votes over all of docs and trains on about `sample` different texts at most, chosen by their hash.
 
@@ -182,8 +190,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counted = docs.select(_vote_column(F.col("text")).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
     patterns = {tuple(map(int, r.v.split(","))): r.n for r in counted.collect()}  # at most 3 ** len(LABELLERS) rows
     posteriors = fit_votes(patterns)
-    total = sum(patterns.values())
-    share = min(1.0, sample / max(1, total))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,10 +207,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         w = train([dict(zip(r["i"], r["x"], strict=True)) for r in rows], np.array([r["y"] for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], names=["w"])
 
-    key = text_key()
-    chosen = docs.select("text", key.alias("key")).where(F.pmod(F.xxhash64(F.lit(SAMPLE), "key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = chosen.dropDuplicates(["key"]).select("text")
-    learnt = chosen.mapInArrow(features, "i array<int>, x array<double>, y double").repartition(1).mapInArrow(learn, "w array<double>").collect()
+    learnt = chosen_texts(docs, sample).mapInArrow(features, "i array<int>, x array<double>, y double").repartition(1).mapInArrow(learn, "w array<double>").collect()
     return Model(posteriors, np.array(learnt[0].w) if learnt else np.zeros(FEATURES))
 
 

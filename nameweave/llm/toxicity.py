@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nameweave.llm.columns import in_batches, text_key
-from nameweave.llm.quality import SAMPLE, fit_votes, train
+from nameweave.llm.columns import in_batches
+from nameweave.llm.quality import SAMPLE, chosen_texts, fit_votes, train
 
 #: Least score that is toxic, size of the space of hashed words, most words that the scorer learns, and documents that count as evidence against a word.
 TOXIC, SPACE, LEARNT, DOUBT = 0.5, 1 << 20, 256, 10
@@ -115,7 +115,6 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counted = docs.select(ballot(F.col("text")).alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
     patterns = {tuple(map(int, r.v.split(","))): r.n for r in counted.collect()}  # at most 3 ** (KINDS + 1) rows
     posteriors = fit_votes(patterns) | {votes((0,) * KINDS): 1.0}
-    share = min(1.0, sample / max(1, sum(patterns.values())))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,9 +130,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         w, words = learn(rows)
         yield pa.RecordBatch.from_pylist([{"w": w, "c": list(words), "x": list(words.values())}], pa.schema([("w", pa.list_(pa.float64())), ("c", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))]))
 
-    chosen = docs.select("text", text_key().alias("key")).where(F.pmod(F.xxhash64(F.lit(SAMPLE), "key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    chosen = chosen.dropDuplicates(["key"]).select("text")
-    rows = chosen.mapInArrow(features, "f array<int>, c array<int>, y double").repartition(1).mapInArrow(learnt, "w array<double>, c array<int>, x array<double>").collect()
+    rows = chosen_texts(docs, sample).mapInArrow(features, "f array<int>, c array<int>, y double").repartition(1).mapInArrow(learnt, "w array<double>, c array<int>, x array<double>").collect()
     return Model(rows[0].w, dict(zip(rows[0].c, rows[0].x, strict=True))) if rows else Model(*learn([]))
 
 

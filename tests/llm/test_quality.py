@@ -73,6 +73,33 @@ def test_a_repeated_row_is_one_of_the_sample(spark):
     assert kept.count() == 550 and kept.where("doc_id = 99").select("score").distinct().count() == 1
 
 
+def test_repeats_leave_the_sample_as_it_is(spark):
+    docs = [(i, f"text {i} of the sample and so on") for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").select("text")
+    many = df.union(spark.range(40_000).selectExpr("'one row that is there again and again' as text"))
+    assert quality.chosen_texts(many, 6000).count() == 81
+    some = quality.chosen_texts(many, 40).collect()
+    assert 25 <= len(some) <= 55 and sorted(some) == sorted(quality.chosen_texts(many.distinct(), 40).collect())
+
+
+def test_scorer_by_plain_gradients():
+    """Weights and probabilities as dense matrices and loops give them."""
+    rows = [{0: 1.0, 3: 0.5, 7: 2.0}, {0: 1.0, 3: 1.5}, {0: 1.0, 9: 1.0}, {0: 1.0, 7: 1.0, 9: 0.25}]
+    y = np.array([0.9, 0.2, 0.4, 0.7])
+    x = np.zeros((4, 10))
+    for i, r in enumerate(rows):
+        for c, v in r.items():
+            x[i, c] = v
+    w, speed = np.zeros(10), np.zeros(10)
+    for _ in range(40):
+        at = w + 0.9 * speed
+        slope = sum((1 / (1 + np.exp(-x[i] @ at)) - y[i]) * x[i] for i in range(4)) / 4 + 1e-4 * at
+        speed = 0.9 * speed - 0.5 * slope
+        w = w + speed
+    got = quality.train(rows, y, rounds=40)
+    assert np.allclose(got[:10], w) and not got[10:].any()
+
+
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")

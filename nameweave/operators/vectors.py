@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from nameweave.functions import text
@@ -99,16 +100,9 @@ def _best(q: np.ndarray, m: np.ndarray, k: int, same: list[tuple[int, int]], ord
     return at[keep], row[keep], distance[keep]
 
 
-def nearest(queries: DataFrame, collection: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """(query_id, rank, id, distance): the k rows of the collection next to each query (query_id, embedding).
-
-    Nothing of it passes through the driver. Each meeting of two blocks gives at most k candidates per query. exclude_self
-    leaves out the row whose id is the query's.
-    """
-    id_type, key_type = collection.schema["id"].dataType, queries.schema["query_id"].dataType
+def _ranked(met: DataFrame, key_type: T.DataType, id_type: T.DataType, k: int, exclude_self: bool) -> DataFrame:
+    """(query_id, rank, id, distance) from meetings of a block of queries (q_keys, q_vectors) with one of rows (keys, vectors): the k best of each go on to the final ranking."""
     out = pa.schema([("query_id", to_arrow_type(key_type)), ("id", to_arrow_type(id_type)), ("distance", pa.float64())])
-    q = _packed(queries, "query_id", "query_blocks").select(F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
-    met = _packed(collection, "id", "row_blocks").crossJoin(small(q))  # of blocks, each of thousands of rows
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,11 +119,22 @@ def nearest(queries: DataFrame, collection: DataFrame, k: int, exclude_self: boo
                 at, row, distance = _best(v, m, k, same, order)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), ids.take(pa.array(row)), pa.array(distance)], schema=out)
 
-    found = met.mapInArrow(rank, f"query_id {key_type.simpleString()}, id {id_type.simpleString()}, distance double")
+    found = met.select("keys", "vectors", "q_keys", "q_vectors").mapInArrow(rank, f"query_id {key_type.simpleString()}, id {id_type.simpleString()}, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
+def nearest(queries: DataFrame, collection: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """(query_id, rank, id, distance): the k rows of the collection next to each query (query_id, embedding).
+
+    Nothing of it passes through the driver. Each meeting of two blocks gives at most k candidates per query. exclude_self
+    leaves out the row whose id is the query's. Every query is compared with every row; operators/cells.py compares fewer.
+    """
+    q = _packed(queries, "query_id", "query_blocks").select(F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
+    met = _packed(collection, "id", "row_blocks").crossJoin(small(q))  # of blocks, each of thousands of rows
+    return _ranked(met, queries.schema["query_id"].dataType, collection.schema["id"].dataType, k, exclude_self)
+
+
 def nearest_by_name(collection: DataFrame, names: DataFrame, k: int = 3, source: str | None = None, embed: Callable[[Column], Column] = hashed_embedding, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, distance, document, source, idx): the k next to each name (query_id, title), of one source if it is given.
 

@@ -5,12 +5,15 @@ Titles are embedded by how often each letter stands in them, which SQL can do to
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameweave.operators import blocking, evaluate, vectors
-from nameweave.plans.catalog import _DIST, PAIRS, _collection, brand_pairs, name_matches, part_records, query, table
+from nameweave.operators import blocking, cells, evaluate, vectors
+from nameweave.plans.catalog import _DIST, _KNN, PAIRS, _collection, _near, brand_pairs, name_matches, part_records, query, table
 from nameweave.plans.catalog_files import block_object
+from nameweave.scratch import shared_dir
 
 _ABC = "abcdefghijklmnopqrstuvwxyz"
 _LETTERS = f"list_transform(string_split('{_ABC}', ''), lambda x: length({{t}}) - length(replace({{t}}, x, '')))"
@@ -130,3 +133,21 @@ def block_main(spark, d):
     found = blocking.as_blocks(pairs, keys).select("left_id", F.explode("block").alias("right_id"))
     m = evaluate.metrics(found, name_matches(spark, d))
     return m.select("n_pairs", "n_matches", "n_found", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+def _indexed(spark, d) -> cells.Index:
+    return cells.Index.write(_collection(spark, d), f"{shared_dir(spark)}/cells-{uuid.uuid4().hex[:12]}")
+
+
+@query(_KNN.format(dist=_DIST, where="a.vec_id <> b.vec_id") + " SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 5) AS distance FROM r WHERE rank <= 10")
+def knn_cells(spark, d):
+    """The ten rows next to each row, exact, from a stored index of cells."""
+    q = _collection(spark, d).select(F.col("id").alias("query_id"), "embedding")
+    return _near(_indexed(spark, d).nearest(q, 10, exact=True, exclude_self=True))
+
+
+@query()
+def knn_probed(spark, d):
+    """The same from the probed cells alone, which is approximate; tests/test_cells.py measures its recall."""
+    q = _collection(spark, d).select(F.col("id").alias("query_id"), "embedding")
+    return _near(_indexed(spark, d).nearest(q, 10, exclude_self=True))

@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,36 +37,67 @@ _PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:?!)»”\"]?")
 LABELLERS = ("symbols", "shouting", "lists", "repeats", "echoes", "top_word", "function_words", "plain_words")
 
 
-def measures(text: str | None) -> tuple[int, dict[str, float], Counter, Counter]:
-    """Number of words, a share for each labeller, and how often each shape of a word and each word occurs."""
+#: Words whose traits a worker remembers.
+MEMORY = 300_000
+_traits: dict[str, tuple[int, int]] = {}
+_kinds: list[tuple[tuple[str, ...], str]] = []
+_kind_of: dict[tuple[tuple[str, ...], str], int] = {}
+
+
+def _learn(w: str) -> tuple[int, int]:
+    """(kind, feature) of a word: the number of what it counts for and its shape in _kinds, and the place of its own feature."""
+    counts = []
+    if _PLAIN.fullmatch(w):
+        counts.append("plain_words")
+        shape = "A" if w.isupper() else "Aa" if w[0].isupper() else "a"
+        if w.strip(".,;:?!)»”\"").lower() in FUNCTION_WORDS:
+            counts.append("function_words")
+    else:
+        bare = w.rstrip("!?.,;:")
+        shape = "|" if w == "|" else "#" if _SYMBOL.search(w) else "0" if bare.isdigit() else "x"
+        if shape == "#":
+            counts.append("symbols")
+        if shape == "|" or w in ("-", "•", "·", "–"):
+            counts.append("lists")
+    if "!!" in w or (len(w) > 1 and w.isupper()):
+        counts.append("shouting")
+        shape += "!"
+    kind = (tuple(counts), shape if w[-1].isalnum() else shape + w[-1])
+    if kind not in _kind_of:
+        _kind_of[kind] = len(_kinds)
+        _kinds.append(kind)
+    if len(_traits) >= MEMORY:
+        _traits.clear()
+    _traits[w] = out = (_kind_of[kind], zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) % (FEATURES - 1) + 1)
+    return out
+
+
+def measures(text: str | None) -> tuple[int, dict[str, float], dict[str, int], list[int]]:
+    """Number of words, a share for each labeller, how often each shape of a word occurs, and the feature of each different word."""
     words = (text or "").split()
     n = len(words)
     if not n:
-        return 0, dict.fromkeys(LABELLERS, 0.0), Counter(), Counter()
-    found = dict.fromkeys(LABELLERS, 0)
-    shapes: Counter = Counter()
+        return 0, dict.fromkeys(LABELLERS, 0.0), {}, []
     counted = Counter(words)
+    of_kind: dict[int, int] = {}
+    features = []
     for w, k in counted.items():
-        if _PLAIN.fullmatch(w):
-            found["plain_words"] += k
-            shape = "A" if w.isupper() else "Aa" if w[0].isupper() else "a"
-            if w.strip(".,;:?!)»”\"").lower() in FUNCTION_WORDS:
-                found["function_words"] += k
-        else:
-            bare = w.rstrip("!?.,;:")
-            shape = "|" if w == "|" else "#" if _SYMBOL.search(w) else "0" if bare.isdigit() else "x"
-            found["symbols"] += k * (shape == "#")
-            found["lists"] += k * (shape == "|" or w in ("-", "•", "·", "–"))
-        if "!!" in w or (len(w) > 1 and w.isupper()):
-            found["shouting"] += k
-            shape += "!"
-        shapes[shape + w[-1] if not w[-1].isalnum() else shape] += k
-    shares = {k: v / n for k, v in found.items()}
+        kind, feature = _traits.get(w) or _learn(w)
+        of_kind[kind] = of_kind.get(kind, 0) + k
+        features.append(feature)
+    found = dict.fromkeys(LABELLERS, 0)
+    shapes: dict[str, int] = {}
+    for kind, k in of_kind.items():
+        counts, shape = _kinds[kind]
+        for c in counts:
+            found[c] += k
+        shapes[shape] = shapes.get(shape, 0) + k
     blocks = [words[i : i + BLOCK] for i in range(0, n, BLOCK)]
+    shares = {k: v / n for k, v in found.items()}
     shares["echoes"] = sum(map(str.__eq__, words, words[1:])) / n
     shares["top_word"] = max(counted.values()) / n
     shares["repeats"] = 1 - sum(len(set(b)) for b in blocks) / n
-    return n, shares, shapes, counted
+    return n, shares, shapes, features
 
 
 #: A share up to the first number votes for the first side, one from the second number on for the other; between them there is no vote. The last number is the least words for a vote.
@@ -106,20 +138,37 @@ def fit_votes(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> dict[t
     return {tuple(x): float(p) for x, p in zip(v.tolist(), post, strict=True)}
 
 
-def hashed(n: int, shares: dict[str, float], shapes: Counter, words: Counter) -> dict[int, float]:
-    """Sparse features: each shape's share, which tenth each measure falls into, and the different words, which weigh as much together as one tenth."""
+def _named(n: int, shares: dict[str, float], shapes: dict[str, int]) -> dict[int, float]:
+    """Sparse features of the text as a whole: each shape's share, and which tenth each measure falls into."""
     x: dict[int, float] = {0: 1.0}
     names = {f"shape:{k}": c / n for k, c in shapes.items()} | {f"{k}:{int(min(s, 0.999) * 10) if s else '-'}": 1.0 for k, s in shares.items()} | {f"length:{min(n, 1 << 20).bit_length()}": 1.0}
     for k, c in names.items():
-        i = zlib.crc32(k.encode("utf-8", "surrogatepass")) % (FEATURES - 1) + 1
+        i = _place(k)
         x[i] = x.get(i, 0.0) + c
+    return x
+
+
+@lru_cache(1 << 16)
+def _place(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % (FEATURES - 1) + 1
+
+
+def hashed(n: int, shares: dict[str, float], shapes: dict[str, int], words: list[int]) -> dict[int, float]:
+    """Sparse features: those of the whole text, and the different words, which weigh as much together as one tenth."""
+    x = _named(n, shares, shapes)
     each = len(words) ** -0.5
-    for w in words:
-        i = zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) % (FEATURES - 1) + 1
+    for i in words:
         x[i] = x.get(i, 0.0) + each
     return x
 
 
+def logit(weights: np.ndarray, n: int, shares: dict[str, float], shapes: dict[str, int], words: list[int]) -> float:
+    """The weighted sum of the features that hashed() gives."""
+    x = _named(n, shares, shapes)
+    whole = sum(float(weights[i]) * c for i, c in x.items())
+    return whole + float(weights[words].sum()) * len(words) ** -0.5
+
+
 def train(rows: list[dict[int, float]], labels: np.ndarray, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
     """Weights of a logistic model for soft labels, by accelerated full-batch gradients from 0: the same for the same rows."""
     weights = np.zeros(FEATURES)
@@ -165,7 +214,7 @@ class Model:
                 for t in b.to_pylist():
                     m = measures(t)
                     v = votes(*m[:2])
-                    z = sum(weights[i] * c for i, c in hashed(*m).items()) if m[0] else -np.inf
+                    z = logit(weights, *m) if m[0] else -np.inf
                     out.append({"votes": ",".join(map(str, v)), "posterior": posteriors.get(v), "score": float(1 / (1 + np.exp(-z)))})
                 yield pa.array(out, kind)
 

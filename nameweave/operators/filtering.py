@@ -1,6 +1,7 @@
 """Similarity filters over candidate pairs: scores by name parts, thresholds, optimal assignment, and the best k per record.
 
-Similarity is computed once for each distinct pair of part values that some candidate pair needs, and joined back. Ties
+Similarity is computed once for each distinct pair of part values that some candidate pair needs, and joined back. Before that an
+upper bound by lengths and letters leaves out the pairs of values that can't reach a threshold, or can't bring a candidate among the best k. Ties
 go to the smaller right_id.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nameweave.functions.similarity import assignment_score, jaro_winkler
+from nameweave.functions.similarity import assignment_score, jaro_winkler, jaro_winkler_bound, letters
 from nameweave.functions.text import parts
 from nameweave.scratch import Table
 
@@ -53,11 +54,20 @@ def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, least: float | N
     if least is not None and least >= 1:
         return met.where("a = b").withColumn("sim", F.lit(1.0))
     met = Table(met, "combinations").df  # gone through twice
-    words = met.select("a", "b").distinct().withColumn("sim", jaro_winkler(F.col("a"), F.col("b")))
+    words = met.select("a", "b").distinct()
+    if least is not None:
+        words = bounded(words).where(F.col("bound") >= least).select("a", "b")
+    words = words.withColumn("sim", jaro_winkler(F.col("a"), F.col("b")))
     words = words.where(F.col("sim") >= least) if least is not None else words
     return met.join(words, ["a", "b"])
 
 
+def bounded(words: DataFrame) -> DataFrame:
+    """Pairs of values (a, b) with bound, which their similarity isn't above."""
+    marked = words.withColumn("x", letters(F.col("a"))).withColumn("y", letters(F.col("b")))
+    return marked.withColumn("bound", jaro_winkler_bound(F.col("a"), F.col("b"), F.col("x"), F.col("y"))).drop("x", "y")
+
+
 def top_k(scores: DataFrame, k: int, order: Column | None = None) -> DataFrame:
     """The k best rows of each left record, with their rank from 1."""
     best = Window.partitionBy(LEFT).orderBy((order if order is not None else F.col("score")).desc(), RIGHT)
@@ -69,11 +79,31 @@ def by_any_part(pairs: DataFrame, left: DataFrame, right: DataFrame, least: floa
     return scored(pairs, left, right, least).select(LEFT, RIGHT).distinct()
 
 
-def by_part_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int = 200) -> DataFrame:
-    """The k best candidates by the highest similarity of any two parts, 0 without parts. Left records that can't be read are gone."""
+def by_part_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int = 200, report: dict[str, int] | None = None) -> DataFrame:
+    """The k best candidates by the highest similarity of any two parts, 0 without parts. Left records that can't be read are gone.
+
+    The k candidates of the highest bounds are scored first. The k-th score of a left record then rules out all candidates whose bound is
+    below it; only the others are scored. report, if given, gets how many pairs of values there are and how many were scored.
+    """
     pairs = Table(pairs, "pairs").df
-    best = scored(pairs, left, right).groupBy(LEFT, RIGHT).agg(F.max("sim").alias("score"))
-    every = pairs.join(readable(left), LEFT, "left_semi").join(best, [LEFT, RIGHT], "left")
+    met = Table(combinations(pairs, left, right).select(LEFT, RIGHT, "a", "b").distinct(), "combinations").df
+    words = Table(bounded(met.select("a", "b").distinct()), "bounded_words").df
+    met = Table(met.join(words, ["a", "b"]), "bounded_combinations").df
+    bound = met.groupBy(LEFT, RIGHT).agg(F.max("bound").alias("score"))
+    first = Table(top_k(bound, k).select(LEFT, RIGHT), "first_candidates").df
+    exact = lambda some: some.select("a", "b").distinct().withColumn("sim", jaro_winkler(F.col("a"), F.col("b")))
+    early = met.join(first, [LEFT, RIGHT], "left_semi")
+    known = Table(exact(early), "first_words").df
+    best = early.join(known, ["a", "b"]).groupBy(LEFT, RIGHT).agg(F.max("sim").alias("score"))
+    best = Table(best, "first_scores").df
+    kth = best.groupBy(LEFT).agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select(LEFT, "kth")
+    late = met.join(first, [LEFT, RIGHT], "left_anti").join(kth, LEFT, "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth")))
+    late = Table(late.select(LEFT, RIGHT, "a", "b"), "later_combinations").df
+    more = Table(exact(late.join(known, ["a", "b"], "left_anti")), "later_words").df
+    if report is not None:
+        report |= {"values": words.count(), "scored": known.count() + more.count()}
+    rest = late.join(known.unionByName(more), ["a", "b"]).groupBy(LEFT, RIGHT).agg(F.max("sim").alias("score"))
+    every = pairs.join(readable(left), LEFT, "left_semi").join(best.unionByName(rest), [LEFT, RIGHT], "left")
     return top_k(every.select(LEFT, RIGHT, F.coalesce("score", F.lit(0.0)).alias("score")), k)
 
 

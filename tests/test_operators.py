@@ -333,3 +333,19 @@ def test_equal_rows_are_numbered_in_even_ranges(spark):
     base = rows.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(30, "id", "text", "at")
     sizes = base.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
     assert max(sizes) < 6_000 and sum(at) == 60_010
+
+
+@pytest.mark.parametrize(("size_limit", "request_limit", "stretch"), [(200, 50, 7), (90, 3, 64), (10_000, 1000, 16)])
+def test_files_by_pointer_doubling_are_those_of_a_fold(spark, monkeypatch, size_limit, request_limit, stretch):
+    monkeypatch.setattr(requests, "STRETCH", stretch)
+    r = random.Random(size_limit)
+    rows = [(f"{i:04d}", "x" * r.choice([0, 3, 10, 40, 150, 199])) for i in range(300)]
+    want, size, n, part = {}, 0, 0, 1
+    for key, line in rows:
+        b = len(line) + 1
+        if n and (n >= request_limit or size + b > size_limit):
+            size, n, part = 0, 0, part + 1
+        size, n = size + b, n + 1
+        want[key] = part
+    df = spark.createDataFrame(rows, "custom_id string, line string").repartition(5)
+    assert {x.custom_id: x.part for x in requests.split_files(df, size_limit=size_limit, request_limit=request_limit).collect()} == want

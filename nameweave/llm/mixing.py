@@ -5,9 +5,10 @@ included) / (target words of the source); when it comes up again in a later roun
 added. Over the whole mix, copies are taken in order of virtual time until the budget is used up.
 
 Running sums never need one task for a source: a source's documents fall into buckets by the leading bits of their hash,
-bucket sums are added up first, and only within a bucket does a window run. The global order is cut the same way, by ranges
-of virtual time: words are summed by range, all ranges before the one in which the budget ends are taken whole, and only that one is
-sorted. As times rise within a source, what the mix takes of it is a run of its shuffled documents from the first on, round after
+bucket sums are added up first, and only within a bucket does a window run. The global order is by virtual time in steps of 2 ** -40, then by the
+shuffle's hash, so copies that finish at the same time, as the last ones of all sources at their limit do, come in an order that can be cut too. It is cut
+digit by digit: words are summed by ranges of time, all ranges before the one in which the budget ends are taken whole, and that one is
+looked at by the next digit of time and hash, until about SORTED copies are left to be sorted. As times rise within a source, what the mix takes of it is a run of its shuffled documents from the first on, round after
 round. So one row for each source, with the last document taken, says what becomes of any document, and texts never move.
 """
 
@@ -23,6 +24,8 @@ from nameweave.scratch import Table, small
 WEIGHTS, SHARE, ROUNDS, SEED = (3, 1, 2), 1.5, 2, 17
 #: Rows of a bucket that a window is meant to sort, until there are BUCKETS of them for a source and 3 * BUCKETS ranges of time.
 BUCKET_ROWS, BUCKETS = 1024, 1 << 16
+#: Copies around the budget's end that one task sorts.
+SORTED = 10_000
 
 
 def words(text: Column) -> Column:
@@ -78,6 +81,19 @@ def _with_times(entries: DataFrame, aim: DataFrame, buckets: int) -> DataFrame:
     return ran.select("s", "h", "doc", "key", "cost", ((F.col("before") + F.col("run")) / F.col("target")).alias("time"), (F.col("source_size") / F.col("target")).alias("whole"))
 
 
+def _digits(c: Column) -> list[Column]:
+    """A long as four digits of 16 bits, the first of them signed, in whose order it stands."""
+    return [F.shiftright(c, 48), *(F.shiftright(c, k).bitwiseAND(F.lit((1 << 16) - 1)) for k in (32, 16, 0))]
+
+
+def _cut(rows: DataFrame, digit: Column, before: int, budget: float):
+    """The digit at which the sum of cost, in its order and added to `before`, goes beyond the budget: with the sum before it and its number of rows."""
+    upto = Window.orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most 3 * BUCKETS rows
+    sums = rows.groupBy(digit.alias("digit")).agg(F.sum("cost").alias("sum"), F.count("*").alias("n"))
+    filled = sums.select("digit", "n", "sum", (F.sum("sum").over(upto) + F.lit(before)).alias("upto"))
+    return filled.where(F.col("upto") > F.lit(budget)).orderBy("digit").select("digit", "n", (F.col("upto") - F.col("sum")).alias("before")).head()
+
+
 def _aim(docs: DataFrame, weights: tuple[int, ...], share: float, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(entries, aim): entries has one row for equal rows of docs; aim has s, source_size, target and the last copy taken of each source."""
     rows = docs.select("source", _source_key(docs).alias("s"), ordinal(docs).alias("doc"), text_key().alias("key"), words(F.col("text")).alias("size"))
@@ -91,19 +107,25 @@ def _aim(docs: DataFrame, weights: tuple[int, ...], share: float, rounds: int, s
     copies = timed.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("time", F.col("time") + F.col("round") * F.col("whole")).drop("whole")
     # ranges of equal width up to time 2, and as many for all that is later
     t = F.col("time")
-    copies = copies.withColumn("range", F.floor(F.when(t <= 2, t).otherwise(3 - 1 / (t - 1)) * buckets).cast("long"))
+    copies = copies.withColumn("range", F.floor(F.when(t <= 2, t).otherwise(3 - 1 / (t - 1)) * buckets).cast("long")).withColumn("q", F.floor(F.least(t, F.lit(float(1 << 20))) * float(1 << 40)).cast("long"))
     copies = Table(copies, "mix_times").df
     budget = aim.agg(F.sum("target").alias("t")).head()["t"] or 0.0
-    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most 3 * buckets rows
-    filled = copies.groupBy("range").agg(F.sum("cost").alias("sum")).select("range", "sum", F.sum("sum").over(upto).alias("upto"))
-    cut = filled.where(F.col("upto") > F.lit(budget)).orderBy("range").select("range", (F.col("upto") - F.col("sum")).alias("before")).head()
     at = F.struct("round", "h", "doc", "key").alias("at")
-    if cut is None:
-        taken = copies.select("s", at)
-    else:
-        in_order = Window.orderBy("time", "s", "h", "doc", "key", "round").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over one range
-        ends = copies.where(F.col("range") == cut["range"]).withColumn("sum", F.sum("cost").over(in_order) + F.lit(cut["before"]))
-        taken = copies.where(F.col("range") < cut["range"]).select("s", at).union(ends.where(F.col("sum") <= F.lit(budget)).select("s", at))
+    taken, here, before, n = None, copies, 0, None
+    for digit in (F.col("range"), *_digits(F.col("q")), *_digits(F.col("h"))):
+        if n is not None and n <= SORTED:
+            break
+        cut = _cut(here, digit, before, budget)
+        if cut is None:  # only at the first digit: the budget takes all
+            taken, here = copies.select("s", at), None
+            break
+        less = here.where(digit < F.lit(cut["digit"])).select("s", at)
+        taken = less if taken is None else taken.union(less)
+        here, before, n = here.where(digit == F.lit(cut["digit"])), cut["before"], cut["n"]
+    if here is not None:
+        in_order = Window.orderBy("q", "h", "s", "doc", "key", "round").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over SORTED rows or so
+        ends = here.withColumn("sum", F.sum("cost").over(in_order) + F.lit(before))
+        taken = taken.union(ends.where(F.col("sum") <= F.lit(budget)).select("s", at))
     last = taken.groupBy("s").agg(F.max("at").alias("at")).select("s", *(F.col(f"at.{c}").alias(f"last_{c}") for c in ("round", "h", "doc", "key")))
     return entries, Table(aim.join(last, "s", "left"), "mix_ends").df
 

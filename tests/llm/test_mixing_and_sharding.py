@@ -4,6 +4,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import pytest
 import xxhash
 
 from pyspark.sql import functions as F
@@ -67,8 +68,10 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
     assert collected(mixing.mixed_sizes(df.repartition(7))) == collected(mixing.mixed_sizes(df))
 
 
-def test_mix_is_the_queue(spark, monkeypatch):
+@pytest.mark.parametrize("sorted_rows", [mixing.SORTED, 5])
+def test_mix_is_the_queue(spark, monkeypatch, sorted_rows):
     """Against a queue that takes copies one by one in order of virtual time."""
+    monkeypatch.setattr(mixing, "SORTED", sorted_rows)
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 30)
     monkeypatch.setattr(scratch, "BROADCAST_BYTES", 0)
     rng = random.Random(21)
@@ -90,7 +93,7 @@ def test_mix_is_the_queue(spark, monkeypatch):
                 total += cost
                 queue.append((total / target[s] + r * (sizes[s] / target[s]), "" if s is None else "1" + s, h, d, k, r, cost, s))
     left, taken = sum(target.values()), defaultdict(int)
-    for *_, d, k, _, cost, s in sorted(queue):
+    for *_, d, k, _, cost, s in sorted(queue, key=lambda c: (int(c[0] * 2**40), c[2], c[1], *c[3:6])):
         left -= cost
         if left < -1e-6:
             break
@@ -100,6 +103,17 @@ def test_mix_is_the_queue(spark, monkeypatch):
     assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.size, r.taken)) for r in got.collect())
 
 
+def test_sources_of_one_document_end_at_one_time_and_are_cut_all_the_same(spark, monkeypatch):
+    """All second copies finish at time 1; the range that they fall into is cut by hash."""
+    monkeypatch.setattr(mixing, "SORTED", 20)
+    cuts, real = [], mixing._cut
+    monkeypatch.setattr(mixing, "_cut", lambda *a: cuts.append(real(*a)) or cuts[-1])
+    docs = spark.range(3000).selectExpr("id as doc_id", "'five words of one text' as text", "concat('s', id) as source")
+    got = mixing.mixed_sizes(docs, weights=(1,)).collect()
+    assert sum(r.taken for r in got) == 22_500 and all(r.taken in (5, 10) for r in got)
+    assert cuts[0]["n"] > 1000 and cuts[-1]["n"] <= 20
+
+
 def spark_text_hash(t):
     h = xxhash.xxh64_intdigest(t.encode(), 42)
     return h - (1 << 64) if h >> 63 else h

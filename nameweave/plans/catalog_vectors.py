@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nameweave.operators import blocking, cells, evaluate, vectors
+from nameweave.operators import blocking, cells, evaluate, grid, vectors
 from nameweave.plans.catalog import _DIST, _KNN, PAIRS, _collection, _near, brand_pairs, name_matches, part_records, query, table
 from nameweave.plans.catalog_files import block_object
 from nameweave.scratch import shared_dir
@@ -122,7 +122,7 @@ def experiment_distances(spark, d):
     rows = _collection(spark, d).withColumn("source", F.when(F.col("label") < 5, F.lit("a")).otherwise(F.lit("b")))
     low, high = rows.where("source = 'a'").select(F.col("id").alias("left_id")), rows.where("source = 'b'").select(F.col("id").alias("right_id"))
     truth = low.join(high, F.col("right_id") == F.col("left_id") + 7)
-    found = vectors.experiment(truth, rows, "a", "b", 50)
+    found = grid.experiment(truth, rows, "a", "b", 50)
     return found.select("left_id", "right_id", F.round("forward", 5).alias("forward"), F.round("backward", 5).alias("backward"), "candidates")
 
 

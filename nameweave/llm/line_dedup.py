@@ -154,7 +154,8 @@ def _met(some: DataFrame, gone: DataFrame, least: float) -> DataFrame:
     at = F.col("line").cast("long") * 2 + F.coalesce("led", F.lit(0))
     entries = still.select(*DOC, at.alias("at"), "n", "bits", "bits2", F.posexplode("prefix").alias("i", "token"))
     place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
-    entries = entries.select("token", *DOC, "at", place.alias("place"), "bits", "bits2")
+    # a word that stands once in all texts has no other line to meet; the upper bits of its key are how often it stands
+    entries = entries.where(F.shiftright("token", 40) > 1).select("token", *DOC, "at", place.alias("place"), "bits", "bits2")
 
     def side(s: str) -> dict[str, Column]:
         c = {k: F.col(f"{s}.{k}") for k in entries.columns}

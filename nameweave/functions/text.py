@@ -21,14 +21,58 @@ _FOLDING = _folding() | {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d",
 MARKED, PLAIN = "".join(_FOLDING), "".join(_FOLDING.values())
 TWO_LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE"}
 
+# Letters of other scripts by the names that Unicode gives them, and what they fold to.
+LETTER_NAMES = {
+    "HEBREW": "alef: bet:b gimel:g dalet:d he:h vav:v zayin:z het:kh tet:t yod:y kaf:k lamed:l mem:m nun:n samekh:s ayin:` pe:p tsadi:ts qof:q resh:r shin:sh tav:t ligature-yiddish-double-vav:vv ligature-yiddish-vav-yod:vy ligature-yiddish-double-yod:yy",
+    "ARABIC": "alef:a beh:b teh:t theh:th jeem:j hah:h khah:kh dal:d thal:dh reh:r zain:z seen:s sheen:sh sad:s dad:d tah:t zah:z ain:` ghain:gh feh:f qaf:q kaf:k lam:l meem:m noon:n heh:h waw:w yeh:y peh:p tcheh:ch jeh:zh gaf:g keheh:k hamza:'",
+    "CYRILLIC": "a:a be:b ve:v ghe:g de:d ie:e zhe:zh ze:z i:i ka:k el:l em:m en:n o:o pe:p er:r es:s te:t u:u ef:f ha:kh tse:ts che:ch sha:sh shcha:shch hard-sign:' yeru:y soft-sign:' e:e yu:iu ya:ia",
+    "GREEK": "alpha:a beta:b gamma:g delta:d epsilon:e zeta:z eta:e theta:th iota:i kappa:k lamda:l mu:m nu:n xi:x omicron:o pi:p rho:r sigma:s tau:t upsilon:u phi:ph chi:kh psi:ps omega:o",
+}
+#: Blocks of these scripts, as a pattern.
+OTHER_SCRIPTS = "[\u0370-\u052F\u0590-\u06FF\u1F00-\u1FFF\uFB1D-\uFDFF\uFE70-\uFEFF]"
+
+
+def _other_letters() -> dict[str, str]:
+    """Each letter of these scripts, what is left when Unicode takes off its marks, and its name's value; points and marks fold to nothing."""
+    values = {script: dict(x.split(":") for x in names.split()) for script, names in LETTER_NAMES.items()}
+    out = {}
+    for c in map(chr, [*range(0x370, 0x530), *range(0x590, 0x700), *range(0x1F00, 0x2000), *range(0xFB1D, 0xFE00), *range(0xFE70, 0xFF00)]):
+        text = ""
+        for x in unicodedata.normalize("NFKD", c):
+            script, _, rest = unicodedata.name(x, "").partition(" ")
+            name = rest.replace("CAPITAL ", "").replace("SMALL ", "").replace("FINAL ", "").removeprefix("LETTER ").lower().replace(" ", "-")
+            if unicodedata.combining(x):
+                continue
+            if script not in values or (value := values[script].get(name)) is None:
+                break
+            text += value.capitalize() if x.isupper() else value
+        else:
+            if unicodedata.category(c)[0] in "LM":
+                out[c] = text
+    return out
+
+
+OTHER_LETTERS = _other_letters()
+
 PARTS = "map<string,string>"
 
 
+def _folded_scripts(value: Column) -> Column:
+    """Letters of OTHER_LETTERS by their values: those of two or more first become a character each that no text has, then all single ones in one pass."""
+    long = sorted({v for v in OTHER_LETTERS.values() if len(v) > 1})
+    stand_in = {v: chr(0xF8FF - i) for i, v in enumerate(long)}  # private use
+    one = {c: stand_in.get(v, v) for c, v in OTHER_LETTERS.items() if v}
+    gone = [c for c, v in OTHER_LETTERS.items() if not v]
+    folded = F.translate(value, "".join([*one, *gone]), "".join(one.values()))
+    return reduce(lambda x, v: F.replace(x, F.lit(stand_in[v]), F.lit(v)), long, folded)
+
+
 def clean(value: Column) -> Column:
     """ASCII-folded, spaces and line ends made single spaces, stripped of white space and quotes, lower-cased; null if nothing is left."""
     raw = value.cast("string")
     two = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), TWO_LETTERS.items(), F.translate(raw, MARKED, PLAIN))
-    c = F.when(F.octet_length(raw) == F.char_length(raw), raw).otherwise(two)  # pure ASCII needs no folding
+    latin = F.octet_length(raw) == F.char_length(raw)  # pure ASCII needs no folding, and most other texts none of other scripts
+    c = F.when(latin, raw).when(F.regexp_like(raw, F.lit(OTHER_SCRIPTS)), _folded_scripts(two)).otherwise(two)
     c = F.regexp_replace(c, "  +", " ")
     c = F.replace(c, F.lit("\n"), F.lit(" "))
     strip = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))

@@ -58,11 +58,15 @@ def prepared(sources: Sequence[DataFrame], excluded: Sequence[str] = EXCLUDED, d
     return rows.select("data_source", *cleaned)
 
 
-def of_language(records: DataFrame, lang: str) -> DataFrame:
-    """Records of a language, the first by title for each id, with title@lang (yid for yi) and without lang."""
-    first = Window.partitionBy("id").orderBy("title")
+def of_language(records: DataFrame, lang: str, order: Sequence[str] = ()) -> DataFrame:
+    """Records of a language, the first one of each id, with title@lang (yid for yi) and without lang.
+
+    The first is that by the columns in order, or without any the one that was read first.
+    """
+    records = records.withColumn("__at", F.monotonically_increasing_id())
+    first = Window.partitionBy("id").orderBy(*order, "__at")
     suffix = F.when(F.col("lang") == "yi", F.lit("@yid")).otherwise(F.concat(F.lit("@"), F.col("lang")))
-    rows = records.where(F.col("lang") == lang).withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    rows = records.where(F.col("lang") == lang).withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r", "__at")
     return rows.withColumn("title", F.concat("title", suffix)).drop("lang")
 
 

@@ -67,9 +67,10 @@ BEST = "best AS (SELECT left_id, right_id, max(sim) AS score FROM sims GROUP BY
 
 # cleaning and reshaping
 
-_FOLDED = f"translate(text, '{text.MARKED}', '{text.PLAIN}')"
-for _two, _ascii in text.TWO_LETTERS.items():
-    _FOLDED = f"replace({_FOLDED}, '{_two}', '{_ascii}')"
+# Not from the engine's table: DuckDB takes accents off itself, and these are the letters that have none.
+_FOLDED = "strip_accents(text)"
+for _marked, _ascii in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"), ("ł", "l"), ("Ł", "L"), ("đ", "d"), ("Đ", "D")):
+    _FOLDED = f"replace({_FOLDED}, '{_marked}', '{_ascii}')"
 
 
 @query(
@@ -81,6 +82,39 @@ def clean_text(spark, d):
     return c.select("doc_id", F.md5(F.col("c").cast("binary")).alias("cleaned"), F.char_length("c").cast("long").alias("n"))
 
 
+# Letters of other scripts that stand in for Latin ones, and what they fold to.
+_SCRIPTS = {
+    "Cyrillic": "а:a б:b в:v г:g д:d е:e ж:zh з:z и:i й:i к:k л:l м:m н:n о:o п:p р:r с:s т:t у:u ф:f х:kh ц:ts ч:ch ш:sh я:ia",
+    "Hebrew": "א: בּ:b ג:g ד:d ה:h ו:v ז:z ח:kh ט:t י:y כ:k ל:l מ:m נ:n ס:s ע:` פ:p צ:ts ק:q ר:r ש:sh ת:t ם:m ן:n ף:p ץ:ts",
+    "Arabic": "ا:a ب:b ت:t ث:th ج:j ح:h خ:kh د:d ذ:dh ر:r ز:z س:s ش:sh ص:s ض:d ط:t ظ:z غ:gh ف:f ق:q ك:k ل:l م:m ن:n ه:h و:w",
+    "Greek": "α:a β:b γ:g δ:d ε:e ζ:z η:e θ:th ι:i κ:k λ:l μ:m ν:n ξ:x ο:o π:p ρ:r σ:s τ:t υ:u φ:ph χ:kh ψ:ps ω:o ά:a ς:s",
+}
+_PAIRS_OF = {s: [x.split(":") for x in v.split()] for s, v in _SCRIPTS.items()}
+
+
+def _values_of(script: str) -> str:
+    sql = "translate(lower(name), 'abcdefghijklmnopqrstuvwxyz', '" + "".join(chr(0xE000 + i) for i in range(26)) + "')"
+    for i, (_, value) in enumerate(_PAIRS_OF[script]):
+        sql = f"replace({sql}, chr({0xE000 + i}), '{value}')"
+    return sql
+
+
+@query(" UNION ALL ".join(f"SELECT client_id, '{s}' AS script, nullif(trim(regexp_replace(strip_accents({_values_of(s)}), '  +', ' ', 'g')), '') AS cleaned FROM clients" for s in _SCRIPTS))
+def clean_scripts(spark, d):
+    """Names whose Latin letters are written in other scripts, cleaned."""
+    c = table(spark, d, "clients")
+    out = None
+    for script, pairs in _PAIRS_OF.items():
+        name = F.lower("name")
+        for i, (letter, _) in enumerate(pairs):
+            name = F.replace(name, F.lit(chr(97 + i)), F.lit(chr(0xE000 + i)))
+        for i, (letter, _) in enumerate(pairs):
+            name = F.replace(name, F.lit(chr(0xE000 + i)), F.lit(letter))
+        rows = c.select("client_id", F.lit(script).alias("script"), text.clean(name).alias("cleaned"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("SELECT p_partkey AS rec_id, string_split(p_name, ' ')[1] AS name_part_0, string_split(p_name, ' ')[2] AS name_part_1, len(string_split(p_name, ' ')) AS n_parts FROM part")
 def name_parts_pivot(spark, d):
     r = prepare.with_part_columns(part_records(spark, d))
@@ -103,10 +137,10 @@ def bad_json_rejected(spark, d):
     return n(prepare.accepted(e), "accepted").join(n(prepare.rejected(e), "rejected"), "event_type", "full").na.fill(0)
 
 
-@query("SELECT source AS id, md5(min(text) || '@fr') AS title FROM documents WHERE lang = 'fr' GROUP BY 1")
+@query("SELECT source AS id, md5(arg_min(text, doc_id) || '@fr') AS title FROM documents WHERE lang = 'fr' GROUP BY 1")
 def lang_filter_dedupe(spark, d):
-    r = table(spark, d, "documents").select(F.col("source").alias("id"), F.col("text").alias("title"), "lang")
-    return prepare.of_language(r, "fr").select("id", F.md5(F.col("title").cast("binary")).alias("title"))
+    r = table(spark, d, "documents").select(F.col("source").alias("id"), F.col("text").alias("title"), "lang", "doc_id")
+    return prepare.of_language(r, "fr", ["doc_id"]).select("id", F.md5(F.col("title").cast("binary")).alias("title"))
 
 
 YIDDISH = ["פעני וואַדיאַ עפּשטיין", "ענדען (?)", "אַּבבּדול", "זשאַן טשערנאָוויץ", "דזשאָן וויינשטיין", "abc 12", ""]

@@ -349,3 +349,19 @@ def test_files_by_pointer_doubling_are_those_of_a_fold(spark, monkeypatch, size_
         want[key] = part
     df = spark.createDataFrame(rows, "custom_id string, line string").repartition(5)
     assert {x.custom_id: x.part for x in requests.split_files(df, size_limit=size_limit, request_limit=request_limit).collect()} == want
+
+
+def test_the_first_record_of_an_id_is_kept(spark):
+    rows = [("1", "z first", "he"), ("1", "a later", "he"), ("2", "x", "he"), ("1", "b", "fr"), ("3", None, "he"), ("3", "y", "he")]
+    df = spark.createDataFrame(rows, "id string, title string, lang string").coalesce(1)
+    got = {r.id: r.title for r in prepare.of_language(df, "he").collect()}
+    assert got == {"1": "z first@he", "2": "x@he", "3": None}
+    assert {r.id: r.title for r in prepare.of_language(df, "he", ["title"]).collect()}["1"] == "a later@he"
+
+
+def test_prepared_records_keep_a_natural_key(spark):
+    """A table whose key isn't among the excluded columns keeps it, cleaned, for joins with the source."""
+    a = spark.createDataFrame([("K-1", "9", " Ann ", '{"x": "Ann"}'), ("K-2", "8", "Bo", '{"x": "Bo"}')], "book_id string, id string, title string, name_parts string")
+    got = prepare.prepared([a])
+    assert "id" not in got.columns and {r.book_id: r.title for r in got.collect()} == {"k-1": "ann", "k-2": "bo"}
+    assert "id" in prepare.prepared([a], excluded=("geo_id",)).columns

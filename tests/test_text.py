@@ -15,6 +15,23 @@ def test_clean(spark):
         assert one(spark, text.clean(F.col("c")), c=value) == want
 
 
+# Words of other scripts and what they fold to.
+WORDS = {
+    "שלום": "shlvm", "ירושלים": "yrvshlym", "שָׁלוֹם": "shlvm", "אבּא Abba": "b abba", "פּעטער": "p`t`r", "װאַרשע": "vvrsh`",
+    "محمد": "mhmd", "خالد": "khald", "بَيت": "byt", "ﻣﺤﻤﺪ": "mhmd",
+    "Достоевский": "dostoevskii", "Щукин": "shchukin", "Ёлка": "elka", "Чайковский, П. И.": "chaikovskii, p. i.",
+    "Ελλάδα": "ellada", "Ψυχή": "psukhe", "ΘΕΟΣ": "theos",
+    "Łódź שלום": "lodz shlvm", "日本": "日本",
+}
+
+
+def test_clean_folds_other_scripts(spark):
+    df = spark.createDataFrame(list(WORDS.items()), "word string, want string")
+    got = {r.word: r.x for r in df.select("word", text.clean(F.col("word")).alias("x")).collect()}
+    assert got == WORDS
+    assert len(text.OTHER_LETTERS) > 800 and all(v.isascii() for v in text.OTHER_LETTERS.values())
+
+
 def test_parts(spark):
     assert one(spark, text.parts(F.col("c")), c='{"a": "x", "b": ""}') == {"a": "x", "b": ""}
     assert one(spark, text.parts(F.col("c")), c="{}") == {}

@@ -47,6 +47,11 @@ def _with_scores(counts: DataFrame) -> DataFrame:
     return counts.select("*", p.alias("precision"), r.alias("recall"), f_beta(p, r).alias("f1"), f_beta(p, r, 5).alias("f5"))
 
 
+def scored_counts(counts: DataFrame) -> DataFrame:
+    """Counts n_pairs, n_matches, n_found with precision, recall, f1, f5."""
+    return _with_scores(counts.select("n_pairs", "n_matches", "n_found"))
+
+
 def metrics(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     """n_pairs, n_matches, n_found, precision, recall, f1, f5. Recall counts truth rows, repeats included, in its denominator.
 

@@ -58,6 +58,36 @@ def test_response_stream(spark, tmp_path):
     assert seen == [(0, 1), (1, 2)]
 
 
+def test_running_metrics_are_those_of_a_batch_run(spark, tmp_path):
+    """After each start, and after a batch that is run again, as after a loss before its commit."""
+    import random
+    import shutil
+
+    from nameweave.operators import evaluate
+
+    r = random.Random(3)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    truth = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(0, 1)], "left_id long, right_id long")
+    seen = {}
+
+    def go():
+        streams.running_metrics(streams.response_stream(spark, str(folder)), truth, str(tmp_path / "p"), str(tmp_path / "c"), seen.__setitem__).awaitTermination(120)
+
+    for turn in range(3):
+        lines = [_line(f"{r.randrange(12)}#{r.randrange(13)}", r.choice(["True", "True, I think", "False"])) for _ in range(40)]
+        (folder / f"{turn}.jsonl").write_text("\n".join(lines) + "\n")
+        go()
+        want = evaluate.metrics(responses.positive_pairs(responses.parsed(readers.lines(spark, str(folder)))), truth).first().asDict()
+        assert seen[turn] == want
+    before = dict(seen)
+    for name in ("2", ".2.crc"):
+        (tmp_path / "c" / "commits" / name).unlink()
+    shutil.rmtree(tmp_path / "p" / "batch=2")
+    go()
+    assert seen == before and spark.read.parquet(str(tmp_path / "p")).count() == before[2]["n_pairs"]
+
+
 def test_responses_once(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

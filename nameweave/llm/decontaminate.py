@@ -135,7 +135,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs without the rows whose text holds a window."""
+    """docs without the rows whose text holds a window; all columns stay as they are, whatever their names.
+
+    Null and empty texts hold none and stay, long ones are searched whole. Equal texts share one fate; rows of one doc_id, or without one, are
+    apart by their texts. Items without words have no window. An empty table on either side takes nothing away.
+    """
     return without(docs, written(hits(docs, benchmark, size).select("doc_id", "text_key").distinct(), "contaminated"))
 
 

@@ -498,7 +498,7 @@ def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes the token ids of docs and reads them back: one row for each row of docs.
 
     A null or empty text has the end id alone; a long one is encoded whole, in a block of its own length. Rows that share a doc_id
-    follow each other by their text's hash, equal rows in any order. An empty table gives none. A special token's name in a text is
+    follow each other by their text's hash, equal rows in any order. An empty table gives none, other columns aren't read. A special token's name in a text is
     that token's id, as the library does it by default.
     """
     return read_shards(write_shards(docs, tokenizer).df)

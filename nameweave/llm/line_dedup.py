@@ -203,7 +203,7 @@ def line_decisions(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, kept (numbers of the lines that stay, blank ones too, comma-joined).
 
     Null texts have no lines; an empty text has a blank one; texts of any length are taken whole. Rows equal in doc_id and text
-    get equal rows, rows with the same doc_id or none and different texts are documents of their own. An empty table gives none.
+    get equal rows, rows with the same doc_id or none and different texts are documents of their own. An empty table gives none; other columns aren't read.
     """
     stays = kept_lines(docs, least).groupBy(*DOC).agg(F.collect_list("line").alias("stays"))
     none = F.array().cast("array<int>")

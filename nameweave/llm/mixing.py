@@ -162,12 +162,20 @@ def _decided(docs: DataFrame, weights: tuple[int, ...], share: float, rounds: in
 
 
 def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
+    """One row for each row of docs: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted).
+
+    Null, empty and blank texts have size 0 and are never taken, long ones count whole. Equal rows have equal numbers, copies that end
+    together are ordered by hash. A null source is a source of its own, an empty table gives no rows, other columns aren't read.
+    """
     rows, c = _decided(docs.select("doc_id", "source", "text"), weights, share, rounds, seed)
     return rows.select("doc_id", F.col(c["size"]).alias("size"), F.col(c["source_size"]).alias("source_size"), F.col(c["target"]).alias("target"), (F.col(c["size"]) * F.col(c["copies"])).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """docs as the mix takes them: a row that it takes twice is there twice, a row that it leaves out is gone."""
+    """docs as the mix takes them: a row that it takes twice is there twice, a row that it leaves out is gone.
+
+    All columns stay as they are, whatever their names. Rows without words (null, empty, blank) cost nothing and are left out; long texts count all
+    their words; equal rows are taken together; a null source is a source. An empty table stays empty.
+    """
     rows, c = _decided(docs, weights, share, rounds, seed)
     return repeated(rows.select(*own(docs), c["copies"]), c["copies"]).select(*own(docs))

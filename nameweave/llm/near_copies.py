@@ -154,7 +154,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id, null last, and of these the smallest hash of the text."""
+    """docs with one row of each component: the one with the smallest doc_id, null last, and of these the smallest hash of the text.
+
+    All columns stay as they are, whatever their names. Null and empty texts are copies of each other, texts without words are near no
+    other, long ones count as a whole. Of rows equal in doc_id and text one stays. An empty table stays empty.
+    """
     found = near_copies(docs).groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     found = written(found.where("not stays or n > 1"), "near_copies")
     return one_each(without(docs, found.where("not stays")), found.where("stays"))

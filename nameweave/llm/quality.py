@@ -272,6 +272,10 @@ def classified(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> Dat
 
 
 def kept(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataFrame:
-    """docs without the rows that the classifier rejects, each by its text alone."""
+    """docs without the rows that the classifier rejects, each by its text alone; all columns stay as they are.
+
+    Null, empty and blank texts are rejected, long ones measured whole, a score on the threshold keeps. Equal texts share one fate, so
+    repeated rows stay or go together. An empty table stays empty, and no column's name matters but that of text.
+    """
     model = fit(docs, sample)
     return docs.where(model.score(F.col("text"))["score"] >= keep)

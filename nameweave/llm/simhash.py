@@ -162,14 +162,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESH
 
     Equal fingerprints meet as one before any comparison, so copies cost no pairs. Null, empty and blank texts have fingerprint
     0 and are linked like any other; texts of any length count as a whole. component_id ignores null doc_ids and is null where
-    a component has no other. Repeated rows get equal rows; an empty table gives none.
+    a component has no other. Repeated rows get equal rows; an empty table gives none; other columns aren't read.
     """
     base, of = _grouped(docs, words, threshold)
     return base.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id, null last, and of these the smallest hash of the text."""
+    """docs with one row of each component: the one with the smallest doc_id, null last, and of these the smallest hash of the text.
+
+    All columns stay as they are, whatever their names. Null, empty and blank texts have fingerprint 0 and are one component; long texts
+    count as a whole. Of rows equal in doc_id and text one stays, rows of one doc_id or none and different texts are apart. An empty table stays empty.
+    """
     base, of = _grouped(docs, words, threshold)
     rows = base.join(of, "fp").select("doc_id", "text_key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key").eqNullSafe(F.col("keeper")).alias("stays"))
     found = Table(rows.groupBy("doc_id", "text_key").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "near_duplicates").df

@@ -135,6 +135,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def without_toxic(docs: DataFrame, sample: int = SAMPLE, toxic: float = TOXIC) -> DataFrame:
-    """docs without the rows whose wording is toxic."""
+    """docs without the rows whose wording is toxic; all columns stay as they are.
+
+    Null, empty and blank texts have no wording and stay, long ones are scored whole, a score on the threshold goes. Equal texts share one
+    fate. An empty table stays empty, and no column's name matters but that of text. At most LEARNT words beyond the lexicons have a weight.
+    """
     model = fit(docs, sample)
     return docs.where(model.score(F.col("text")) < toxic)

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs are the rows that the stage before it kept, and returns a DataFrame. All
 but the last return the columns of documents.
+
+Null, empty and blank texts go in the first stage, as they have no quality; very long ones go through all stages whole. Rows equal in
+doc_id and text become one in the second stage; rows that share a doc_id, or have none, and differ in text are documents of their own
+everywhere. Ties are settled by doc_id, then by a hash of the text. An empty table gives no rows, and columns besides doc_id, text and
+source are only passed on, whatever their names.
 """
 
 from __future__ import annotations

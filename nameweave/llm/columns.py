@@ -12,8 +12,8 @@ from nameweave.scratch import BROADCAST_BYTES, Table, size_of
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of an Arrow batch that goes to a Python worker; a longer row is a batch of its own.
 BATCH_BYTES = 16 << 20
-#: Words of a bitmap, of 64 bits each.
-BITMAP_WORDS = 1 << 17
+#: Words of a bitmap, of 64 bits each, at least and at most; between them it has 16 bits for each key.
+LEAST_WORDS, MOST_WORDS = 1 << 12, 1 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -55,13 +55,15 @@ def ordinal(docs: DataFrame) -> Column:
 def in_bitmap(keys: DataFrame, *columns: str) -> Column:
     """Whether a row may have its columns among the rows of keys (same names): never false if it has.
 
-    The keys set bits of a map of BITMAP_WORDS words, whose size doesn't depend on them. It comes to the executors with the plan.
+    The keys set bits of a map whose size goes with their number, up to MOST_WORDS words (8 MB); with more keys than that is for it lets
+    more rows through. It comes to the executors with the plan.
     """
+    size = min(MOST_WORDS, max(LEAST_WORDS, 1 << max(0, keys.count() // 4 - 1).bit_length()))
     h = F.xxhash64(*columns)
-    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(BITMAP_WORDS - 1))
+    word = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(size - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     words = keys.select(h.alias("h")).groupBy(word(F.col("h")).alias("w")).agg(F.bit_or(bit).alias("b"))
-    every = keys.sparkSession.range(BITMAP_WORDS).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
+    every = keys.sparkSession.range(size).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("b", F.lit(0)).alias("b"))
     table = every.agg(F.array_sort(F.collect_list(F.struct("id", "b"))).alias("a")).select(F.col("a.b").alias("a")).scalar()
     return F.call_function("shiftright", F.get(table, word(h).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 

@@ -31,4 +31,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_closed_itemsets": lambda spark, d: itemsets.closed_itemsets(sale_lines(spark, d)),
 }
 
-ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op13_closed_itemsets": itemsets.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_list_asof": url_filter.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE, "op12_license_scan": licenses.ORACLE, "op13_closed_itemsets": itemsets.ORACLE}

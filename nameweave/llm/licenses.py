@@ -185,3 +185,20 @@ def license_labels(docs: DataFrame, templates: Sequence[Template] = TEMPLATES) -
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_blocks", zero).alias("n_blocks"),
     )
+
+
+_ROWS = ", ".join(f"({k}, '{t.label}', {len(words_of(t.text))}, {len(set(words_of(t.text)))}, {max(1, math.ceil(t.least * len(set(words_of(t.text))) - 1e-9))}, {t.phrase}, '{b' '.join(words_of(t.text)).decode()}')" for k, t in enumerate(TEMPLATES))
+ORACLE = rf"""
+WITH t AS (SELECT * FROM (VALUES {_ROWS}) v(k, label, m, n, need, phrase, seq)),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+q AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM d),
+tok AS (SELECT DISTINCT k, m, unnest(string_split(seq, ' ')) AS word FROM t),
+hits AS (SELECT doc_id, k, m, i, q.word FROM q JOIN tok ON tok.word = q.word),
+blocks AS (SELECT a.doc_id, a.k, a.i AS start, count(DISTINCT b.word) AS shared, string_agg(b.word, ' ' ORDER BY b.i) AS own FROM hits a JOIN hits b ON b.doc_id = a.doc_id AND b.k = a.k AND b.i >= a.i AND b.i < a.i + a.m GROUP BY ALL),
+f AS (SELECT doc_id, label, start, phrase, shared / n AS score FROM blocks JOIN t USING (k) WHERE shared >= need AND (NOT phrase OR own = seq)),
+g AS (
+  SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score, count(*) AS n_blocks FROM f GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

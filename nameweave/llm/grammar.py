@@ -36,7 +36,7 @@ VOCABULARY, END = 50257, 2
 SYMBOL_BYTES, RULE_BYTES = 3, 12
 LEAST = RULE_BYTES // SYMBOL_BYTES + 1
 #: Documents dealt to a shard until there are SHARDS of them, ids after which a shard begins another block, words in each half of a worker's memory, and bytes of text that are encoded at a time.
-SHARD_DOCS, SHARDS, BLOCK_IDS, MEMORY, CHARACTERS = 4096, 50_000, 1_000_000, 1_000_000, 1 << 22
+SHARD_DOCS, SHARDS, BLOCK_IDS, MEMORY, CHARACTERS = 4096, 50_000, 1_000_000, 300_000, 1 << 22
 
 BLOCK_FIELDS = "n_docs int, n_ids long, starts binary, left binary, right binary, lengths binary, low binary, high binary"
 

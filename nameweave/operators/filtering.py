@@ -86,9 +86,7 @@ def by_part_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int =
     below it; only the others are scored. report, if given, gets how many pairs of values there are and how many were scored.
     """
     pairs = Table(pairs, "pairs").df
-    met = Table(combinations(pairs, left, right).select(LEFT, RIGHT, "a", "b").distinct(), "combinations").df
-    words = Table(bounded(met.select("a", "b").distinct()), "bounded_words").df
-    met = Table(met.join(words, ["a", "b"]), "bounded_combinations").df
+    met = Table(bounded(combinations(pairs, left, right).select(LEFT, RIGHT, "a", "b")), "bounded_combinations").df
     bound = met.groupBy(LEFT, RIGHT).agg(F.max("bound").alias("score"))
     first = Table(top_k(bound, k).select(LEFT, RIGHT), "first_candidates").df
     exact = lambda some: some.select("a", "b").distinct().withColumn("sim", jaro_winkler(F.col("a"), F.col("b")))
@@ -101,7 +99,7 @@ def by_part_scores(pairs: DataFrame, left: DataFrame, right: DataFrame, k: int =
     late = Table(late.select(LEFT, RIGHT, "a", "b"), "later_combinations").df
     more = Table(exact(late.join(known, ["a", "b"], "left_anti")), "later_words").df
     if report is not None:
-        report |= {"values": words.count(), "scored": known.count() + more.count()}
+        report |= {"values": met.select("a", "b").distinct().count(), "scored": known.count() + more.count()}
     rest = late.join(known.unionByName(more), ["a", "b"]).groupBy(LEFT, RIGHT).agg(F.max("sim").alias("score"))
     every = pairs.join(readable(left), LEFT, "left_semi").join(best.unionByName(rest), [LEFT, RIGHT], "left")
     return top_k(every.select(LEFT, RIGHT, F.coalesce("score", F.lit(0.0)).alias("score")), k)

@@ -38,7 +38,7 @@ LABELLERS = ("symbols", "shouting", "lists", "repeats", "echoes", "top_word", "f
 
 
 #: Words whose traits a worker remembers.
-MEMORY = 100_000
+MEMORY = 200_000
 _traits: dict[str, tuple[int, int]] = {}
 _kinds: list[tuple[tuple[str, ...], str]] = []
 _kind_of: dict[tuple[tuple[str, ...], str], int] = {}

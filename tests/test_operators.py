@@ -205,6 +205,18 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_a_rising_path_is_contracted_in_few_rounds(spark, monkeypatch):
+    """By the smallest neighbour, a path of n nodes whose ids rise along it took n / 2 rounds."""
+    from nameweave.operators import components
+
+    rounds = []
+    table = components.Table
+    monkeypatch.setattr(components, "Table", lambda df, label, **k: (rounds.append(label), table(df, label, **k))[1])
+    got = connected_components(spark.range(60).selectExpr("id AS a", "id + 1 AS b"), "a", "b").collect()
+    assert len(got) == 61 and {r.component for r in got} == {0}
+    assert rounds.count("edges") <= 12
+
+
 def test_learned_clusters(spark):
     recs = [(0, "ann"), (1, "anna"), (2, "bob"), (3, "bobb"), (4, "zed")]
     r = spark.createDataFrame(recs, "rec_id long, title string")

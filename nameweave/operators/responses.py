@@ -58,6 +58,12 @@ def densified(pairs: DataFrame, lefts: int) -> DataFrame:
     return every.join(blocks, "left_id", "left").select("left_id", F.coalesce("block", F.array().cast("array<bigint>")).alias("block"))
 
 
+def densified_sizes(sizes: DataFrame, lefts: int) -> DataFrame:
+    """(left_id, n) for all lefts from 0: how long the blocks of densified are, from blocking.sizes."""
+    every = sizes.sparkSession.range(lefts).withColumnRenamed("id", "left_id")
+    return every.join(sizes, "left_id", "left").select("left_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def restricted(responses: DataFrame, pairs: DataFrame) -> DataFrame:
     """Response rows whose pair is among the candidates."""
     ids = F.split("custom_id", "#")

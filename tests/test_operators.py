@@ -435,3 +435,12 @@ def test_classes_have_the_best_candidates_of_their_records(spark):
     for score, by in ways:
         want = rows(score(made, records, 3))
         assert want and rows(filtering.by_classes(of, records, 3, score, by)) == want
+
+
+def test_lists_are_those_of_the_pairs(spark):
+    of = _labels(spark, 25, 9).where("rec_id is not null and rec_id < 25")
+    records = spark.createDataFrame([(i, f"t{i % 6}") for i in range(25)], "rec_id long, title string")
+    made = blocking.pairs(of, of, same=True)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(requests.block_name_lists(of, records)) == rows(requests.name_lists(made, records)) != []
+    assert rows(requests.block_list_requests(of, records)) == rows(requests.pair_list_requests(made, records, records))

@@ -444,3 +444,28 @@ def test_lists_are_those_of_the_pairs(spark):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(requests.block_name_lists(of, records)) == rows(requests.name_lists(made, records)) != []
     assert rows(requests.block_list_requests(of, records)) == rows(requests.pair_list_requests(made, records, records))
+
+
+def test_pairs_of_classes_are_those_of_their_records(spark):
+    """Records of the same labels and value are asked about, scored and joined to their texts once; cells of 3 records cut the larger classes up."""
+    of = _labels(spark, 25, 4).where("rec_id is not null and rec_id < 25")
+    titles = [None if i == 7 else f"t{i % 3}" for i in range(25)]
+    records = spark.createDataFrame(list(enumerate(titles)), "rec_id long, title string")
+    found, members = blocking.classes(of, records.select("rec_id", F.col("title").alias("value")))
+    met = blocking.class_pairs(found)
+    made = blocking.pairs(of, of, same=True)
+    assert found.agg(F.sum("n")).first()[0] == members.count() > found.count()
+    got = blocking.of_records(met, members, [F.concat_ws("+", "l", "r").alias("x")], cell=3).collect()
+    assert sorted((x.left_id, x.right_id) for x in got) == pairs_of(made) and met.agg(F.sum("n")).first()[0] == len(got)
+    assert all(x.x == "+".join(titles[i] for i in (x.left_id, x.right_id) if titles[i]) for x in got)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(requests.block_pair_requests(of, records, F.col("title"))) == rows(requests.pair_requests(made, records, records, F.col("title"))) != []
+
+
+def test_choices_are_those_of_the_pairs(spark):
+    of = _labels(spark, 25, 9).where("rec_id is not null and rec_id < 25")
+    records = spark.createDataFrame([(i, f"t{i % 6}") for i in range(25)], "rec_id long, title string")
+    made = blocking.pairs(of, of, same=True)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for size in (2, 3, 10):
+        assert rows(requests.block_choice_requests(of, records, size)) == rows(requests.choice_requests(made, records, records, size)) != []

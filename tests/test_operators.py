@@ -469,3 +469,25 @@ def test_choices_are_those_of_the_pairs(spark):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     for size in (2, 3, 10):
         assert rows(requests.block_choice_requests(of, records, size)) == rows(requests.choice_requests(made, records, records, size)) != []
+
+
+def test_clusters_of_classes_are_those_of_the_pairs(spark):
+    names = ["ann lee", "anna lee", "bob", "bobb", "zed"]
+    records = spark.createDataFrame([(i, names[i * i % 5]) for i in range(24)], "rec_id long, title string")
+    of = blocking.labelled(records, F.array(F.when(F.col("rec_id") < 20, F.pmod("rec_id", F.lit(3)).cast("string")).otherwise(F.concat(F.lit("x"), "rec_id"))))
+    side = lambda name, key: records.select(F.col("rec_id").alias(key), F.struct("title").alias(name))
+    pairs = blocking.pairs(of, of, same=True).where("left_id < right_id").join(side("a", "left_id"), "left_id").join(side("b", "right_id"), "right_id")
+    label = (F.substring("a.title", 1, 1) == F.substring("b.title", 1, 1)).cast("int").alias("label")
+    rows, features = cluster.pair_features(pairs, strings=["title"])
+    rows = rows.select("*", label).cache()
+    plain = cluster.train(rows, features)
+    want = {r.rec_id: (r.cluster_id, r.confidence) for r in cluster.clusters(records, cluster.scored(plain, rows)).collect()}
+    found, members = blocking.classes(of, records.select("rec_id", F.struct("title").alias("value")))
+    met = blocking.class_pairs(found).where("left_id <= right_id").withColumn("n", F.when(F.col("left_id") == F.col("right_id"), F.col("n") / 2).otherwise(F.col("n")))
+    few, features = cluster.pair_features(met.withColumnsRenamed({"l": "a", "r": "b"}), strings=["title"])
+    few = few.select("*", label).cache()
+    assert few.count() < rows.count() == few.agg(F.sum("n")).first()[0]
+    weighted = cluster.train(few, features, weight="n")
+    got = cluster.clusters_of_classes(records, found, members, cluster.scored(weighted, few)).collect()
+    assert {r.rec_id: r.cluster_id for r in got} == {i: c for i, (c, _) in want.items()} and len(set(r.cluster_id for r in got)) > 3
+    assert all(r.confidence == pytest.approx(want[r.rec_id][1], abs=1e-4) for r in got)

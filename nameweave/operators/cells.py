@@ -6,7 +6,7 @@ centroid is no further from the query than the k-th distance found so far plus t
 with all, and the other ones far fewer.
 
 The index is two tables in a folder: the centroids, with the rows and the radius of their cells, and the rows, in blocks of about BLOCK of a
-cell. Centroids, CELLS at most, go along with tasks; rows and queries are only dealt by their cells, and a block of queries meets a block of rows.
+cell. Centroids, CELLS at most, go along with tasks; rows and queries are only dealt by pieces of cells (vectors.nearest_in_cells), so a query is not repeated for each cell that it probes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from nameweave.operators.vectors import BLOCK, _ranked, nearest
+from nameweave.operators.vectors import BLOCK, nearest, nearest_in_cells
 from nameweave.scratch import Table
 
 #: Vectors that centroids are trained on at most, chosen by a hash of their id, and cells at most.
@@ -58,6 +58,10 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def in_cells(rows: DataFrame, key: str, centres: np.ndarray, probes: int = 1) -> DataFrame:
     """(key, embedding, cell, away, turn): each row with each of the `probes` cells next to it, how far their centroids are, and which of them each is, from 1."""
     kind = rows.schema[key].dataType
@@ -139,28 +143,41 @@ class Index:
         asked = self.probed(queries, probes).groupBy("cell").agg(F.count("*").alias("n")).collect()
         return sum(r.n * int(self.rows[r.cell]) for r in asked)
 
-    def _found(self, probed: DataFrame, queries: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-        asked = _blocks(probed.select("query_id", "embedding", "cell"), "query_id").select("cell", F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
-        rows = self.blocks
-        id_type = rows.schema["keys"].dataType.elementType
-        return _ranked(rows.join(asked, "cell"), queries.schema["query_id"].dataType, id_type, k, exclude_self)
+    def _found(self, asked: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """The k rows next to each query (query_id, embedding, cells) in its cells; a query's vector isn't repeated for each of them."""
+        rows = self.blocks.select("cell", F.explode(F.arrays_zip("keys", "vectors")).alias("v")).select(F.col("v.keys").alias("id"), F.col("v.vectors").alias("embedding"), "cell")
+        return nearest_in_cells(asked, rows, {i: int(n) for i, n in enumerate(self.rows) if n}, k, exclude_self)
+
+    def _asked(self, queries: DataFrame, probes: int) -> DataFrame:
+        """(query_id, embedding, cells): each query with the `probes` cells next to it."""
+        centres, kind = self.centres, queries.schema["query_id"].dataType
+        probes = min(probes, len(centres))
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows or not probes:
+                    continue
+                cell = np.argsort(_distances(_vectors(b.column(1)), centres), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(cell.ravel(), np.full(b.num_rows, probes))], names=["query_id", "embedding", "cells"])
+
+        return _known(queries, "query_id").mapInArrow(assign, f"query_id {kind.simpleString()}, embedding array<double>, cells array<int>")
 
     def nearest(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, exclude_self: bool = False) -> DataFrame:
         """(query_id, rank, id, distance): the k rows next to each query (query_id, embedding), of the cells probed, or with exact of all."""
         probes = self.probes if probes is None else probes
-        near = self._found(Table(self.probed(queries, probes), "probed_cells").df, queries, k, exclude_self)
+        near = self._found(Table(self._asked(queries, probes), "probed_cells").df, k, exclude_self)
         if not exact:
             return near
         near = Table(near, "first_found").df
         kth = near.where(F.col("rank") == k).select("query_id", F.sqrt("distance").alias("kth"))
         rest = _known(queries, "query_id").join(kth, "query_id", "left").select("query_id", "embedding", "kth")
-        more = self._found(Table(self._other_cells(rest, probes), "other_cells").df, queries, k, exclude_self)
+        more = self._found(Table(self._other_cells(rest, probes), "other_cells").df, k, exclude_self)
         best = F.struct("distance", "id")
         both = near.unionByName(more).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("b"))
         return both.select("query_id", F.posexplode("b").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.id", "x.distance")
 
     def _other_cells(self, rows: DataFrame, probes: int) -> DataFrame:
-        """The cells beyond the first `probes` that can hold a row nearer than kth, or any if a query has fewer than k rows so far."""
+        """(query_id, embedding, cells): the cells beyond the first `probes` that can hold a row nearer than kth, or any if a query has fewer than k rows so far."""
         centres, radius, kind = self.centres, self.radius, rows.schema["query_id"].dataType
         arrow = to_arrow_type(kind)
 
@@ -174,7 +191,6 @@ class Index:
                 kth = np.array([np.inf if x is None else x for x in b.column(2).to_pylist()])
                 can = far - radius[None, :] <= kth[:, None] + 1e-6 * (1 + far)
                 np.put_along_axis(can, seen, False, 1)
-                at, cell = np.nonzero(can)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)).cast(arrow), b.column(1).take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["query_id", "embedding", "cell"])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow), b.column(1), _lists(np.nonzero(can)[1], can.sum(1))], names=["query_id", "embedding", "cells"])
 
-        return rows.mapInArrow(choose, f"query_id {kind.simpleString()}, embedding array<double>, cell int")
+        return rows.mapInArrow(choose, f"query_id {kind.simpleString()}, embedding array<double>, cells array<int>").where(F.size("cells") > 0)

@@ -56,3 +56,17 @@ def test_recall_over_given_embeddings(spark, tmp_path):
     share = index.compares(q, index.probes) / (q.count() * rows.count())
     print("probes", index.probes, "of", len(index.rows), "recall", len(want & got) / len(want), "share of compares", share)
     assert len(want & got) >= 0.9 * len(want) and share < 0.9
+
+
+def test_a_query_is_not_repeated_for_each_cell(spark, points, tmp_path, monkeypatch):
+    """In small pieces, parts and tiles too, with a cell in several pieces, whole results as before."""
+    monkeypatch.setattr(vectors, "PIECE", 50)
+    monkeypatch.setattr(vectors, "TILE", (7, 9))
+    rows = {}
+    table = cells.Table
+    monkeypatch.setattr(cells, "Table", lambda df, label: rows.setdefault(label, table(df, label)))
+    index = cells.Index.write(points, str(tmp_path / "p"), cells=12)
+    q = points.where("id % 5 = 0").select(F.col("id").alias("query_id"), "embedding")
+    known = points.where("id is not null")
+    assert found(index.nearest(q, 4, probes=2, exact=True, exclude_self=True)) == found(vectors.nearest(q, known, 4, True))
+    assert rows["probed_cells"].count() == q.where("embedding is not null").count()

@@ -16,8 +16,8 @@ little-endian.
 from __future__ import annotations
 
 import re
+import string
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -35,26 +35,43 @@ VOCABULARY, END = 50257, 2
 #: Bytes of a symbol and of a rule in the file, and how often a pair has to occur to save more than its rule takes.
 SYMBOL_BYTES, RULE_BYTES = 3, 12
 LEAST = RULE_BYTES // SYMBOL_BYTES + 1
-#: Documents dealt to a shard until there are SHARDS of them, ids after which a shard begins another block, words in each half of a worker's memory, and bytes of text that are encoded at a time.
-SHARD_DOCS, SHARDS, BLOCK_IDS, MEMORY, CHARACTERS = 4096, 50_000, 1_000_000, 300_000, 1 << 22
+#: Documents dealt to a shard until there are SHARDS of them, ids after which a shard begins another block, words that a worker remembers (twice as many before it forgets the oldest), bytes of a word beyond which it is forgotten first, and bytes of text that are encoded at a time.
+SHARD_DOCS, SHARDS, BLOCK_IDS, MEMORY, LONG, CHARACTERS = 4096, 50_000, 1_000_000, 300_000, 100, 1 << 23
 
 BLOCK_FIELDS = "n_docs int, n_ids long, starts binary, left binary, right binary, lengths binary, low binary, high binary"
 
 
+def _runs(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat from starts on, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, bytes): where each text ends in the bytes of all."""
+    _, offsets, raw = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset + 1 : texts.offset + 1 + len(texts)] if len(texts) else np.zeros(0, np.int32)
+    return ends, np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
+
+
+_ALNUM = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
+
+
 class Encoder:
     """Encodes whole texts with a public tokenizer, word by word from memory where that gives the same ids.
 
     The tokenizer cuts a text into pieces before it merges bytes, and no piece reaches over the place before a space, unless
     white space stands on both sides of that space (or before it, at the end). So a text without such a space may be cut
     before each of its spaces, and a word that was seen before needs no encoding. New words are encoded many at a time, joined by
-    spaces; each begins at the token that begins with a space, and MARKS after letters are encoded by themselves. Texts with such
-    spaces or with a special token are encoded whole.
+    spaces; each begins at the token that begins with a space. MARKS after a letter or digit, up to the end of a word, are a piece, and so
+    is a line end with no white space beside it, so words are cut there and their parts remembered. Texts with such spaces or with a special token are encoded whole. Words, and where their ids are, are held as arrays, so that only new words
+    become Python objects.
     """
 
     WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     UNSAFE = re.compile(f"[{WHITE}] (?:[{WHITE}]|\\Z)")
 
-    MARKS = ".,;:!?"
+    MARKS = string.punctuation
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,47 +79,103 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         names = self.tokenizer.get_vocab()
-        space = self.tokenizer.id_to_token(self._ids([" "])[0][0])
-        self.begins = np.zeros(max(names.values()) + 1, bool)
-        self.begins[[i for name, i in names.items() if name.startswith(space)]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.begins = {}
+        for c in " \n":
+            first = self.tokenizer.id_to_token(self._ids([c])[0][0])
+            self.begins[c] = np.zeros(max(names.values()) + 1, bool)
+            self.begins[c][[i for name, i in names.items() if name.startswith(first)]] = True
+        # by word: whether white space is at its ends, the turn in which it came up last, and where its ids are in flat
+        self.words, self.odd, self.seen = pa.array([], pa.string()), np.zeros(0, bool), np.zeros(0, np.int64)
+        self.flat, self.starts, self.sizes, self.turn = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [array("I", ids).tobytes() for ids in self._ids(texts)]
+    def _lines(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(parts, counts): words cut before each single line end inside them, which is a space in the part that it begins, and each word's number of parts."""
+        counts = np.ones(len(words), np.int64)
+        at = np.flatnonzero(pc.match_substring(words, "\n").to_numpy(zero_copy_only=False))
+        cut = [w.split("\n") for w in words.take(pa.array(at)).to_pylist()]
+        clean = [all(x and x.strip() is x for x in parts) for parts in cut]
+        at, cut = at[np.array(clean, bool)], [parts for parts, ok in zip(cut, clean, strict=True) if ok]
+        if not cut:
+            return words, counts
+        counts[at] = [len(parts) for parts in cut]
+        index = np.repeat(np.arange(len(words)), counts)
+        index[np.repeat(counts > 1, counts)] = len(words) + np.arange(counts[at].sum())
+        more = pa.array([" " + x if i else x for parts in cut for i, x in enumerate(parts)], words.type)
+        return pa.concat_arrays([words, more]).take(pa.array(index)), counts
+
+    def _unmarked(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """(words, marked, marks): words without the MARKS that follow their last letter or digit, which words had any, and these."""
+        base = pc.utf8_rtrim(words, characters=self.MARKS)
+        sizes, (ends, raw) = pc.binary_length(base).to_numpy(), _bytes_of(base)
+        cut = pc.binary_length(words).to_numpy() - sizes
+        last = np.zeros(len(words), np.uint8)
+        last[sizes > 0] = raw[ends[sizes > 0] - 1]
+        # letters or digits and marks after them are pieces of their own
+        marked = (cut > 0) & _ALNUM[last]
+        some = np.flatnonzero((cut > 0) & (last > 127))
+        marked[some] = [w[-1].isalpha() for w in base.take(pa.array(some)).to_pylist()]
+        (ends, raw), cut = _bytes_of(words), cut[marked].astype(np.int64)
+        marks = _runs(raw, ends[marked] - cut, cut)
+        offsets = np.concatenate(([0], np.cumsum(cut))).astype(np.int32)
+        return pc.if_else(pa.array(marked), base, words), marked, pa.StringArray.from_buffers(len(cut), pa.py_buffer(offsets), pa.py_buffer(marks))
+
+    def _forget(self) -> None:
+        """Words that came up longest ago, and very long ones."""
+        keep = np.flatnonzero(pc.binary_length(self.words).to_numpy() <= LONG)
+        keep = np.sort(keep[np.argsort(-self.seen[keep], kind="stable")[:MEMORY]])
+        self.words, self.odd, self.seen = self.words.take(pa.array(keep)), self.odd[keep], self.seen[keep]
+        self.flat, self.sizes = _runs(self.flat, self.starts[keep], self.sizes[keep]), self.sizes[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The place of each of the words in memory, where new ones come in."""
+        if len(self.words) > 2 * MEMORY or self.words.nbytes > 4 * LONG * MEMORY:
+            self._forget()
+        each = words.dictionary_encode()
+        rows = np.full(len(each.dictionary), -1)
+        # looking up the remembered words among these costs less than a table of them
+        at = pc.fill_null(pc.index_in(self.words, value_set=each.dictionary), -1).to_numpy()
+        held = np.flatnonzero(at >= 0)
+        rows[at[held]] = held
+        missing = np.flatnonzero(rows < 0)
+        rows[missing] = len(self.words) + np.arange(len(missing))
+        new = each.dictionary.take(pa.array(missing))
+        self.words = pa.concat_arrays([self.words, new])
+        self._learn(new.to_pylist())
+        of = rows[each.indices.to_numpy()]
+        self.turn += 1
+        self.seen[of] = self.turn
+        return of
 
     def _learn(self, new: list[str]) -> None:
-        older, known = self.older, self.known
-        self.odd.update(w for w in new if not w or w.strip() is not w)
-        if older:
-            back = [w for w in new if w in older]
-            known.update(zip(back, map(older.__getitem__, back), strict=True))
-            new = [w for w in new if w not in older]
-        # letters and marks after them are pieces of their own
-        marked = [(w, b) for w in new if w and w[-1] in self.MARKS and (b := w.rstrip(self.MARKS)).isalpha()]
-        if marked:
-            known.update(dict.fromkeys(w for w, _ in marked))
-            new = [w for w in new if w not in known] + list({b for _, b in marked}.difference(known, new))
-        alone = [w for w in new if not w or w.strip() is not w]
-        if alone:
-            new = [w for w in new if w and w.strip() is w]
-        for i in range(0, len(new), 64):  # at more the library's time for a word grows
-            some = new[i : i + 64]
-            ids = np.array(self._ids([" " + " ".join(some)])[0], "<u4")
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) != len(some):
-                alone += some
-                continue
-            raw, cuts = ids.tobytes(), (4 * at).tolist()
-            known.update(zip(some, map(raw.__getitem__, map(slice, cuts, [*cuts[1:], len(raw)])), strict=True))
-        known.update(zip(alone, self._bytes([" " + w for w in alone]), strict=True))
-        marks = {w[len(b) :] for w, b in marked}
-        marks = dict(zip(marks, self._bytes(list(marks)), strict=True))
-        known.update((w, known[b] + marks[w[len(b) :]]) for w, b in marked)
+        inner = np.fromiter((w[:1] == " " for w in new), bool, len(new))
+        odd = np.fromiter((not w or w.strip() is not w for w in new), bool, len(new)) & ~inner
+        starts, sizes, parts, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [self.flat], len(self.flat)
+        alone = np.flatnonzero(odd).tolist()
+        for c, of in ((" ", np.flatnonzero(~odd & ~inner)), ("\n", np.flatnonzero(inner))):
+            texts = [c + new[k].lstrip(" ") for k in of.tolist()]
+            for i in range(0, len(texts), 64):  # at more the library's time for a word grows
+                some = of[i : i + 64]
+                ids = np.array(self._ids(["".join(texts[i : i + 64])])[0], np.uint32)
+                at = np.flatnonzero(self.begins[c][ids])
+                if len(at) != len(some):
+                    alone += some.tolist()
+                    continue
+                starts[some] = n + at
+                sizes[some[:-1]] = at[1:] - at[:-1]
+                sizes[some[-1]] = len(ids) - at[-1]
+                parts.append(ids)
+                n += len(ids)
+        for k, ids in zip(alone, self._ids(["\n" + new[k][1:] if inner[k] else " " + new[k] for k in alone]), strict=True):
+            starts[k], sizes[k] = n, len(ids)
+            parts.append(np.array(ids, np.uint32))
+            n += len(ids)
+        self.flat = np.concatenate(parts)
+        self.odd, self.seen = np.concatenate((self.odd, odd)), np.concatenate((self.seen, np.zeros(len(new), np.int64)))
+        self.starts, self.sizes = np.concatenate((self.starts, starts)), np.concatenate((self.sizes, sizes))
 
     def encode(self, texts: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts one after another, each with the ids in tail behind it, and the number of ids up to each text's end."""
@@ -122,36 +195,40 @@ class Encoder:
         cuts = cut.offsets.to_numpy().astype(np.int64)
         cuts -= cuts[0]
         words = cut.flatten().dictionary_encode()
-        index, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > MEMORY:  # words that come up again return from the older half
-            self.known, self.older, self.odd = {}, self.known, set()
-        known = self.known
-        if new := [w for w in distinct if w not in known]:
-            self._learn(new)
+        index, distinct = words.indices.to_numpy().astype(np.int64), words.dictionary
+        parts, counts = self._lines(distinct)
+        base, marked, marks = self._unmarked(parts)
+        of = self._known(base)
         # only words that begin or end with white space, or are empty, can stand at an unsafe space
-        whole = set()
-        if self.odd and not self.odd.isdisjoint(distinct):
-            odd = np.fromiter(map(self.odd.__contains__, distinct), bool, len(distinct))
+        whole, odd = set(), self.odd[of][np.cumsum(counts) - counts]
+        if odd.any():
             some = np.unique(np.searchsorted(cuts, np.flatnonzero(odd[index]), "right") - 1).tolist()
             whole = {i for i in some if self.UNSAFE.search(texts[i].as_py())}
         for x in self.special:
             whole.update(np.flatnonzero(pc.match_substring(texts, x).to_numpy(zero_copy_only=False)).tolist())
         # a word without a space before it, or a whole text, and the tail are entries of their own
-        firsts = words.dictionary.take(pa.array(index[cuts[:-1]])).to_pylist()
+        firsts = distinct.take(pa.array(index[cuts[:-1]])).to_pylist()
         for i in whole:
             firsts[i] = texts[i].as_py()
-        pieces = [*map(known.__getitem__, distinct), *self._bytes(firsts), tail, b""]
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        others = [*(np.array(x, np.uint32) for x in self._ids(firsts)), np.frombuffer(tail, "<u4"), np.zeros(0, np.uint32)]
+        # each part's ids and those of its marks, by turns
+        marks = marks.dictionary_encode()
+        ids_of = [np.array(x, np.uint32) for x in self._ids(marks.dictionary.to_pylist())]
+        n = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
+        starts, sizes = np.zeros((len(of), 2), np.int64), np.zeros((len(of), 2), np.int64)
+        starts[:, 0], sizes[:, 0] = self.starts[of], self.sizes[of]
+        which = marks.indices.to_numpy()
+        starts[marked, 1], sizes[marked, 1] = (len(self.flat) + np.cumsum(n) - n)[which], n[which]
+        flat = np.concatenate((_runs(np.concatenate((self.flat, *ids_of)), starts.ravel(), sizes.ravel()), *others))
+        sizes = np.add.reduceat(sizes.sum(1), np.cumsum(counts) - counts)
+        sizes = np.append(sizes, np.fromiter(map(len, others), np.int64, len(others)))
         starts = np.cumsum(sizes) - sizes
         for i in whole:
-            index[cuts[i] : cuts[i + 1]] = len(pieces) - 1
+            index[cuts[i] : cuts[i + 1]] = len(sizes) - 1
         index[cuts[:-1]] = len(distinct) + np.arange(len(texts))
-        index = np.insert(index, cuts[1:], len(pieces) - 2)
+        index = np.insert(index, cuts[1:], len(sizes) - 2)
         n = sizes[index]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[index] - (ends - n), n) + np.arange(int(ends[-1]))]
-        return ids, ends[cuts[1:] + np.arange(len(texts))]
+        return _runs(flat, starts[index], n), np.cumsum(n)[cuts[1:] + np.arange(len(texts))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit integers."""
@@ -219,7 +296,10 @@ def _frequent(at: np.ndarray, key: np.ndarray, least: int, exact: bool, turn: in
 
 def _ascending(at: np.ndarray, flag: np.ndarray) -> np.ndarray:
     """The different places in at, which are those where flag is set, in order: sorted if they are few, else looked up."""
-    return np.unique(at) if 16 * len(at) < len(flag) else np.flatnonzero(flag)
+    if 16 * len(at) >= len(flag):
+        return np.flatnonzero(flag)
+    at = np.sort(at)
+    return at[np.diff(at, prepend=-1) > 0]
 
 
 def _every_other(at: np.ndarray, name: np.ndarray, prv: np.ndarray) -> np.ndarray:

@@ -36,6 +36,23 @@ def test_encoder_gives_the_tokenizers_ids(enc, library, monkeypatch):
     assert direct(library, ["<|endoftext|>"]) == [[50256]] == [np.frombuffer(x, "<u4").tolist() for x in enc(["<|endoftext|>"])]
 
 
+def test_known_words_are_not_encoded_again(library):
+    """Words that were seen go to the library no more when marks follow them or a line end joins them."""
+    enc, words, sent = grammar.Encoder(grammar.default_tokenizer()), [f"w{'abcdefgh'[i % 8]}{'xyz'[i % 3]}q{chr(224 + i % 20)}{i}" for i in range(500)], []
+    ids = enc._ids
+    enc._ids = lambda texts: sent.extend(texts) or ids(texts)
+    texts = [" ".join(["", *words, *(f"\n{w}" for w in words)])]
+    joined = ["a " + " ".join(f"{x}.\n{y}" for x, y in zip(words, words[1:])), *("a " + " ".join(w + m for w in words) for m in ("%%%", ".$$", "'", ",", "?!"))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == direct(library, texts)
+    sent.clear()
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc(joined)] == direct(library, joined)
+    once = "".join("\n" + w for w in words[1:])
+    assert sum(map(len, sent)) < len(once) + 100
+    sent.clear()
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc(joined)] == direct(library, joined)
+    assert sum(map(len, sent)) < 100
+
+
 def test_grammar_round_trip_and_random_access(monkeypatch):
     monkeypatch.setattr(grammar, "LEAST", 2)
     rng = random.Random(10)

@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 from nameweave.llm.columns import among, fresh, ordinal, own, text_key
 from nameweave.scratch import Table, small
 
-LEAST, BUCKETS = 0.8, 1 << 18
+LEAST, BUCKETS, SIDE = 0.8, 1 << 18, 8
 #: White space besides space and line end.
 WHITE = "\t\x0b\x0c\r"
 #: Counts up to which rarity tells words apart.
 _MOST = (1 << 22) - 1
+#: Lines whose decisions are the bits of one number.
+RUN = 16
 #: A document, and a line of it.
 DOC, LINE = ["doc", "key"], ["doc", "key", "line"]
 
@@ -59,10 +61,14 @@ def lines(docs: DataFrame) -> DataFrame:
 def counts(docs: DataFrame) -> DataFrame:
     """One row with one array of longs: how many words of all texts fall into each bucket, in the upper bits that a key has for it."""
     bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1))
-    n = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''").groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(BUCKETS).join(n, F.col("id") == F.col("b"), "left")
-    pairs = F.array_sort(F.collect_list(F.struct("id", F.shiftleft(F.least(F.coalesce("n", F.lit(0)), F.lit(_MOST)), 40).alias("n"))))
-    return every.agg(pairs.alias("pairs")).select(F.transform("pairs", lambda p: p["n"]).alias("counts"))
+    words = docs.select(F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''").select(bucket.alias("b"))
+    # SIDE buckets side by side in one group: so few groups stay in the aggregate's fast map, and fewer rows are shuffled
+    side = [f"n{i}" for i in range(SIDE)]
+    n = words.groupBy(F.shiftright("b", SIDE.bit_length() - 1).alias("g")).agg(*(F.count_if(F.col("b").bitwiseAND(F.lit(SIDE - 1)) == i).alias(c) for i, c in enumerate(side)))
+    every = docs.sparkSession.range(BUCKETS // SIDE).join(n, F.col("id") == F.col("g"), "left")
+    upper = F.array(*(F.shiftleft(F.least(F.coalesce(c, F.lit(0)), F.lit(_MOST)), 40) for c in side))
+    groups = F.array_sort(F.collect_list(F.struct("id", upper.alias("n"))))
+    return every.agg(groups.alias("groups")).select(F.flatten(F.col("groups.n")).alias("counts"))
 
 
 def _need(n: Column | int, m: Column, least: float) -> Column:
@@ -89,9 +95,9 @@ def _earlier(x: list[Column], y: list[Column]) -> Column:
 
 
 def _bits(hashes: str, half: int | None) -> Column:
-    """The parity map of hashes, of all or of those whose bit 6 is `half`."""
+    """The parity map of hashes, of all or of those that are negative (half 1) or not (half 0)."""
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
-    chosen = F.col(hashes) if half is None else F.filter(hashes, lambda h: h.bitwiseAND(F.lit(64)) == 64 * half)
+    chosen = F.col(hashes) if half is None else F.filter(hashes, lambda h: h < 0 if half else h >= 0)
     return F.aggregate(chosen, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(bit(h)))
 
 
@@ -199,19 +205,33 @@ def kept_lines(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return first.select(*LINE).join(small(gone), LINE, "left_anti")
 
 
+def _stays(docs: DataFrame, least: float) -> DataFrame:
+    """(doc, key, stays): the numbers of the lines with words that stay, for documents that have any.
+
+    RUN lines in a row become the bits of one number first, which takes no list for each line.
+    """
+    at = F.col("line").bitwiseAND(F.lit(RUN - 1))
+    run = F.shiftright("line", RUN.bit_length() - 1)
+    runs = kept_lines(docs, least).repartition(*DOC).groupBy(*DOC, run.alias("run")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), at)).alias("bits"))
+    every = F.sequence(F.lit(0), F.lit(RUN - 1))
+    of = lambda r: F.transform(F.filter(every, lambda i: F.call_function("shiftright", r["bits"], i).bitwiseAND(F.lit(1)) == 1), lambda i: i + r["run"] * RUN)
+    return runs.groupBy(*DOC).agg(F.collect_list(F.struct("run", "bits")).alias("runs")).select(*DOC, F.flatten(F.transform("runs", of)).alias("stays"))
+
+
 def line_decisions(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, kept (numbers of the lines that stay, blank ones too, comma-joined).
 
     Null texts have no lines; an empty text has a blank one; texts of any length are taken whole. Rows equal in doc_id and text
     get equal rows, rows with the same doc_id or none and different texts are documents of their own. An empty table gives none; other columns aren't read.
     """
-    stays = kept_lines(docs, least).groupBy(*DOC).agg(F.collect_list("line").alias("stays"))
+    stays = _stays(docs, least)
     none = F.array().cast("array<int>")
-    rows = docs.select("doc_id", ordinal(docs).alias("doc"), text_key().alias("key"), F.split(_plain(F.col("text")), "\n").alias("lines"))
-    # most documents have no blank line
-    some = F.exists("lines", lambda l: F.ltrim(l) == "")
-    blank = F.when(some, F.filter(F.transform("lines", lambda l, i: F.when(F.ltrim(l) == "", i)), lambda i: i.isNotNull()))
-    rows = rows.select("doc_id", *DOC, F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), blank.alias("blank"))
+    rows = docs.select("doc_id", ordinal(docs).alias("doc"), text_key().alias("key"), _plain(F.col("text")).alias("text"))
+    # most documents have no blank line, and aren't split
+    some = F.contains(F.concat(F.lit("\n"), F.replace("text", F.lit(" ")), F.lit("\n")), F.lit("\n\n"))
+    blank = F.when(some, F.filter(F.transform(F.split("text", "\n"), lambda l, i: F.when(F.ltrim(l) == "", i)), lambda i: i.isNotNull()))
+    n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
+    rows = rows.select("doc_id", *DOC, F.coalesce(n, F.lit(0)).cast("long").alias("n_lines"), blank.alias("blank"))
     keep = F.sort_array(F.concat(F.coalesce("blank", none), F.coalesce("stays", none)))
     rows = rows.join(stays, DOC, "left").select("doc_id", "n_lines", F.when(F.col("n_lines") > 0, keep).otherwise(none).alias("keep"))
     return rows.select("doc_id", "n_lines", (F.col("n_lines") - F.size("keep")).alias("n_removed"), F.array_join(F.col("keep").cast("array<string>"), ",").alias("kept"))
@@ -220,7 +240,7 @@ def line_decisions(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with the removed lines cut out of their texts; other columns as they are. Null texts stay null."""
     doc, key, held = fresh(docs, "doc", "key", "stays")
-    stays = kept_lines(docs, least).groupBy(*DOC).agg(F.collect_list("line").alias(held)).withColumnsRenamed({"doc": doc, "key": key})
+    stays = _stays(docs, least).withColumnsRenamed({"doc": doc, "key": key, "stays": held})
     rows = docs.select(*own(docs), ordinal(docs).alias(doc), text_key().alias(key)).join(stays, [doc, key], "left")
     blank = lambda l: F.regexp_replace(l, f"[ {WHITE}]", "") == ""
     lines_of = F.split("text", "\n")

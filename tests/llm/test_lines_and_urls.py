@@ -44,6 +44,26 @@ def test_odd_rows(odd, none, clashing):
     assert {r.doc_id: r.text for r in out.collect()}[10] == "one line here that is shared\n\nanother line of words for all of us to read today\n"
 
 
+def test_words_are_counted_side_by_side(spark):
+    """Counts are exact by bucket, and come from a SIDE-th as many groups as there are buckets."""
+    df = spark.createDataFrame([(1, "a b  a\nc\ta"), (2, None), (3, "b"), (4, "")], "doc_id long, text string")
+    found = line_dedup.counts(df)
+    want = [0] * line_dedup.BUCKETS
+    for w in "abacab":
+        want[xxhash.xxh64_intdigest(w.encode(), 42) % line_dedup.BUCKETS] += 1 << 40
+    assert list(found.first()["counts"]) == want
+    assert f"Range (0, {line_dedup.BUCKETS // 8}," in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_lines(spark):
+    """Documents of more lines than one number has bits for, some of runs of lines that all go, with blank lines of all kinds."""
+    rng = random.Random(5)
+    line = lambda: rng.choice(["", "  ", "\t", "the same few words again", f"w{rng.randrange(9)}", f"x{rng.random()} y{rng.random()}"])
+    docs = [(i, "\n".join(line() for _ in range(n))) for i, n in enumerate((15, 16, 17, 33, 70, 1, 2))]
+    docs += [(20, "\n".join(["the same few words again"] * 40 + ["an end"])), (21, "\n"), (22, " \n x"), (23, "y \n \t")]
+    assert got(line_dedup.line_decisions(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_lines(spark, seed):
     rng = random.Random(seed)

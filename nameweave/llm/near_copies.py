@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from nameweave.llm.columns import in_batches, one_each, text_key, without
 from nameweave.operators.components import connected_components
-from nameweave.scratch import written
+from nameweave.scratch import shuffled, written
 
 WORDS, SIMILARITY, BANDS, ROWS, LEADERS, BITS, SEED = 5, (4, 5), 16, 4, 2, 256, 42
 
@@ -100,7 +100,8 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     keys = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
     texts = docs.select(text_key().alias("k"), "text").join(keys, "k", "left_semi").groupBy("k").agg(F.min("text").alias("t"))
     texts = written(texts, "near_candidate_texts")
-    both = pairs.join(texts.select(F.col("k").alias("x"), F.col("t").alias("tx")), "x").join(texts.select(F.col("k").alias("y"), F.col("t").alias("ty")), "y")
+    side = lambda end: shuffled(texts.select(F.col("k").alias(end), F.col("t").alias(f"t{end}")))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     return written(both.where(_similar("tx", "ty")).select(F.col("root_x").alias("a"), F.col("root_y").alias("b")).distinct(), "near_links")
 
 
@@ -139,7 +140,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     texts = written(base.groupBy("key").agg(F.first("sig").alias("sig")), "near_texts", rows=n)
     roots = texts.select("key", F.col("key").alias("root"))
     bands = texts.select("key", "sig", F.posexplode("sig.bands").alias("at", "band"))
-    crowded = written(bands.join(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "near_bands")
+    crowded = written(shuffled(bands).join(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"), "near_bands")
     for turn in range(LEADERS + 1):
         members = crowded.join(roots, "key")
         found = _verified(docs, _with_leader(members, turn) if turn < LEADERS else _the_rest(members))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from nameweave.llm.columns import in_batches, one_each, text_key, without
 from nameweave.operators.components import connected_components
-from nameweave.scratch import Table
+from nameweave.scratch import Table, shuffled
 
 WORDS, SEED, THRESHOLD = 3, 42, 2
 #: Of each block with a code: its bits, the covering radius, and the generator polynomial (x^11+x^10+x^6+x^5+x^4+x^2+1, x^3+x+1).
@@ -138,7 +138,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b), a < b, of all distinct fingerprints of fps (column fp, no repeats) that differ in at most threshold bits."""
     homes, replicas = _at_anchors(fps, 0, "a"), _at_anchors(fps, threshold, "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return homes.join(replicas, "anchor").where(near).select("a", "b")
+    # Spark takes replicas for as many as there are fingerprints
+    return shuffled(homes).join(shuffled(replicas), "anchor").where(near).select("a", "b")
 
 
 def _grouped(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from nameweave import scratch
 from nameweave.llm import simhash
 from tests.llm.conftest import PLAIN, collected, rows
 
@@ -99,3 +101,18 @@ def test_stage_with_clashing_names(clashing, odd):
     left = simhash.without_near_duplicates(clashing.selectExpr("*", "1 as __drop_id", "2 as text_key", "3 as component_id"))
     assert left.columns == [*clashing.columns, "__drop_id", "text_key", "component_id"]
     assert left.count() == simhash.without_near_duplicates(odd).count()
+
+
+def test_replicas_are_not_broadcast(spark):
+    """Spark takes the replicas, 126 of a fingerprint, for as many rows as there are fingerprints."""
+    fps = spark.range(50).select((F.col("id") * 7919).alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_tables_beyond_the_broadcast_size_are_not_broadcast(spark):
+    """Spark sizes a table by its compressed file, whatever it holds."""
+    rows = spark.range(50)
+    for most, broadcast in ((0, False), (1 << 20, True)):
+        plan = rows.join(scratch.small(spark.range(20), most), "id")._jdf.queryExecution().executedPlan().toString()
+        assert ("Broadcast" in plan) == broadcast

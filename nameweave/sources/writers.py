@@ -11,8 +11,8 @@ def delimited(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def unquoted(df: DataFrame, path: str) -> None:
-    """TSV without quotes; fields must hold no tabs or line ends."""
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").option("escapeQuotes", False).csv(path)
+    """TSV without quotes, in compressed files; fields must hold no tabs or line ends."""
+    df.write.mode("overwrite").option("compression", "gzip").option("header", True).option("sep", "\t").option("quote", "").option("escapeQuotes", False).csv(path)
 
 
 def blocks(as_blocks: DataFrame, path: str) -> None:

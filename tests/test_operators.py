@@ -597,3 +597,16 @@ def test_what_is_made_without_pairs_is_that_of_the_pairs(spark):
 def test_equal_rows_in_runs(spark):
     rows = spark.createDataFrame([(1, "a", 10), (2, "b", 1)], "k long, x string, n long")
     assert sorted(r.x for r in blocking.as_often(rows, "n", ["k"], 4).collect()) == ["a"] * 10 + ["b"]
+
+
+@pytest.mark.parametrize("limits", [(10**9, 4), (900, 50)])
+def test_list_files_are_those_of_their_lines(spark, monkeypatch, limits):
+    """Lines aren't written or shuffled before they go to their file: no table on the way has them."""
+    of = _labels(spark, 25, 9).where("rec_id is not null and rec_id < 25")
+    records = spark.createDataFrame([(i, None if i == 5 else f't"{i % 6}') for i in range(25)], "rec_id long, title string")
+    lines = requests.block_list_requests(of, records)
+    want = requests.split_files(lines.withColumn("k", F.lpad("custom_id", 9, "0")), "k", *limits)
+    made = _written(monkeypatch, requests)
+    got = requests.block_list_files(of, records, *limits)
+    rows = lambda df: sorted(map(tuple, df.select("custom_id", "line", "part").collect()))
+    assert rows(got) == rows(want) != [] and not any("line" in df.columns and dict(df.dtypes)["line"] == "string" for df in made.values())
